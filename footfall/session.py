@@ -19,6 +19,11 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    if spark.sparkContext.master.startswith("local"):
+        # one machine: no more shuffle partitions than threads (a cluster keeps its own setting)
+        threads = spark.sparkContext.defaultParallelism
+        now = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(now, threads)))
     return spark
 
 
