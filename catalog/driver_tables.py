@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from footfall import session
 from footfall.functions.identity import hmac_sha256
+from footfall.functions.text import literals
 from footfall.operators import enrich, rollups, sessionize, star
 from footfall.sources import tables
 
@@ -48,7 +49,7 @@ HEIGHTS = [1080, 768, 844, 0]
 
 
 def pick(values: list, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
+    return F.element_at(literals(values), (index % len(values) + 1).cast("int"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

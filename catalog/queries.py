@@ -81,7 +81,7 @@ def _log_lines(spark, sf_dir, kind):
 def _(spark, sf_dir):
     read = logs.read_hits(spark, _log_lines(spark, sf_dir, "hits"))
     return read.groupBy("resource_type", "resource_id").agg(
-        F.count(F.lit(1)).alias("hits"), F.count("page_url").alias("with_url"), F.max("ts").alias("latest")
+        F.count(F.lit(1)).alias("hits"), F.count("page_url").alias("with_url"), F.count("ts").alias("timed")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,8 +96,8 @@ def anonymize_ip(c: Column) -> Column:
 
 def client_ip(*headers: Column) -> Column:
     """First valid address among the headers (first item of a list); else the loopback address."""
-    first = [F.trim(F.substring_index(F.trim(h), ",", 1)) for h in headers]
-    return F.coalesce(*[F.when(is_ip(v), v) for v in first], F.lit("127.0.0.1"))
+    given = F.array(*[F.trim(F.substring_index(F.trim(h), ",", 1)) for h in headers])
+    return F.coalesce(F.try_element_at(F.filter(given, is_ip), F.lit(1)), F.lit("127.0.0.1"))
 
 
 def cidr_bounds(cidr: str) -> tuple[int, str, str] | None:
@@ -123,21 +124,21 @@ def in_any_cidr(c: Column, cidrs: Sequence[str]) -> Column:
     bounds = [b for b in map(cidr_bounds, cidrs) if b]
     v4 = [(int(lo, 16), int(hi, 16)) for fam, lo, hi in bounds if fam == 4]
     v6 = [(lo, hi) for fam, lo, hi in bounds if fam == 6]
+    # one-element arrays bind the parsed address to a name, so it is written and computed once
     hit = F.lit(False)
     if v4:
-        number = ipv4_to_long(c)
-        hit = hit | _any([number.between(lo, hi) for lo, hi in v4])
+        hit = hit | _bound(ipv4_to_long(c), lambda n: _any([n.between(lo, hi) for lo, hi in v4]))
     if v6:
-        digits = ipv6_to_hex(c)
-        hit = hit | _any([digits.between(lo, hi) for lo, hi in v6])
-    return F.coalesce(hit, F.lit(False))
+        hit = hit | _bound(ipv6_to_hex(c), lambda x: _any([x.between(lo, hi) for lo, hi in v6]))
+    return hit
+
+
+def _bound(value: Column, test) -> Column:
+    return F.coalesce(F.exists(F.array(value), test), F.lit(False))
 
 
 def _any(tests: list[Column]) -> Column:
-    out = F.coalesce(tests[0], F.lit(False))
-    for test in tests[1:]:
-        out = out | F.coalesce(test, F.lit(False))
-    return out
+    return reduce(lambda a, b: a | b, tests)
 
 
 def is_private_ip(c: Column) -> Column:

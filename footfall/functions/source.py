@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from footfall import fixed_values as fv
-from footfall.functions.text import blank, clean_text
+from footfall.functions.text import blank, clean_text, let, literals
 
 # scheme, host, port and path of a URL with an authority part
 _URL = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)(?::(\d{0,5}))?(?=[/?#]|$)([^?#]*)"
@@ -54,24 +54,32 @@ def is_spam_domain(domain: Column, spam: Sequence[str] = tuple(fv.SPAM_DOMAINS))
     """
     lowered = F.lower(domain)
     labels = F.split(lowered, r"\.")
-    parents = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))),
+    parents = lambda ls: F.transform(
+        F.sequence(F.lit(1), F.size(ls)), lambda i: F.concat_ws(".", F.slice(ls, i, F.size(ls)))
     )
-    listed = F.arrays_overlap(parents, F.array(*[F.lit(d) for d in spam])) if spam else F.lit(False)
+    listed = F.arrays_overlap(let(labels, parents), literals(spam)) if spam else F.lit(False)
     return F.coalesce(listed, F.lit(False))
 
 
-def _domain_class(domain: Column) -> tuple[Column, Column]:
-    channel = F.when(blank(domain), F.lit("Direct"))
-    name = F.when(blank(domain), F.lit(""))
-    for label, names in (("Organic Search", fv.SEARCH_ENGINES), ("Social Media", fv.SOCIAL_PLATFORMS)):
-        for part, title in names.items():
-            channel = channel.when(domain.contains(part), F.lit(label))
-            name = name.when(domain.contains(part), F.lit(title))
+def domain_class(domain: Column) -> Column:
+    """struct(channel, name) of a domain: the first rule whose part it contains decides."""
+    rules = [
+        (part, label, name)
+        for label, names in (("Organic Search", fv.SEARCH_ENGINES), ("Social Media", fv.SOCIAL_PLATFORMS))
+        for part, name in names.items()
+    ]
     webmail = "(?:^|\\.)(?:" + "|".join(d.replace(".", "\\.") for d in fv.EMAIL_DOMAINS) + ")$"
-    channel = channel.when(domain.rlike(webmail), F.lit("Email")).otherwise(F.lit("Referral"))
-    return channel, name.otherwise(domain)
+
+    def decide(d: Column) -> Column:
+        rule = F.try_element_at(F.filter(literals(rules, ["part", "channel", "name"]), lambda r: d.contains(r["part"])), F.lit(1))
+        other = F.when(d.rlike(webmail), F.lit("Email")).otherwise(F.lit("Referral"))
+        return F.when(
+            blank(d), F.struct(F.lit("Direct").alias("channel"), F.lit("").alias("name"))
+        ).otherwise(
+            let(rule, lambda r: F.struct(F.coalesce(r["channel"], other).alias("channel"), F.coalesce(r["name"], d).alias("name")))
+        )
+
+    return let(domain, decide)
 
 
 def utm_medium_channel(medium: Column) -> Column:
@@ -82,56 +90,35 @@ def utm_medium_channel(medium: Column) -> Column:
 
 def classify_channel(domain: Column, medium: Column | None = None) -> Column:
     """struct(channel, name): the medium decides if it is known, else ordered domain rules."""
-    channel, name = _domain_class(domain)
-    if medium is not None:
-        paid = F.when(~blank(medium), utm_medium_channel(medium))
-        channel, name = F.coalesce(paid, channel), F.when(paid.isNotNull(), F.lit("")).otherwise(name)
-    return F.struct(channel.alias("channel"), name.alias("name"))
+    if medium is None:
+        return domain_class(domain)
+    paid = F.when(~blank(medium), utm_medium_channel(medium))
+    by_medium = F.struct(paid.alias("channel"), F.lit("").alias("name"))
+    return F.when(paid.isNotNull(), by_medium).otherwise(domain_class(domain))
 
 
 def extract_utm(query: Column) -> Column:
     """map of the campaign keys in a query string: decoded, blanks dropped, last duplicate wins."""
     decode = lambda c: F.coalesce(F.try_url_decode(c), c)
     pairs = F.transform(
-        F.split(query, "&"),
+        F.split(F.coalesce(query, F.lit("")), "&"),
         lambda s: F.struct(
             decode(F.substring_index(s, "=", 1)).alias("key"),
             F.when(s.contains("="), decode(F.regexp_replace(s, "^[^=]*=", ""))).otherwise(F.lit("")).alias("value"),
         ),
     )
-    found = []
-    for key in fv.UTM_KEYS:
-        raw = F.try_element_at(F.filter(pairs, lambda p: p["key"] == key), F.lit(-1))["value"]
-        found.append(F.struct(F.lit(key).alias("key"), F.when(~blank(raw), clean_text(raw)).alias("value")))
-    return F.map_from_entries(F.filter(F.array(*found), lambda e: F.coalesce(e["value"], F.lit("")) != ""))
-
-
-def attribute_source(
-    domain: Column,
-    from_link: Column,
-    utm_source: Column,
-    utm_medium: Column,
-    spam: Sequence[str] = tuple(fv.SPAM_DOMAINS),
-) -> Column:
-    """struct(channel, name, domain) of a visit; all NULL when the referrer is spam.
-
-    Pass plain columns: ``operators.enrich.with_source`` derives them one step earlier, so that the
-    long rule chains refer to them instead of repeating their expressions.
-    """
-    looked_up = F.when(from_link, domain).otherwise(F.lower(utm_source))
-    channel, name = _domain_class(looked_up)
-    paid = F.when(~blank(utm_medium), utm_medium_channel(utm_medium))
-    tagged = (utm_source != "") | (utm_medium != "")
-    spammed = from_link & is_spam_domain(domain, spam)
-    found = F.when(paid.isNotNull(), F.lit("")).otherwise(name)
-    return F.struct(
-        F.when(~spammed, F.when(from_link | tagged, F.coalesce(paid, channel)).otherwise(F.lit("Direct"))).alias("channel"),
-        F.when(
-            ~spammed,
-            F.when(from_link, found).when(tagged & (found == ""), utm_source).when(tagged, found).otherwise(F.lit("")),
-        ).alias("name"),
-        F.when(~spammed, F.when(from_link, domain).otherwise(utm_source)).alias("domain"),
-    )
+    keys = literals(fv.UTM_KEYS)
+
+    def collect(ps: Column) -> Column:
+        last = lambda key: F.try_element_at(F.filter(ps, lambda p: p["key"] == key), F.lit(-1))["value"]
+        found = F.transform(
+            keys, lambda key: let(last(key), lambda raw: F.struct(
+                key.alias("key"), F.when(~blank(raw), clean_text(raw)).alias("value")
+            ))
+        )
+        return F.map_from_entries(F.filter(found, lambda e: F.coalesce(e["value"], F.lit("")) != ""))
+
+    return let(pairs, collect)
 
 
 def resolve_uri(page_url: Column, resource_type: Column, resource_id: Column) -> Column:

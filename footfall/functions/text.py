@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from footfall import fixed_values as fv
 
 
+def literals(rows: Sequence, names: Sequence[str] = ()) -> Column:
+    """A constant array of strings, or of structs with ``names``, as one parsed expression."""
+    quote = lambda v: "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+    if not names:
+        return F.expr("array(" + ",".join(map(quote, rows)) + ")")
+    struct = lambda row: "named_struct(" + ",".join(f"'{n}',{quote(v)}" for n, v in zip(names, row)) + ")"
+    return F.expr("array(" + ",".join(map(struct, rows)) + ")")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` written and computed once.
+
+    Catalyst copies an expression into every place that refers to it when it moves filters below a
+    projection; binding it to a lambda variable keeps long rules over derived columns small.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def clean_text(c: Column) -> Column:
     """Drop tags, then outer white space."""
     return F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", ""), r"^\s+|\s+$", "")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from footfall import fixed_values as fv
 from footfall.functions import device, identity, ip, text
 from footfall.functions.source import blank, url_host
-from footfall.operators.enrich import match_ranges
+from footfall.operators.enrich import cidr_keys, match_ranges
 from footfall.schemas import HIT_BODY
 
 HIT_KEYS = [f.name for f in HIT_BODY.fields]
@@ -100,21 +100,9 @@ def exclude_ips(hits: DataFrame, cidrs: Sequence[str] | DataFrame, ip_col: str =
     """Adds ``ip_excluded``. A list is configuration and is inlined; a table is joined by prefix."""
     if not isinstance(cidrs, DataFrame):
         return hits.withColumn("ip_excluded", ip.in_any_cidr(F.col(ip_col), cidrs))
-    found = match_ranges(hits, cidr_ranges(cidrs), ip_col, ["listed"]).select("_ip")
+    found = match_ranges(hits, cidr_keys(cidrs), ip_col)
     joined = hits.join(found, hits[ip_col] == found["_ip"], "left")
-    return joined.withColumn("ip_excluded", F.col("_ip").isNotNull()).drop("_ip")
-
-
-def cidr_ranges(cidrs: DataFrame) -> DataFrame:
-    """IPv4 blocks of a table as (ip_from, ip_to, listed); an IPv6 block must be given as a range."""
-    base = F.substring_index("cidr", "/", 1)
-    bits = F.when(F.col("cidr").contains("/"), F.substring_index("cidr", "/", -1).try_cast("int")).otherwise(32)
-    size = F.pow(F.lit(2.0), F.lit(32) - bits).cast("long")
-    start = (F.floor(ip.ipv4_to_long(base) / size) * size).cast("long")
-    dotted = lambda n: F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)])
-    return cidrs.filter(ip.is_ipv4(base) & bits.between(0, 32)).select(
-        dotted(start).alias("ip_from"), dotted(start + size - 1).alias("ip_to"), F.lit(True).alias("listed")
-    )
+    return joined.withColumn("ip_excluded", F.col("_found").isNotNull()).drop("_ip", "_found")
 
 
 def exclude_roles(hits: DataFrame, roles: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from footfall import fixed_values as fv
 from footfall.functions import device, identity, ip, source
+from footfall.functions.text import let
 from footfall.session import broadcast_if_small
 
 GEO_COLUMNS = ["country_code", "country_name", "city_name", "region_code", "continent_code", "continent"]
@@ -43,11 +44,9 @@ def with_source(
     spam: Sequence[str] = tuple(fv.SPAM_DOMAINS),
 ) -> DataFrame:
     """Campaign map ``utm`` and the visit's ``channel``, ``source_name`` and ``source_domain``."""
-    link = F.col(referrer)
+    link, text = F.col(referrer), F.lit(None).cast("string")
     tag = lambda key: F.coalesce(F.try_element_at(F.col("utm"), F.lit(key)), F.lit(""))
-    staged = hits.withColumn("utm", source.extract_utm(F.col(query))).withColumn(
-        "_domain", source.referrer_domain(link)
-    )
+    staged = hits.withColumns({"utm": source.extract_utm(F.col(query)), "_domain": source.referrer_domain(link)})
     staged = staged.withColumns(
         {
             "_link": F.coalesce((~source.blank(link)) & (F.col("_domain") != site_host.lower()), F.lit(False)),
@@ -55,17 +54,30 @@ def with_source(
             "_medium": tag("utm_medium"),
         }
     )
-    staged = staged.withColumn(
-        "_found",
-        source.attribute_source(F.col("_domain"), F.col("_link"), F.col("_source"), F.col("_medium"), spam),
+    # the name the rules look up, and whether a spam referrer leaves the visit without a source
+    staged = staged.withColumns(
+        {
+            "_looked": F.when(F.col("_link"), F.col("_domain")).otherwise(F.lower("_source")),
+            "_spam": F.col("_link") & source.is_spam_domain(F.col("_domain"), spam),
+            "_tagged": (F.col("_source") != "") | (F.col("_medium") != ""),
+            "_paid": F.when(~source.blank(F.col("_medium")), source.utm_medium_channel(F.col("_medium"))),
+        }
     )
-    return staged.withColumns(
+    staged = staged.withColumn("_class", source.domain_class(F.col("_looked")))
+    channel, name = F.col("_class.channel"), F.col("_class.name")
+    named = F.col("_link") | F.col("_tagged")
+    staged = staged.withColumns(
         {
-            "channel": F.col("_found.channel"),
-            "source_name": F.col("_found.name"),
-            "source_domain": F.col("_found.domain"),
+            "channel": F.when(F.col("_spam"), text).when(~named, F.lit("Direct")).otherwise(F.coalesce(F.col("_paid"), channel)),
+            "source_domain": F.when(F.col("_spam"), text).otherwise(F.when(F.col("_link"), F.col("_domain")).otherwise(F.col("_source"))),
+            "_name": F.when(F.col("_paid").isNotNull() | ~named, F.lit("")).otherwise(name),
         }
-    ).drop("_domain", "_link", "_source", "_medium", "_found")
+    )
+    # a tagged visit without a known name is named after its tag
+    shown = F.when(~F.col("_link") & (F.col("_name") == ""), F.col("_source")).otherwise(F.col("_name"))
+    return staged.withColumn("source_name", F.when(~F.col("_spam"), shown)).drop(
+        "_domain", "_link", "_source", "_medium", "_looked", "_spam", "_tagged", "_paid", "_class", "_name"
+    )
 
 
 def salt_intervals(salts: DataFrame) -> DataFrame:
@@ -110,54 +122,75 @@ def with_visitor(
     )
 
 
-def _address_keys(df: DataFrame, ip_col: str) -> DataFrame:
-    """Family, comparable hex key and bucket (first 16 bits of IPv4, first 24 of IPv6)."""
-    number = ip.ipv4_to_long(F.col(ip_col))
-    keyed = df.withColumns({"_n4": number, "_h6": ip.ipv6_to_hex(F.col(ip_col))})
-    key = F.coalesce(F.lower(F.lpad(F.hex("_n4"), 8, "0")), F.col("_h6"))
-    return keyed.withColumn("_key", key).drop("_n4", "_h6")
+def address_key(c):
+    """Comparable hex text of an address: 8 digits for IPv4, 32 for IPv6; NULL for anything else."""
+    return let(c, lambda a: F.coalesce(F.lower(F.lpad(F.hex(ip.ipv4_to_long(a)), 8, "0")), ip.ipv6_to_hex(a)))
 
 
-def _bucket_number(key):
-    return F.conv(F.when(F.length(key) == 8, F.substring(key, 1, 4)).otherwise(F.substring(key, 1, 6)), 16, 10).cast("long")
+def _bucket(key):
+    """First 16 bits of an IPv4 key, first 24 bits of an IPv6 key."""
+    digits = lambda k: F.substring(k, 1, F.when(F.length(k) == 8, 4).otherwise(6))
+    return let(key, lambda k: F.conv(digits(k), 16, 10).cast("long"))
 
 
-def bucket_ranges(ranges: DataFrame, lo: str = "ip_from", hi: str = "ip_to") -> DataFrame:
-    """Address ranges keyed by each prefix they touch, so lookups can use an equality join."""
-    keyed = _address_keys(ranges, lo).withColumnRenamed("_key", "_lo")
-    keyed = _address_keys(keyed, hi).withColumnRenamed("_key", "_hi").drop(lo, hi)
-    return keyed.filter(F.length("_lo") == F.length("_hi")).withColumns(
-        {
-            "_width": F.length("_lo"),
-            "_bucket": F.explode(F.sequence(_bucket_number(F.col("_lo")), _bucket_number(F.col("_hi")))),
-        }
+def range_keys(ranges: DataFrame, lo: str = "ip_from", hi: str = "ip_to") -> DataFrame:
+    """Ranges of addresses as ranges of keys ``_lo`` to ``_hi``."""
+    return ranges.withColumns({"_lo": address_key(F.col(lo)), "_hi": address_key(F.col(hi))}).drop(lo, hi)
+
+
+def cidr_keys(cidrs: DataFrame) -> DataFrame:
+    """Blocks (``cidr``, IPv4 or IPv6, with or without prefix length) as key ranges.
+
+    The digit the prefix ends in is split by its remaining bits; the digits after it run from 0 to f.
+    """
+    base = F.substring_index("cidr", "/", 1)
+    parsed = cidrs.select(
+        address_key(base).alias("_k"),
+        F.when(F.col("cidr").contains("/"), F.substring_index("cidr", "/", -1).try_cast("int")).otherwise(128).alias("_b"),
+    )
+    staged = parsed.filter(F.col("_k").isNotNull() & (F.col("_b") >= 0)).select(
+        "_k", F.length("_k").alias("_w"), F.least(F.col("_b"), F.length("_k") * 4).alias("_b")
     )
+    whole = F.floor(F.col("_b") / 4).cast("int")
+    step = F.pow(F.lit(2), 4 - F.col("_b") % 4).cast("int")
+    digit = F.conv(F.substring("_k", whole + 1, F.lit(1)), 16, 10).cast("int")
+    low = digit - digit % step
+    end = lambda d, fill: F.rpad(
+        F.concat(F.substring("_k", F.lit(1), whole), F.coalesce(F.lower(F.hex(d)), F.lit(""))), F.col("_w"), F.lit(fill)
+    )
+    return staged.select(end(low, "0").alias("_lo"), end(low + step - 1, "f").alias("_hi"))
 
 
-def match_ranges(hits: DataFrame, ranges: DataFrame, ip_col: str, columns: Sequence[str]) -> DataFrame:
-    """(ip, columns) for every distinct address that lies in a range.
+def match_ranges(hits: DataFrame, keys: DataFrame, ip_col: str, columns: Sequence[str] = ()) -> DataFrame:
+    """(``_ip``, ``_found``) for every distinct address that lies in a range of ``keys``.
 
     Distinct addresses are taken first (with map-side combining), so an address that sends a third
-    of all hits is matched once, and one IPv4 prefix holds at most 65,536 of them.
+    of all hits is matched once, and one IPv4 prefix holds at most 65,536 of them. Ranges are keyed
+    by each prefix they touch, which makes the lookup an equality join.
     """
     distinct = hits.select(F.col(ip_col).alias("_ip")).distinct()
-    keyed = _address_keys(distinct, "_ip").filter(F.col("_key").isNotNull())
-    keyed = keyed.withColumns({"_width": F.length("_key"), "_bucket": _bucket_number(F.col("_key"))})
-    side = broadcast_if_small(bucket_ranges(ranges).select("_lo", "_hi", "_width", "_bucket", *columns))
-    found = keyed.join(side, ["_width", "_bucket"]).filter(F.col("_key").between(F.col("_lo"), F.col("_hi")))
-    # ranges should not overlap; if they do, the narrowest (latest start, earliest end) wins
-    best = F.max_by(F.struct(*columns), F.struct("_lo", F.lit(0))) if len(columns) else F.lit(True)
-    return found.groupBy("_ip").agg(best.alias("_found"))
+    keyed = distinct.withColumn("_key", address_key(F.col("_ip")))
+    keyed = keyed.withColumns({"_width": F.length("_key"), "_bucket": _bucket(F.col("_key"))})
+    spread = keys.filter(F.length("_lo") == F.length("_hi")).withColumns(
+        {"_width": F.length("_lo"), "_bucket": F.explode(F.sequence(_bucket(F.col("_lo")), _bucket(F.col("_hi"))))}
+    )
+    side = broadcast_if_small(spread.select("_lo", "_hi", "_width", "_bucket", *columns))
+    between = F.col("_key").between(F.col("_lo"), F.col("_hi"))
+    found = keyed.join(side, ["_width", "_bucket"]).filter(between)
+    # ranges of one table should not overlap; if they do, the one that starts last wins
+    value = F.struct(*columns) if columns else F.lit(True)
+    return found.groupBy("_ip").agg(F.max_by(value, F.col("_lo")).alias("_found"))
 
 
 def geo_enrich(hits: DataFrame, geo_ranges: DataFrame, ip_col: str = "ip") -> DataFrame:
     """Country, city, region and continent of the address; '' when private or unknown."""
-    found = match_ranges(hits, geo_ranges, ip_col, GEO_COLUMNS)
-    found = found.filter(~ip.is_private_ip(F.col("_ip")))
+    found = match_ranges(hits, range_keys(geo_ranges), ip_col, GEO_COLUMNS)
     joined = hits.join(found, hits[ip_col] == found["_ip"], "left")
-    return joined.withColumns(
-        {c: F.coalesce(F.col(f"_found.{c}"), F.lit("")) for c in GEO_COLUMNS}
-    ).drop("_ip", "_found")
+    # only a matched address can need the private test
+    known = joined.withColumn("_known", F.when(F.col("_found").isNotNull(), ~ip.is_private_ip(F.col(ip_col))))
+    return known.withColumns(
+        {c: F.coalesce(F.when(F.col("_known"), F.col(f"_found.{c}")), F.lit("")) for c in GEO_COLUMNS}
+    ).drop("_ip", "_found", "_known")
 
 
 def with_uri(hits: DataFrame) -> DataFrame:

@@ -181,14 +181,14 @@ def utm_parameters(hits: DataFrame) -> DataFrame:
 
 def build_events(events: DataFrame) -> DataFrame:
     """Event rows: clean names and properties, zero ids to NULL; nameless events are dropped."""
-    positive = lambda c: F.when(F.col(c) > 0, F.col(c)) if c in events.columns else F.lit(None).cast("long")
+    present = lambda c: F.when(F.col(c) != 0, F.col(c)) if c in events.columns else F.lit(None).cast("long")
     named = events.withColumn("event_name", clean_event_name(F.col("event_name")))
     cleaned = with_clean_props(named.filter(F.col("event_name").isNotNull()), "properties", "event_data")
     return cleaned.select(
         F.col("event_id").alias("id"),
-        positive("session_id").alias("session_id"),
-        positive("resource_uri_id").alias("resource_uri_id"),
-        positive("user_id").alias("user_id"),
+        present("session_id").alias("session_id"),
+        present("resource_uri_id").alias("resource_uri_id"),
+        present("user_id").alias("user_id"),
         "event_name",
         "event_data",
         F.date_trunc("second", "ts").alias("created_at"),
@@ -233,7 +233,7 @@ def apply_engagement(views: DataFrame, beacons: DataFrame, resource_uris: DataFr
     ).withColumn("_url", ~F.col("_pvid") & ~blank(F.col("page_url")))
     exact = latest(tagged.filter("_pvid"), "pvid")
     url_beacons = tagged.filter("_url").select(F.col("page_url").alias("uri"), "ts", "engagement_time", "scroll_depth")
-    first_uri = resource_uris.groupBy("resource_id").agg(F.min_by("uri", "id").alias("uri"))
+    first_uri = resource_uris.groupBy("resource_id").agg(F.min("uri").alias("uri"))
     resource_beacons = tagged.filter("NOT _pvid AND NOT _url").join(first_uri, "resource_id").select(
         "uri", "ts", "engagement_time", "scroll_depth"
     )
