@@ -505,13 +505,28 @@ SELECT page_id // 10 AS load_id, count(*) AS requests, floor(sum(length(html)) /
 
 # --- I: what a finished stream must have emitted once its watermark passed ----------------------------
 _mark = "(SELECT max(ts) - INTERVAL 1 HOUR FROM hits)"
-oracle("I2_stream_daily_totals", "SELECT 1", "hits")
-del ORACLES["I2_stream_daily_totals"]  # holds an approximate count: its exact columns are checked in the tests
+oracle("I1_stream_active_visitors", f"""
+SELECT {T('w')} AS window_start, {T('w + INTERVAL 5 MINUTE')} AS window_end, count(DISTINCT visitor_id) AS visitors, count(*) AS views
+FROM (SELECT visitor_id, date_trunc('minute', ts) - i * INTERVAL 1 MINUTE AS w FROM hits, range(5) r(i))
+WHERE w + INTERVAL 5 MINUTE <= {_mark} GROUP BY w
+""", "hits")
+oracle("I2_stream_daily_totals", f"""
+SELECT {T('CAST(ts AS DATE)')} AS date, count(DISTINCT visitor_id) AS visitors, count(*) AS views, {SUM('duration')} AS total_duration
+FROM hits WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= {_mark} GROUP BY 1
+""", "hits")
+oracle("I4_stream_sessions_anchored", f"""
+SELECT visitor_id, {T('started_at')} AS started_at, {T('last_at')} AS ended_at, total_views AS hits FROM visits
+WHERE started_at + INTERVAL 1801 SECOND <= {_mark}
+""", "visits", "hits")
+oracle("I7_stream_rate_limit", f"""
+SELECT w.visitor_id AS key, {T('viewed_at')} AS second, count(*) AS hits, count(*) FILTER (WHERE NOT rate_limited) AS accepted
+FROM limit_walk w JOIN hits USING (view_id) WHERE viewed_at + INTERVAL 1 SECOND <= {_mark} GROUP BY w.visitor_id, viewed_at
+""", "limit_walk", "hits")
 oracle("I5_stream_dedup", "SELECT view_id, pvid FROM hits", "hits")
 oracle("I6_stream_engagement", "SELECT view_id, duration + 1 AS engagement_time, scroll_depth FROM hits WHERE view_id % 3 = 0", "hits")
 oracle("I3_stream_sessions_gap", f"SELECT visitor_id, {T('started_at')} AS started_at, {T('ended_at')} AS ended_at, hits FROM (" + f"""
 SELECT visitor_id, min(viewed_at) AS started_at, max(viewed_at) AS ended_at, count(*) AS hits FROM (
   SELECT *, sum(opened) OVER (PARTITION BY visitor_id ORDER BY viewed_at, view_id) AS run FROM (
     SELECT *, CASE WHEN viewed_at <= lag(viewed_at) OVER (PARTITION BY visitor_id ORDER BY viewed_at, view_id) + INTERVAL 1800 SECOND THEN 0 ELSE 1 END AS opened FROM hits)
-) GROUP BY visitor_id, run) WHERE ended_at + INTERVAL 1801 SECOND <= (SELECT date_trunc('second', max(ts)) - INTERVAL 1 HOUR FROM hits)""", "hits")
+) GROUP BY visitor_id, run) WHERE ended_at + INTERVAL 1800 SECOND <= (SELECT date_trunc('second', max(ts)) - INTERVAL 1 HOUR FROM hits)""", "hits")
 oracle("A11_stream_rollup", _site, "site_days")

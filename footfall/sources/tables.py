@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,15 +34,22 @@ def read_rollup(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(TABLES[table]).parquet(path).select(*TABLES[table].names)
 
 
-def write_star(tables: dict[str, DataFrame], path: str) -> None:
-    """Persist every table; facts are partitioned by day and sorted by session inside it."""
-    for name, df in tables.items():
-        target = f"{path.rstrip('/')}/{name}"
-        if name in FACT_TIMES:
-            dated = df.withColumn("day", F.to_date(FACT_TIMES[name])).hint("rebalance", F.col("day"))
-            dated.sortWithinPartitions("day", FACT_ORDER[name]).write.mode("overwrite").partitionBy("day").parquet(target)
-        else:
-            df.hint("rebalance").write.mode("overwrite").parquet(target)
+def _write_table(name: str, df: DataFrame, path: str) -> None:
+    target = f"{path.rstrip('/')}/{name}"
+    if name in FACT_TIMES:
+        dated = df.withColumn("day", F.to_date(FACT_TIMES[name])).hint("rebalance", F.col("day"))
+        dated.sortWithinPartitions("day", FACT_ORDER[name]).write.mode("overwrite").partitionBy("day").parquet(target)
+    else:
+        df.hint("rebalance").write.mode("overwrite").parquet(target)
+
+
+def write_star(tables: dict[str, DataFrame], path: str, at_once: int = 4) -> None:
+    """Persist every table; facts are partitioned by day and sorted by session inside it.
+
+    The tables are independent jobs, so a few are submitted together and fill each other's gaps.
+    """
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        list(pool.map(lambda item: _write_table(*item, path), tables.items()))
 
 
 def read_star(spark: SparkSession, path: str, names: Sequence[str]) -> dict[str, DataFrame]:
