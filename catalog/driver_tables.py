@@ -145,14 +145,21 @@ def geo_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def enrich_hits(hits: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    located = hits.join(places(spark, sf_dir), "user_id", "left")
+    described = enrich.with_device(enrich.with_source(located, SITE_HOST))
+    return star.resolve_fks(
+        described.withColumn("visitor_hash", F.substring(F.unhex(F.sha2(F.col("user_id").cast("string"), 256)), 1, 8))
+    )
+
+
 def enriched_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = raw_events(spark, sf_dir).join(places(spark, sf_dir), "user_id", "left")
-    hits = enrich.with_device(enrich.with_source(hits, SITE_HOST))
-    return star.resolve_fks(hits.withColumn("visitor_hash", F.substring(F.unhex(F.sha2(F.col("user_id").cast("string"), 256)), 1, 8)))
+    return enrich_hits(raw_events(spark, sf_dir), spark, sf_dir)
 
 
 def sessionized_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessionize.sessionize_anchored(enriched_hits(spark, sf_dir))
+    """Sessions first, the rest after: so the join that assigns sessions moves only the raw columns."""
+    return enrich_hits(sessionize.sessionize_anchored(raw_events(spark, sf_dir)), spark, sf_dir)
 
 
 def resources_of(hits: DataFrame) -> DataFrame:

@@ -50,8 +50,9 @@ def is_ip(c: Column) -> Column:
 
 def ipv4_to_long(c: Column) -> Column:
     """Address as a number; NULL when it is no IPv4 address."""
-    parts = F.split(c, r"\.")
-    value = sum(parts[i].cast("long") * (256 ** (3 - i)) for i in range(4))
+    upto = lambda n: F.substring_index(c, ".", n)
+    octets = [upto(1), F.substring_index(upto(2), ".", -1), F.substring_index(upto(3), ".", -1), upto(-1)]
+    value = sum(o.cast("long") * (256 ** (3 - i)) for i, o in enumerate(octets))
     return F.when(is_ipv4(c), value)
 
 
@@ -96,8 +97,8 @@ def anonymize_ip(c: Column) -> Column:
 
 def client_ip(*headers: Column) -> Column:
     """First valid address among the headers (first item of a list); else the loopback address."""
-    given = F.array(*[F.trim(F.substring_index(F.trim(h), ",", 1)) for h in headers])
-    return F.coalesce(F.try_element_at(F.filter(given, is_ip), F.lit(1)), F.lit("127.0.0.1"))
+    first = [F.trim(F.substring_index(h, ",", 1)) for h in headers]
+    return F.coalesce(*[F.when(is_ip(v), v) for v in first], F.lit("127.0.0.1"))
 
 
 def cidr_bounds(cidr: str) -> tuple[int, str, str] | None:

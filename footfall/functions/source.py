@@ -47,39 +47,45 @@ def is_self_referral(url: Column, site_host: str) -> Column:
     return (domain != "") & (domain == site_host.lower())
 
 
+def _host_pattern(domains: Sequence[str]) -> str:
+    """Matches each host itself and its sub-domains."""
+    return "(?:^|\\.)(?:" + "|".join(d.replace(".", "\\.") for d in domains) + ")$"
+
+
 def is_spam_domain(domain: Column, spam: Sequence[str] = tuple(fv.SPAM_DOMAINS)) -> Column:
-    """The domain or one of its parents is listed.
-
-    A host has few parents, so they are listed per row and looked up in one literal set.
-    """
-    lowered = F.lower(domain)
-    labels = F.split(lowered, r"\.")
-    parents = lambda ls: F.transform(
-        F.sequence(F.lit(1), F.size(ls)), lambda i: F.concat_ws(".", F.slice(ls, i, F.size(ls)))
-    )
-    listed = F.arrays_overlap(let(labels, parents), literals(spam)) if spam else F.lit(False)
-    return F.coalesce(listed, F.lit(False))
+    """The domain or one of its parents is listed."""
+    if not spam:
+        return F.lit(False)
+    return F.coalesce(F.lower(domain).rlike(_host_pattern([d.lower() for d in spam])), F.lit(False))
+
+
+_RULES = [("Organic Search", *rule) for rule in fv.SEARCH_ENGINES.items()]
+_RULES += [("Social Media", *rule) for rule in fv.SOCIAL_PLATFORMS.items()]
+
+
+def domain_rule(domain: Column) -> Column:
+    """Number of the first rule a domain meets: 1 for none given, then each listed part, webmail, other."""
+    number = F.when(blank(domain), 1)
+    for i, (_, part, _) in enumerate(_RULES):
+        number = number.when(domain.contains(part), i + 2)
+    return number.when(domain.rlike(_host_pattern(fv.EMAIL_DOMAINS)), len(_RULES) + 2).otherwise(len(_RULES) + 3)
+
+
+def rule_channel(number: Column) -> Column:
+    return F.element_at(literals(["Direct", *[r[0] for r in _RULES], "Email", "Referral"]), number)
+
+
+def rule_name(number: Column, domain: Column) -> Column:
+    """Name of the engine or platform; any other source is named after its domain."""
+    return F.when(number <= len(_RULES) + 1, F.element_at(literals(["", *[r[2] for r in _RULES], "", ""]), number)).otherwise(domain)
 
 
 def domain_class(domain: Column) -> Column:
-    """struct(channel, name) of a domain: the first rule whose part it contains decides."""
-    rules = [
-        (part, label, name)
-        for label, names in (("Organic Search", fv.SEARCH_ENGINES), ("Social Media", fv.SOCIAL_PLATFORMS))
-        for part, name in names.items()
-    ]
-    webmail = "(?:^|\\.)(?:" + "|".join(d.replace(".", "\\.") for d in fv.EMAIL_DOMAINS) + ")$"
-
-    def decide(d: Column) -> Column:
-        rule = F.try_element_at(F.filter(literals(rules, ["part", "channel", "name"]), lambda r: d.contains(r["part"])), F.lit(1))
-        other = F.when(d.rlike(webmail), F.lit("Email")).otherwise(F.lit("Referral"))
-        return F.when(
-            blank(d), F.struct(F.lit("Direct").alias("channel"), F.lit("").alias("name"))
-        ).otherwise(
-            let(rule, lambda r: F.struct(F.coalesce(r["channel"], other).alias("channel"), F.coalesce(r["name"], d).alias("name")))
-        )
-
-    return let(domain, decide)
+    """struct(channel, name) of a domain."""
+    return let(
+        domain_rule(domain),
+        lambda n: F.struct(rule_channel(n).alias("channel"), rule_name(n, domain).alias("name")),
+    )
 
 
 def utm_medium_channel(medium: Column) -> Column:
@@ -97,28 +103,32 @@ def classify_channel(domain: Column, medium: Column | None = None) -> Column:
     return F.when(paid.isNotNull(), by_medium).otherwise(domain_class(domain))
 
 
-def extract_utm(query: Column) -> Column:
-    """map of the campaign keys in a query string: decoded, blanks dropped, last duplicate wins."""
-    decode = lambda c: F.coalesce(F.try_url_decode(c), c)
-    pairs = F.transform(
-        F.split(F.coalesce(query, F.lit("")), "&"),
+def _plain_keys(query: Column) -> Column:
+    """The query's campaign parts with their keys decoded: only for the rare query with coded keys."""
+    parts = F.transform(
+        F.split(query, "&"),
         lambda s: F.struct(
-            decode(F.substring_index(s, "=", 1)).alias("key"),
-            F.when(s.contains("="), decode(F.regexp_replace(s, "^[^=]*=", ""))).otherwise(F.lit("")).alias("value"),
+            F.translate(_decoded(F.substring_index(s, "=", 1)), ". ", "__").alias("key"),
+            F.when(s.contains("="), F.regexp_replace(s, "^[^=]*=", "")).otherwise(F.lit("")).alias("value"),
         ),
     )
-    keys = literals(fv.UTM_KEYS)
-
-    def collect(ps: Column) -> Column:
-        last = lambda key: F.try_element_at(F.filter(ps, lambda p: p["key"] == key), F.lit(-1))["value"]
-        found = F.transform(
-            keys, lambda key: let(last(key), lambda raw: F.struct(
-                key.alias("key"), F.when(~blank(raw), clean_text(raw)).alias("value")
-            ))
-        )
-        return F.map_from_entries(F.filter(found, lambda e: F.coalesce(e["value"], F.lit("")) != ""))
-
-    return let(pairs, collect)
+    ours = F.filter(parts, lambda p: p["key"].isin(fv.UTM_KEYS))
+    return F.array_join(F.transform(ours, lambda p: F.concat_ws("=", p["key"], p["value"])), "&")
+
+
+def _decoded(c: Column) -> Column:
+    return F.coalesce(F.try_url_decode(c), c)
+
+
+def extract_utm(query: Column) -> Column:
+    """map of the campaign keys in a query string: decoded, blanks dropped, last duplicate wins."""
+    coded = query.rlike(r"(?:^|&)[^=&]*[%+. ]")
+    raws = lambda plain: F.array(*[F.regexp_extract(plain, f"^(?:.*&)?{key}=([^&]*)", 1) for key in fv.UTM_KEYS])
+    clean = lambda raw: let(_decoded(raw), lambda v: F.when(~blank(v), clean_text(v)))
+    values = F.transform(let(F.when(coded, _plain_keys(query)).otherwise(query), raws), clean)
+    tagged = F.map_filter(F.map_from_arrays(literals(fv.UTM_KEYS), values), lambda _, v: F.coalesce(v, F.lit("")) != "")
+    # most hits carry no tag: they skip all of the above
+    return F.when(query.contains("utm") | coded, tagged).otherwise(F.expr("cast(map() as map<string,string>)"))
 
 
 def resolve_uri(page_url: Column, resource_type: Column, resource_id: Column) -> Column:

@@ -52,21 +52,24 @@ def with_clean_props(df, props: str, out: str):
     key takes one of the five places even if its value is then dropped. The steps are separate
     columns, so each is evaluated once per row.
     """
-    kind = lambda e: F.schema_of_variant(e["value"])
-    is_text = lambda e: kind(e) == "STRING"
-    is_scalar = lambda e: kind(e).rlike("^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL)")
     pairs = F.map_entries(F.from_json(F.col(props), "map<string,variant>"))
     named = F.filter(
-        F.transform(pairs, lambda e: F.struct(clean_text(e["key"]).alias("key"), e["value"].alias("value"))),
+        F.transform(
+            pairs,
+            lambda e: F.struct(
+                clean_text(e["key"]).alias("key"), e["value"].alias("value"), F.schema_of_variant(e["value"]).alias("kind")
+            ),
+        ),
         lambda e: ~blank(e["key"]),
     )
-    first = F.filter(F.slice(named, 1, 5), lambda e: e["value"].isNotNull() & is_scalar(e))
+    scalar = lambda e: e["kind"].isin("STRING", "BIGINT", "DOUBLE", "FLOAT") | e["kind"].startswith("DECIMAL")
+    first = F.filter(F.slice(named, 1, 5), scalar)
     texts = F.transform(
         F.col("_kept"),
         lambda e: F.struct(
             e["key"].alias("key"),
-            F.when(is_text(e), clean_text(F.variant_get(e["value"], "$", "string"))).alias("text"),
-            F.when(~is_text(e), e["value"]).alias("number"),
+            F.when(e["kind"] == "STRING", clean_text(F.variant_get(e["value"], "$", "string"))).alias("text"),
+            F.when(e["kind"] != "STRING", e["value"]).alias("number"),
         ),
     )
     # cleaning can make two keys equal: the later one wins
@@ -74,7 +77,10 @@ def with_clean_props(df, props: str, out: str):
         F.col("_text"),
         lambda e, i: ~F.exists(F.slice(F.col("_text"), i + 2, 5), lambda later: later["key"] == e["key"]),
     )
-    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    plain = lambda c: ~c.rlike(r'["\\\x00-\x1f]')
+    quoted = lambda c: F.when(plain(c), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(
+        F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    )
     members = F.transform(
         F.col("_last"),
         lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.when(e["text"].isNotNull(), quoted(e["text"])).otherwise(F.to_json(e["number"]))),

@@ -27,7 +27,6 @@ def validate_payload(hits: DataFrame, hosts: Sequence[str], keys: Sequence[str]
     staged = hits.withColumns(
         {
             "_media": media,
-            "_array": body.rlike(r"^\s*\[") & F.get_json_object(body, "$[0]").isNotNull(),
             "_keys": F.json_object_keys(body),
             "_fields": F.from_json(body, "resource_type string, signature string, page_url string"),
         }
@@ -51,7 +50,7 @@ def validate_payload(hits: DataFrame, hosts: Sequence[str], keys: Sequence[str]
     return (
         staged.withColumn("_reject", rule)
         .withColumns({"reject_status": F.col("_reject.status"), "reject_code": F.col("_reject.code")})
-        .drop("_media", "_array", "_keys", "_fields", "_host", "_reject")
+        .drop("_media", "_keys", "_fields", "_host", "_reject")
     )
 
 

@@ -63,8 +63,8 @@ def with_source(
             "_paid": F.when(~source.blank(F.col("_medium")), source.utm_medium_channel(F.col("_medium"))),
         }
     )
-    staged = staged.withColumn("_class", source.domain_class(F.col("_looked")))
-    channel, name = F.col("_class.channel"), F.col("_class.name")
+    staged = staged.withColumn("_rule", source.domain_rule(F.col("_looked")))
+    channel, name = source.rule_channel(F.col("_rule")), source.rule_name(F.col("_rule"), F.col("_looked"))
     named = F.col("_link") | F.col("_tagged")
     staged = staged.withColumns(
         {
@@ -76,7 +76,7 @@ def with_source(
     # a tagged visit without a known name is named after its tag
     shown = F.when(~F.col("_link") & (F.col("_name") == ""), F.col("_source")).otherwise(F.col("_name"))
     return staged.withColumn("source_name", F.when(~F.col("_spam"), shown)).drop(
-        "_domain", "_link", "_source", "_medium", "_looked", "_spam", "_tagged", "_paid", "_class", "_name"
+        "_domain", "_link", "_source", "_medium", "_looked", "_spam", "_tagged", "_paid", "_rule", "_name"
     )
 
 
@@ -124,13 +124,13 @@ def with_visitor(
 
 def address_key(c):
     """Comparable hex text of an address: 8 digits for IPv4, 32 for IPv6; NULL for anything else."""
-    return let(c, lambda a: F.coalesce(F.lower(F.lpad(F.hex(ip.ipv4_to_long(a)), 8, "0")), ip.ipv6_to_hex(a)))
+    v4 = F.lower(F.lpad(F.hex(ip.ipv4_to_long(c)), 8, "0"))
+    return F.when(c.contains(":"), let(c, ip.ipv6_to_hex)).otherwise(v4)
 
 
 def _bucket(key):
     """First 16 bits of an IPv4 key, first 24 bits of an IPv6 key."""
-    digits = lambda k: F.substring(k, 1, F.when(F.length(k) == 8, 4).otherwise(6))
-    return let(key, lambda k: F.conv(digits(k), 16, 10).cast("long"))
+    return F.conv(F.substring(key, 1, F.when(F.length(key) == 8, 4).otherwise(6)), 16, 10).cast("long")
 
 
 def range_keys(ranges: DataFrame, lo: str = "ip_from", hi: str = "ip_to") -> DataFrame:

@@ -19,6 +19,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    # the JVM never compiles methods above 8,000 bytes: let Spark split such stages instead
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     if spark.sparkContext.master.startswith("local"):
         # one machine: no more shuffle partitions than threads (a cluster keeps its own setting)
         threads = spark.sparkContext.defaultParallelism
