@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import quality_gbt
+from footfall.llm import quality_gbt, quality_rules
 from footfall.llm.common import table
 
 
@@ -12,5 +12,9 @@ def op9_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_gbt,)}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op8_quality_rules, op9_quality_gbt)}
 ORACLES: dict[str, str] = {}
