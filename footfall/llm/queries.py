@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import quality_gbt, quality_rules
+from footfall.llm import license_join, quality_gbt, quality_rules, toxic_passages
 from footfall.llm.common import table
 
 
@@ -12,9 +12,17 @@ def op9_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_passages.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules, op9_quality_gbt)}
+def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_join.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op6_toxic_passages, op8_quality_rules, op9_quality_gbt, op10_license_join)}
 ORACLES: dict[str, str] = {}
