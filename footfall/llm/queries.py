@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import license_join, quality_gbt, quality_rules, toxic_passages
+from footfall.llm import license_join, packing, prefix_tokens, quality_gbt, quality_rules, source_mix, toxic_passages
 from footfall.llm.common import table
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tokens.count(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.plan(table(spark, sf_dir, "documents")).drop("key", "nth")
+
+
 def op9_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -16,6 +30,10 @@ def op6_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_passages.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -24,5 +42,11 @@ def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_toxic_passages, op8_quality_rules, op9_quality_gbt, op10_license_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_prefix_tokens, op5_source_mix, op6_toxic_passages, op7_histogram_packing, op8_quality_rules, op9_quality_gbt,
+        op10_license_join,
+    )
+}
 ORACLES: dict[str, str] = {}
