@@ -85,18 +85,23 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word's bytes, A-Z as a-z when ``lower``."""
-        if not len(self):
-            return np.zeros(0, U)
-        size = self.end - self.start
-        ends = np.cumsum(size)
-        place = np.arange(ends[-1]) - np.repeat(ends - size, size)
-        byte = self.data[np.repeat(self.start, size) + place]
-        keyed = BYTE_KEYS[LOWER[byte] if lower else byte]
-        far = int(size.max()) > POWER_SPAN
-        keyed *= POWERS[place % POWER_SPAN if far else place]
-        if far:
-            keyed = mix(keyed + (place // POWER_SPAN).astype(U))
-        return mix(np.add.reduceat(keyed, ends - size) + size.astype(U))
+        return span_hashes(self.data, self.start, self.end, lower)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span (none of them empty), A-Z as a-z when ``lower``."""
+    if not len(start):
+        return np.zeros(0, U)
+    size = end - start
+    ends = np.cumsum(size)
+    place = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    byte = data[np.repeat(start, size) + place]
+    keyed = BYTE_KEYS[LOWER[byte] if lower else byte]
+    far = int(size.max()) > POWER_SPAN
+    keyed *= POWERS[place % POWER_SPAN if far else place]
+    if far:
+        keyed = mix(keyed + (place // POWER_SPAN).astype(U))
+    return mix(np.add.reduceat(keyed, ends - size) + size.astype(U))
 
 
 def windows(words: Words, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import license_join, packing, prefix_tokens, quality_gbt, quality_rules, source_mix, toxic_passages
+from footfall.llm import chunk_fingerprints, license_join, packing, prefix_tokens, quality_gbt, quality_rules, source_mix, toxic_passages
 from footfall.llm.common import table
 
 
@@ -14,6 +14,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.count(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -45,7 +49,7 @@ def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_prefix_tokens, op5_source_mix, op6_toxic_passages, op7_histogram_packing, op8_quality_rules, op9_quality_gbt,
+        op1_chunk_fingerprints, op2_prefix_tokens, op5_source_mix, op6_toxic_passages, op7_histogram_packing, op8_quality_rules, op9_quality_gbt,
         op10_license_join,
     )
 }
