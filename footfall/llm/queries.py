@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import chunk_fingerprints, license_join, minhash_dedup, packing, prefix_tokens, quality_gbt, quality_rules, source_mix, toxic_passages
+from footfall.llm import chunk_fingerprints, license_join, minhash_dedup, packing, prefix_tokens, quality_gbt, quality_rules, source_mix, suffix_dedup, toxic_passages
 from footfall.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.count(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.group(table(spark, sf_dir, "documents"), 85)
 
@@ -53,8 +57,8 @@ def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_chunk_fingerprints, op2_prefix_tokens, op4_superminhash_dedup, op5_source_mix, op6_toxic_passages, op7_histogram_packing, op8_quality_rules, op9_quality_gbt,
-        op10_license_join,
+        op1_chunk_fingerprints, op2_prefix_tokens, op3_suffix_dedup, op4_superminhash_dedup, op5_source_mix, op6_toxic_passages,
+        op7_histogram_packing, op8_quality_rules, op9_quality_gbt, op10_license_join,
     )
 }
 ORACLES: dict[str, str] = {}
