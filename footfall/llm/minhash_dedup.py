@@ -154,7 +154,11 @@ def group(docs: DataFrame, threshold: int = 85) -> DataFrame:
 
 def keep_one(docs: DataFrame, threshold: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose id is the smallest of its group; of rows that repeat an id, one stays."""
-    gone = group(docs, threshold).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    found = settle(group(docs, threshold))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"))
-    rows = rows.join(gone, F.col("id") == F.col("gone_id"), "left_anti")
-    return rows.select("row.*")
+    gone = found.where("not kept").select(F.col("doc_id").alias("id")).distinct()
+    again = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
+    left = rows.join(gone, "id", "left_anti")
+    if not again.isEmpty():
+        left = left.join(again, "id", "left_anti").unionByName(left.join(again, "id", "left_semi").dropDuplicates(["id"]))
+    return left.select("row.*")

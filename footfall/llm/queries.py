@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import chunk_fingerprints, license_join, minhash_dedup, packing, prefix_tokens, quality_gbt, quality_rules, source_mix, suffix_dedup, toxic_passages
-from footfall.llm.common import table
-
-
-def tokenizer_file(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+import corpus_pipeline
+from footfall.llm import (
+    chunk_fingerprints,
+    license_join,
+    minhash_dedup,
+    packing,
+    prefix_tokens,
+    quality_gbt,
+    quality_rules,
+    source_mix,
+    suffix_dedup,
+    toxic_passages,
+)
+from footfall.llm.common import table, tokenizer_file
 
 
 def op1_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,10 +40,6 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.plan(table(spark, sf_dir, "documents")).drop("key", "nth")
 
 
-def op9_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_gbt.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-
-
 def op6_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_passages.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,15 +52,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gbt.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chunk_fingerprints, op2_prefix_tokens, op3_suffix_dedup, op4_superminhash_dedup, op5_source_mix, op6_toxic_passages,
-        op7_histogram_packing, op8_quality_rules, op9_quality_gbt, op10_license_join,
+        op7_histogram_packing, op8_quality_rules, op9_quality_gbt, op10_license_join, pipeline,
     )
 }
 ORACLES: dict[str, str] = {}
