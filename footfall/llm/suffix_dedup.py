@@ -4,9 +4,10 @@ Every string of ``LEAST`` bytes contains an anchor: the 18-byte string in it who
 at the same place, so all occurrences of a repeat meet where their anchor does:
 
 1. Texts are packed into units of about 2 MB, written once to the shared folder; a unit is the address results come back to.
-2. Hashes of each unit's anchors, each once, are dealt out by hash; those of several documents go back to their units.
-3. Units send the bytes around shared anchors (each distinct context once, with the smallest document that has it) to the anchor's
-   bucket. There an enhanced suffix array over the contexts is scanned with a stack for common-prefix intervals; those that
+2. Hashes of each unit's anchors, each once, are dealt out by hash; those of several documents go back to their units. Digests of
+   whole texts tell which documents are copies of a smaller one: those are covered wholly and take no further part.
+3. Units send the bytes of the strings that chose a shared anchor (each distinct context once, with the smallest document that has
+   it) to the anchor's bucket. There an enhanced suffix array over the contexts is scanned with a stack for common-prefix intervals; those that
    differ in what stands ahead are the maximal repeats, with all their occurrences, and the smallest document owns each.
 4. Units get the owners of their contexts, and bytes covered by a string that a smaller document owns are removed.
 
@@ -37,7 +38,8 @@ HOT_UNITS = 256
 SLICE_BYTES = 500_000
 SYMBOLS = 1_500_000
 NOBODY = np.iinfo(np.int64).max
-UNIT = "unit long, blob binary"
+UNIT = "unit long, blob binary, digests binary"
+COPY = "high long, low long, doc long, unit long, place int"
 PIECE = "bucket int, unit long, payload binary"
 REPLY = "unit long, payload binary"
 COLUMNS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -68,7 +70,11 @@ def pack_units(rows: DataFrame) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([first + k]), pa.array([sink.getvalue().to_pybytes()])], ["unit", "blob"])
+            blob = sink.getvalue().to_pybytes()
+            data, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
+            cut = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+            digests = b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in cut)
+            yield rows_of(UNIT, [(first + k, blob, digests)])
 
     return settle(rows.mapInArrow(run, UNIT))
 
@@ -82,53 +88,58 @@ class Unit:
         ids = self.batch.column(self.batch.schema.get_field_index("doc_id")).cast(pa.int64())
         self.ids = ids.fill_null(NOBODY).to_numpy(zero_copy_only=False)
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and hashes of the anchors of all strings of ``LEAST`` bytes."""
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Positions and hashes of the anchors of all strings of ``LEAST`` bytes, and the first and last start of their strings."""
         found, a = [], 0
         last = len(self.offsets) - 1
         while a < last:
             b = max(a + 1, int(np.searchsorted(self.offsets, self.offsets[a] + SLICE_BYTES, "right")) - 1)
-            at, key = anchors_of(self.data[self.offsets[a] : self.offsets[b]], self.offsets[a : b + 1] - self.offsets[a])
-            found.append((at + self.offsets[a], key))
+            at, key, first, last_start = anchors_of(self.data[self.offsets[a] : self.offsets[b]], self.offsets[a : b + 1] - self.offsets[a])
+            found.append((at + self.offsets[a], key, first + self.offsets[a], last_start + self.offsets[a]))
             a = b
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, U)
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (none, none.astype(U), none, none)
 
     def texts_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, at, "right") - 1
 
-    def contexts(self, shared: np.ndarray) -> Contexts:
-        """Contexts of the anchors whose hash is in ``shared`` (sorted, lowest bit: hot)."""
-        at, key = self.anchors()
+    def contexts(self, shared: np.ndarray, copies: np.ndarray) -> Contexts:
+        """Contexts of the anchors whose hash is in ``shared`` (sorted, lowest bit: hot), but for texts that are copies."""
+        at, key, first, last = self.anchors()
         key = short(key)
         hit = np.minimum(np.searchsorted(shared, key), max(len(shared) - 1, 0))
-        take = np.flatnonzero((shared[hit] | U(1)) == (key | U(1))) if len(shared) else np.zeros(0, np.int64)
+        own = np.ones(len(self.ids), bool)
+        own[copies] = False
         # a hot hash sorts one above its plain form
-        hot = (shared[hit[take]] & U(1)) == 1
-        at, key = at[take], key[take]
-        text = self.texts_of(at)
-        left = np.minimum(REACH, at - self.offsets[text])
-        right = np.minimum(LEAST, self.offsets[text + 1] - at)
-        plain = ~hot
-        # of a hot anchor each string of LEAST bytes around it stands alone
-        low = np.maximum(LEAST - right[hot], 0)
-        size = np.maximum(left[hot] - low + 1, 0)
-        back = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
-        parts = [(at[plain], left[plain], right[plain], key[plain], text[plain])]
-        parts.append((np.repeat(at[hot], size), back, LEAST - back, np.repeat(key[hot] | U(1), size), np.repeat(text[hot], size)))
-        return Contexts(self, *(np.concatenate(c) for c in zip(*parts, strict=True)))
+        wanted = (shared[hit] | U(1)) == (key | U(1)) if len(shared) else np.zeros(len(key), bool)
+        take = np.flatnonzero(wanted & own[self.texts_of(at)])
+        hot = (shared[hit[take]] & U(1)) == 1 if len(shared) else np.zeros(0, bool)
+        at, first, last = at[take], first[take], last[take]
+        # of a hot anchor each string of LEAST bytes stands alone
+        size = np.where(hot, last - first + 1, 1)
+        start = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+        end = np.where(np.repeat(hot, size), start, np.repeat(last, size)) + LEAST
+        return Contexts(self, start, end - start, np.repeat(at, size) - start, np.repeat(hot, size), np.repeat(key[take], size))
 
 
 class Contexts:
-    """Bytes around anchors: from ``left`` ahead of ``at`` up to ``right`` behind it."""
+    """The bytes of the strings that chose an anchor: where they start, how many, and how far in the anchor stands."""
 
-    def __init__(self, unit: Unit, at, left, right, key, text):
-        enough = left + right >= LEAST
-        self.unit, self.at, self.left, self.right, self.key, self.text = unit, *(c[enough] for c in (at, left, right, key, text))
-        self.start = self.at - self.left
-        self.size = self.left + self.right
-        self.mark = mix(span_hashes(unit.data, self.start, self.start + self.size) + mix(self.left.astype(U)))
+    def __init__(self, unit: Unit, start, size, left, hot, key):
+        self.start, self.size, self.left, self.hot, self.key = start, size, left, hot, key
+        self.text = unit.texts_of(start)
+        self.mark = marks_of(unit.data, start, size, left)
+
+
+def marks_of(data: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """A hash of each context."""
+    return mix(span_hashes(data, start, start + size) + mix(left.astype(U)))
+
+
+def gram_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the strings of ``GRAM`` bytes that start at the given places, as ``anchors_of`` has them."""
+    powers = np.array([pow(MULTIPLIER, GRAM - 1 - k, 2**64) for k in range(GRAM)], U)
+    return mix((BYTE_KEYS[data[at[:, None] + np.arange(GRAM)]] * powers).sum(1, dtype=U))
 
 
 def short(key: np.ndarray) -> np.ndarray:
@@ -136,10 +147,11 @@ def short(key: np.ndarray) -> np.ndarray:
     return (key >> U(16)) & ~U(1)
 
 
-def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
+    none = np.zeros(0, np.int64)
     if n < LEAST:
-        return np.zeros(0, np.int64), np.zeros(0, U)
+        return none, none.astype(U), none, none
     # hashes of strings of 2, 4, 8, 16 bytes, then of GRAM = 16 + 2
     grown, width, power, kept = BYTE_KEYS[data], 1, MULTIPLIER, {}
     while width * 2 <= GRAM:
@@ -159,15 +171,17 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     if span < REACH + 1:
         rest = REACH + 1 - span
         low = np.minimum(low[:-rest], low[rest:])
-    inside = np.ones(len(low), bool)
-    ends = offsets[1:]
-    # windows that would run over the end of a text
-    edge = np.bincount(np.clip(ends[:-1] - LEAST + 1, 0, None).clip(0, len(low)), minlength=len(low) + 1)[: len(low) + 1]
-    edge = edge.astype(np.int64) - np.bincount(ends[:-1].clip(0, len(low)), minlength=len(low) + 1)
-    crossing = np.cumsum(edge)[: len(low)] > 0
-    inside &= ~crossing
-    at = np.unique((U(0xFFFFFFFF) - (low[inside] & U(0xFFFFFFFF))).astype(np.int64))
-    return at, key[at]
+    # without the strings that would run over the end of a text
+    ends = offsets[1:-1].clip(0, len(low))
+    begin = (offsets[1:-1] - LEAST + 1).clip(0, len(low))
+    edge = np.bincount(begin, minlength=len(low) + 1).astype(np.int64) - np.bincount(ends, minlength=len(low) + 1)
+    start = np.flatnonzero(np.cumsum(edge)[: len(low)] == 0)
+    chosen = (U(0xFFFFFFFF) - (low[start] & U(0xFFFFFFFF))).astype(np.int64)
+    new = np.ones(len(start), bool)
+    new[1:] = chosen[1:] != chosen[:-1]
+    heads = np.flatnonzero(new)
+    at = chosen[heads]
+    return at, key[at], start[heads], start[np.append(heads[1:], len(start))[: len(heads)] - 1]
 
 
 def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,7 +206,7 @@ def send_anchors(units: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 unit = Unit(blob)
-                at, key = unit.anchors()
+                at, key, _, _ = unit.anchors()
                 key, text = short(key), unit.texts_of(at)
                 order = np.lexsort((text, key))
                 key, text = key[order], text[order]
@@ -209,7 +223,23 @@ def send_anchors(units: DataFrame, buckets: int) -> DataFrame:
                     rows.append((b, name, mine.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
                 yield rows_of(PIECE, rows)
 
-    return units.mapInArrow(run, PIECE)
+    return units.select("unit", "blob").mapInArrow(run, PIECE)
+
+
+def find_copies(units: DataFrame) -> DataFrame:
+    """For each unit the places of its texts that a document with a smaller id has too, as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, blob, digests in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                ids = Unit(blob).ids.tolist()
+                yield rows_of(COPY, [(*h, doc, name, k) for k, (h, doc) in enumerate(zip(halves.tolist(), ids, strict=True))])
+
+    texts_ = units.mapInArrow(run, COPY)
+    least = texts_.groupBy("high", "low").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1")
+    copies = texts_.join(least, ["high", "low"]).where("doc > least")
+    return settle(copies.groupBy("unit").agg(F.collect_list("place").alias("copies")))
 
 
 def per_bucket(pieces: DataFrame, answer: Callable[[list[int], list[bytes]], list[tuple]]) -> DataFrame:
@@ -255,37 +285,40 @@ def find_shared(names: list[int], payloads: list[bytes]) -> list[tuple]:
     return rows
 
 
-def send_contexts(units: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
-    """For each unit and bucket the distinct contexts: key, mark, left and full length, bytes, smallest and largest document."""
+def send_contexts(units: DataFrame, replies: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
+    """For each unit and bucket the distinct contexts: whether hot, place of the anchor, length, bytes, smallest and largest document.
+
+    What the bucket can work out from the bytes isn't sent; documents count from the unit's smallest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, blob, payloads in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, blob, payloads, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 unit = Unit(blob)
                 shared = np.sort(np.concatenate([loosen(p, U)[0] for p in payloads]))
-                found = unit.contexts(shared)
+                found = unit.contexts(shared, np.array(places or [], np.int64))
                 marks, first, inverse = np.unique(found.mark, return_index=True, return_inverse=True)
                 doc = unit.ids[found.text]
                 least, most = np.full(len(marks), NOBODY), np.full(len(marks), np.iinfo(np.int64).min)
                 np.minimum.at(least, inverse, doc)
                 np.maximum.at(most, inverse, doc)
-                key = found.key[first]
                 # contexts of a plain anchor meet at the anchor, single strings of a hot one at their own hash
-                place = np.where((key & U(1)) == 1, mix(marks), key)
+                place = np.where(found.hot[first], mix(marks), found.key[first])
                 order, names, heads = by_bucket(place, buckets)
-                rows = []
+                base, rows = unit.ids.min(initial=NOBODY), []
                 for k, b in enumerate(names.tolist()):
-                    mine = order[heads[k] : heads[k + 1]]
-                    # neighbours in one bucket share their anchor: sorted, they compress
-                    mine = mine[np.argsort(place[mine], kind="stable")]
+                    mine = np.sort(order[heads[k] : heads[k + 1]])
+                    mine = mine[np.argsort(found.start[first[mine]], kind="stable")]
                     spots, size = found.start[first[mine]], found.size[first[mine]]
                     inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(spots, size)
-                    parts = (key[mine], marks[mine], found.left[first[mine]].astype(np.uint8), size.astype(np.uint8), unit.data[inner], least[mine], most[mine])
-                    rows.append((b, name, squeeze(*parts)))
+                    small = (found.hot[first[mine]], found.left[first[mine]].astype(np.uint8), size.astype(np.uint8))
+                    docs = (np.array([base]), least[mine] - base, most[mine] - least[mine])
+                    rows.append((b, name, squeeze(*small, unit.data[inner], *docs)))
                 yield rows_of(PIECE, rows)
 
     gathered = replies.groupBy("unit").agg(F.collect_list("payload").alias("payloads"))
-    return units.join(gathered, "unit").select("unit", "blob", "payloads").mapInArrow(run, PIECE)
+    joined = units.join(gathered, "unit").join(copies, "unit", "left")
+    return joined.select("unit", "blob", "payloads", "copies").mapInArrow(run, PIECE)
 
 
 def own_windows(data: np.ndarray, size: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -321,16 +354,19 @@ def own_windows(data: np.ndarray, size: np.ndarray, least: np.ndarray) -> np.nda
 
 def find_owners(names: list[int], payloads: list[bytes]) -> list[tuple]:
     """Tell each unit, for contexts in which a smaller document owns something, who owns the string at each place."""
-    kinds = (U, U, np.uint8, np.uint8, np.uint8, np.int64, np.int64)
-    parts = [loosen(p, *kinds) for p in payloads]
+    parts = [loosen(p, bool, np.uint8, np.uint8, np.uint8, np.int64, np.int64, np.int64) for p in payloads]
     count = np.array([len(p[0]) for p in parts])
-    key, mark, left, size, data, least, most = (np.concatenate(c) for c in zip(*parts, strict=True))
-    size = size.astype(np.int64)
-    ends = np.cumsum(size)
+    hot, left, size, data = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    least = np.concatenate([p[4] + p[5] for p in parts])
+    most = least + np.concatenate([p[6] for p in parts])
+    size, left = size.astype(np.int64), left.astype(np.int64)
+    begin = np.cumsum(size) - size
+    key = short(gram_keys(data, begin + left)) | hot.astype(U)
+    mark = marks_of(data, begin, size, left)
     _, index, inverse = np.unique(mark, return_index=True, return_inverse=True)
     lowest = np.full(len(index), NOBODY)
     np.minimum.at(lowest, inverse, least)
-    # distinct contexts by anchor, so many anchors to an array; a string of a hot anchor meets only its equals
+    # distinct contexts by anchor: those of one anchor go into one array, with others as long as there is room
     index = index[np.argsort(key[index], kind="stable")]
     back = np.empty(len(index), np.int64)
     back[inverse[index]] = np.arange(len(index))
@@ -345,14 +381,12 @@ def find_owners(names: list[int], payloads: list[bytes]) -> list[tuple]:
             b += 1
         chosen = index[a:b]
         n = size[chosen]
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends[chosen] - n, n)
-        owner = own_windows(data[inner], n, lowest[inverse[chosen]])
-        # column l: the string that starts l bytes ahead of the anchor
         heads = np.cumsum(n) - n
-        for step in range(REACH + 1):
-            at = left[chosen].astype(np.int64) - step
-            fit = np.flatnonzero((at >= 0) & (at + LEAST <= n))
-            owners[a + fit, step] = owner[heads[fit] + at[fit]]
+        inner = np.arange(n.sum()) - np.repeat(heads, n) + np.repeat(begin[chosen], n)
+        owner = own_windows(data[inner], n, lowest[inverse[chosen]])
+        for k in range(REACH + 1):
+            fit = np.flatnonzero(k + LEAST <= n)
+            owners[a + fit, k] = owner[heads[fit] + k]
         a = b
     mine = back[inverse]
     gain = owners[mine].min(1) < most
@@ -361,43 +395,48 @@ def find_owners(names: list[int], payloads: list[bytes]) -> list[tuple]:
         take = a + np.flatnonzero(gain[a : a + n])
         a += n
         if len(take):
-            rows.append((name, squeeze(key[take], mark[take], owners[mine[take]].reshape(-1))))
+            rows.append((name, squeeze(key[take], mark[take], owners[mine[take]].T.reshape(-1))))
     return rows
 
 
-def covered(unit: Unit, payloads: list[bytes]) -> np.ndarray:
+def covered(unit: Unit, payloads: list[bytes], copies: list[int]) -> np.ndarray:
     """True for every byte of the unit's texts inside a string that a smaller document owns."""
     n = len(unit.data)
+    whole = np.array(copies, np.int64)
+    whole = whole[np.diff(unit.offsets)[whole] >= LEAST]
+    gone = union(unit.offsets[whole], np.diff(unit.offsets)[whole], n)
     if not payloads:
-        return np.zeros(n, bool)
-    keys, marks, owners = (np.concatenate(c) for c in zip(*(loosen(p, U, U, np.int64) for p in payloads), strict=True))
-    owners = owners.reshape(-1, REACH + 1)
+        return gone
+    parts = [loosen(p, U, U, np.int64) for p in payloads]
+    keys, marks = (np.concatenate([p[k] for p in parts]) for k in range(2))
+    owners = np.concatenate([p[2].reshape(REACH + 1, -1).T for p in parts])
     order = np.argsort(marks)
     marks, owners = marks[order], owners[order]
-    found = unit.contexts(np.unique(keys))
+    found = unit.contexts(np.unique(keys), whole)
     at = np.minimum(np.searchsorted(marks, found.mark), len(marks) - 1)
     hit = np.flatnonzero(marks[at] == found.mark)
-    gone = owners[at[hit]] < unit.ids[found.text[hit]][:, None]
-    which, step = np.nonzero(gone)
-    starts = np.unique(found.at[hit[which]] - step)
-    return union(starts, np.full(len(starts), LEAST), n)
+    which, step = np.nonzero(owners[at[hit]] < unit.ids[found.text[hit]][:, None])
+    starts = np.unique(found.start[hit[which]] + step)
+    return gone | union(starts, np.full(len(starts), LEAST), n)
 
 
 def _owned(rows: DataFrame, answer: Callable, schema) -> DataFrame:
     """Run the four steps and answer every unit with the bytes to remove."""
     units = pack_units(rows)
-    buckets = 4 * partitions(rows.sparkSession)
+    buckets = 2 * partitions(rows.sparkSession)
+    copies = find_copies(units)
     shared = per_bucket(send_anchors(units, buckets), find_shared)
-    owners = per_bucket(send_contexts(units, shared, buckets), find_owners)
+    owners = per_bucket(send_contexts(units, shared, copies, buckets), find_owners)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob, payloads in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for blob, payloads, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 unit = Unit(blob)
-                yield answer(unit, covered(unit, payloads or []))
+                yield answer(unit, covered(unit, payloads or [], places or []))
 
     gathered = owners.groupBy("unit").agg(F.collect_list("payload").alias("payloads"))
-    return units.join(gathered, "unit", "left").select("blob", "payloads").mapInArrow(run, schema)
+    joined = units.join(gathered, "unit", "left").join(copies, "unit", "left")
+    return joined.select("blob", "payloads", "copies").mapInArrow(run, schema)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
