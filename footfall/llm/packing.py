@@ -9,7 +9,6 @@ within their length.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ from footfall.llm.kernels import steps
 
 SIZE = 4096
 END_ID = 1
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 _loaded: dict[str, WordTokenizer] = {}
@@ -46,9 +45,9 @@ class WordTokenizer:
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.split = re.compile("[ \n]+")
         self.letters: dict[str, bytes] = {}
-        self.table: dict[str, bytes] = {}
+        self.table: dict[str, bytes] = {"": b""}
+        self.marks = {m: self._encode([m])[0].tobytes() for m in ("", ".", ",")}
 
     def _encode(self, parts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
@@ -57,38 +56,37 @@ class WordTokenizer:
         for a in range(0, len(words), 1000):
             some = words[a : a + 1000]
             ids = self._encode([" ".join(some)])[0]
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some) and len(ids) == stops[-1]:
-                self.letters.update(zip(some, (p.tobytes() for p in np.split(ids, stops[:-1])), strict=True))
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(stops) == len(some) and 4 * len(ids) == stops[-1]:
+                raw = ids.tobytes()
+                self.letters.update(zip(some, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=True))
             else:
                 self.letters.update(zip(some, (p.tobytes() for p in self._encode(some)), strict=True))
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.table) > REMEMBERED:
-            self.table = {}
         if len(self.letters) > REMEMBERED:
             self.letters = {}
         shapes, other = [], []
         for word in words:
-            core, tail = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
-            core = core.lower()
-            if core.isalpha() and core == core.lower():
-                shapes.append((word, core, tail))
+            tail = word[-1]
+            core = word[:-1].lower() if tail == "." or tail == "," else word.lower()
+            if core.isalpha() and core.islower():
+                shapes.append((word, core))
             else:
                 other.append(word)
-        self._learn_letters(sorted({c for _, c, _ in shapes} - self.letters.keys()))
-        marks = dict(zip(["", ".", ","], (p.tobytes() for p in self._encode(["", ".", ","])), strict=True))
-        for word, core, tail in shapes:
-            self.table[word] = self.letters[core] + marks[tail]
+        self._learn_letters(sorted({c for _, c in shapes} - self.letters.keys()))
+        letters, marks = self.letters, self.marks
+        # a word is as long as its core, or has a mark behind it
+        self.table.update([(w, letters[c] if w[-1] not in ".," else letters[c] + marks[w[-1]]) for w, c in shapes])
         self.table.update(zip(other, (p.tobytes() for p in self._encode(other)), strict=True))
 
     def encode(self, values: list[str]) -> list[np.ndarray]:
-        cut = [self.split.split(t) for t in values]
-        new = {w for ws in cut for w in ws} - self.table.keys()
+        cut = [t.replace("\n", " ").split(" ") for t in values]
+        if len(self.table) > REMEMBERED:
+            self.table = {"": b""}
+        new = set().union(*cut) - self.table.keys()
         if new:
             self._learn(new)
-            if any(w not in self.table for ws in cut for w in ws):  # the table was emptied
-                self._learn({w for ws in cut for w in ws} - self.table.keys())
         get = self.table.__getitem__
         return [np.frombuffer(b"".join(map(get, ws)), "<u4") for ws in cut]
 
