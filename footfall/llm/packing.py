@@ -47,14 +47,14 @@ class WordTokenizer:
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.letters: dict[str, bytes] = {}
         self.table: dict[str, bytes] = {"": b""}
-        self.marks = {m: self._encode([m])[0].tobytes() for m in ("", ".", ",")}
+        self.marks = {m: self._encode([m])[0].tobytes() for m in (".", ",")}
 
     def _encode(self, parts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _learn_letters(self, words: list[str]) -> None:
-        for a in range(0, len(words), 1000):
-            some = words[a : a + 1000]
+        for a in range(0, len(words), 100):
+            some = words[a : a + 100]
             ids = self._encode([" ".join(some)])[0]
             stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(stops) == len(some) and 4 * len(ids) == stops[-1]:
@@ -63,22 +63,19 @@ class WordTokenizer:
             else:
                 self.letters.update(zip(some, (p.tobytes() for p in self._encode(some)), strict=True))
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         if len(self.letters) > REMEMBERED:
             self.letters = {}
-        shapes, other = [], []
-        for word in words:
-            tail = word[-1]
-            core = word[:-1].lower() if tail == "." or tail == "," else word.lower()
-            if core.isalpha() and core.islower():
-                shapes.append((word, core))
-            else:
+        cores = [c[:-1] if c[-1] in ".," else c for c in " ".join(words).lower().split(" ")]
+        self._learn_letters([c for c in set(cores) - self.letters.keys() if c.isalpha() and c.islower()])
+        table, letters, marks, other = self.table, self.letters, self.marks, []
+        for word, core in zip(words, cores, strict=True):
+            ids = letters.get(core)
+            if ids is None:
                 other.append(word)
-        self._learn_letters(sorted({c for _, c in shapes} - self.letters.keys()))
-        letters, marks = self.letters, self.marks
-        # a word is as long as its core, or has a mark behind it
-        self.table.update([(w, letters[c] if w[-1] not in ".," else letters[c] + marks[w[-1]]) for w, c in shapes])
-        self.table.update(zip(other, (p.tobytes() for p in self._encode(other)), strict=True))
+            else:  # a word is its core, or has a mark behind it
+                table[word] = ids + marks[word[-1]] if word[-1] in ".," else ids
+        table.update(zip(other, (p.tobytes() for p in self._encode(other)), strict=True))
 
     def encode(self, values: list[str]) -> list[np.ndarray]:
         cut = [t.replace("\n", " ").split(" ") for t in values]
@@ -86,7 +83,7 @@ class WordTokenizer:
             self.table = {"": b""}
         new = set().union(*cut) - self.table.keys()
         if new:
-            self._learn(new)
+            self._learn(list(new))
         get = self.table.__getitem__
         return [np.frombuffer(b"".join(map(get, ws)), "<u4") for ws in cut]
 
