@@ -7,8 +7,8 @@ at the same place, so all occurrences of a repeat meet where their anchor does:
 2. Hashes of each unit's anchors, each once, are dealt out by hash; those of several documents go back to their units. Digests of
    whole texts tell which documents are copies of a smaller one: those are covered wholly and take no further part.
 3. Units send the bytes of the strings that chose a shared anchor (each distinct context once, with the smallest document that has
-   it) to the anchor's bucket. There an enhanced suffix array over the contexts is scanned with a stack for common-prefix intervals; those that
-   differ in what stands ahead are the maximal repeats, with all their occurrences, and the smallest document owns each.
+   it) to the anchor's bucket. There an enhanced suffix array over the contexts is scanned with a stack for common-prefix intervals;
+   those that differ in what stands ahead are the maximal repeats, with all their occurrences, and the smallest document owns each.
 4. Units get the owners of their contexts, and bytes covered by a string that a smaller document owns are removed.
 
 An anchor that very many units share (``HOT_UNITS``) is not gathered in one bucket: there each string of ``LEAST`` bytes
@@ -37,6 +37,7 @@ REACH = LEAST - GRAM  # how far ahead of its anchor a string may start
 HOT_UNITS = 256
 SLICE_BYTES = 500_000
 SYMBOLS = 1_500_000
+LEVEL = 6  # of compression: units are on disk three times
 NOBODY = np.iinfo(np.int64).max
 UNIT = "unit long, blob binary, digests binary"
 COPY = "high long, low long, doc long, unit long, place int"
@@ -47,16 +48,17 @@ MULTIPLIER = 0x5851F42D4C957F2D
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays one behind the other, each with its length, compressed."""
-    raw = b"".join(len(a.tobytes()).to_bytes(8, "little") + a.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+    """Arrays one behind the other, each with its length, first bytes of all numbers first, compressed."""
+    raw = b"".join(a.nbytes.to_bytes(8, "little") + np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(raw)
 
 
 def loosen(payload: bytes, *kinds) -> list[np.ndarray]:
     raw, at, out = zstandard.ZstdDecompressor().decompress(payload), 0, []
     for kind in kinds:
         size = int.from_bytes(raw[at : at + 8], "little")
-        out.append(np.frombuffer(raw, kind, count=size // np.dtype(kind).itemsize, offset=at + 8))
+        planes = np.frombuffer(raw, np.uint8, count=size, offset=at + 8).reshape(np.dtype(kind).itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
         at += 8 + size
     return out
 
@@ -68,7 +70,8 @@ def pack_units(rows: DataFrame) -> DataFrame:
         first = TaskContext.get().partitionId() << 32
         for k, batch in enumerate(steps(batches)):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            codec = pa.Codec("zstd", compression_level=LEVEL)
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as out:
                 out.write_batch(batch)
             blob = sink.getvalue().to_pybytes()
             data, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
@@ -219,8 +222,7 @@ def send_anchors(units: DataFrame, buckets: int) -> DataFrame:
                 order, names, first = by_bucket(keys, buckets)
                 rows = []
                 for k, b in enumerate(names.tolist()):
-                    mine = keys[order[first[k] : first[k + 1]]]
-                    rows.append((b, name, mine.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
+                    rows.append((b, name, squeeze(keys[order[first[k] : first[k + 1]]])))
                 yield rows_of(PIECE, rows)
 
     return units.select("unit", "blob").mapInArrow(run, PIECE)
@@ -264,11 +266,7 @@ def per_bucket(pieces: DataFrame, answer: Callable[[list[int], list[bytes]], lis
 
 def find_shared(names: list[int], payloads: list[bytes]) -> list[tuple]:
     """Tell each unit which of its anchors other documents have too; the lowest bit marks hot ones."""
-    parts = []
-    for p in payloads:
-        wide = np.zeros((len(p) // 6, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(p, np.uint8).reshape(-1, 6)
-        parts.append(wide.view("<u8").reshape(-1).astype(U))
+    parts = [loosen(p, U)[0] for p in payloads]
     size = [len(p) for p in parts]
     keys = np.concatenate(parts)
     plain, inverse, count = np.unique(keys >> U(1), return_inverse=True, return_counts=True)
