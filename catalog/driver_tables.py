@@ -65,7 +65,7 @@ def as_hits(events: DataFrame) -> DataFrame:
     user, event = F.col("user_id"), F.col("event_id")
     k = F.get_json_object("props", "$.k").cast("long")
     address = F.when(user % 5 == 0, F.concat_ws(".", F.lit("10.0"), user % 256, event % 250)).otherwise(
-        F.concat_ws(".", F.lit("20"), F.floor(user / 256) % 256, user % 256, event % 250)
+        F.concat_ws(".", 20 + F.floor(user / 65536) % 80, F.floor(user / 256) % 256, user % 256, event % 250)
     )
     return events.select(
         event.alias("view_id"),
@@ -138,8 +138,8 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 def geo_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One /24 per customer, except for every third one."""
     c = F.col("user_id")
-    base = F.concat_ws(".", F.lit("20"), F.floor(c / 256) % 256, c % 256)
-    return places(spark, sf_dir).filter((c % 3 != 1) & (c < 65536)).select(
+    base = F.concat_ws(".", 20 + F.floor(c / 65536) % 80, F.floor(c / 256) % 256, c % 256)
+    return places(spark, sf_dir).filter(c % 3 != 1).select(
         F.concat(base, F.lit(".0")).alias("ip_from"), F.concat(base, F.lit(".255")).alias("ip_to"),
         "country_code", "country_name", "city_name", "region_code", "continent_code", "continent",
     )

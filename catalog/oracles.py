@@ -210,12 +210,11 @@ del ORACLES["C16_resolve_uri"]  # no CRC-32 in SQL: checked by value in the test
 oracle("C17_clean_event_name", """
 SELECT name, count(*) AS events FROM (
   SELECT CASE WHEN c IN ('', '0') THEN NULL ELSE c END AS name FROM (
-    SELECT substr(regexp_replace(regexp_replace(trim(raw), '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 100) AS c
+    SELECT regexp_replace(regexp_replace(trim(raw), '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS c
     FROM (SELECT ' ' || event_type || '  now! ' AS raw FROM events UNION ALL SELECT text FROM documents))
 ) GROUP BY 1
 """)
-# four named keys come before the fifth place: k, label, ok, none, size ("" takes no place)
-_event_data = """CASE WHEN event_id % 9 <> 0 THEN '{"k":' || json_extract_string(props, '$.k') || ',"label":"' || event_type || '","size":' || CAST(event_id % 3 AS VARCHAR) || '.5}' END"""
+_event_data = """CASE WHEN event_id % 9 <> 0 THEN '{"k":' || json_extract_string(props, '$.k') || ',"label":"' || event_type || '","size":' || CAST(event_id % 3 AS VARCHAR) || '.5,"late":1}' END"""
 oracle("C18_clean_event_props", f"SELECT event_id, {_event_data} AS event_data FROM events")
 _hosts = "lower(regexp_extract(href, '^[A-Za-z]+://([^/?#:]+)', 1))"
 _ending = "lower(regexp_extract(href, '(?i)[.](pdf|zip|xlsx?|docx?|pptx?|rar|7z|csv|mp3|mp4|wav|avi|mov|dmg|exe|msi|apk|iso)$', 1))"
@@ -311,7 +310,8 @@ oracle("E5_refresh_pages", f"""
 oracle("F1_summary_daily", _site, "site_days")
 _five = ["visitors", "sessions", "views", "total_duration", "bounces"]
 oracle("F2_summary_totals", "SELECT " + ", ".join(f"{SUM(m)} AS {m}" for m in _five) + " FROM site_days", "site_days")
-oracle("F3_top_pages", "SELECT * FROM pages_total ORDER BY visitors DESC, uri, title LIMIT 20 OFFSET 5", "pages_total")
+oracle("F3_top_pages", "SELECT * FROM pages_total", "pages_total")
+oracle("F3_top_pages_second", "SELECT * FROM pages_total ORDER BY visitors DESC, uri, title LIMIT 20 OFFSET 5", "pages_total")
 oracle("F3_top_pages_replace", f"""
 SELECT uri, title, CAST(sum(visitors) AS BIGINT) AS visitors, CAST(sum(views) AS BIGINT) AS views,
   CAST(sum(total_duration) AS BIGINT) AS total_duration, CAST(sum(bounces) AS BIGINT) AS bounces
@@ -328,7 +328,6 @@ oracle("F7_sources_by_channel", """
 SELECT channel, c.visitors AS channel_visitors, c.sessions AS channel_sessions, c.views AS channel_views, rank, name, domain, s.visitors, s.sessions, s.views
 FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY visitors DESC, name, domain) AS rank FROM source_rows) s
 JOIN (SELECT coalesce(channel, 'Direct') AS channel, count(DISTINCT visitor_id) AS visitors, count(*) AS sessions, CAST(sum(total_views) AS BIGINT) AS views FROM sess GROUP BY 1) c USING (channel)
-WHERE rank <= 5
 """, "source_rows", "sess")
 
 
@@ -362,11 +361,11 @@ SELECT h.resource_type || '_now' AS event_name, count(*) AS total, count(DISTINC
 oracle("F16_event_daily", f"SELECT {T('CAST(viewed_at AS DATE)')} AS date, count(*) AS total FROM hits WHERE resource_type = 'purchase' GROUP BY 1", "hits")
 _prop_rows = """
 SELECT property, count(*) AS total FROM (
-  SELECT unnest(['k=' || CAST(k AS VARCHAR), 'label=' || resource_type, 'size=' || CAST(view_id % 3 AS VARCHAR) || '.5']) AS property
+  SELECT unnest(['k=' || CAST(k AS VARCHAR), 'label=' || resource_type, 'size=' || CAST(view_id % 3 AS VARCHAR) || '.5', 'late=1']) AS property
   FROM (SELECT * FROM hits WHERE resource_type = '{kind}' AND view_id % 9 <> 0 {newest})
 ) GROUP BY 1 {top}
 """
-oracle("F17_event_properties", _prop_rows.format(kind="click", newest="ORDER BY viewed_at DESC, view_id DESC LIMIT 1000", top="ORDER BY total DESC, property LIMIT 50"), "hits")
+oracle("F17_event_properties", _prop_rows.format(kind="click", newest="", top=""), "hits")
 oracle("F17_event_properties_all", _prop_rows.format(kind="view", newest="", top=""), "hits")
 _live = "FROM pv p, clock WHERE p.viewed_at >= now_at - INTERVAL 300 SECOND"
 oracle("F18_active_visitors", f"SELECT count(DISTINCT visitor_id) AS active_visitors {_live}", "pv", "clock")
@@ -379,6 +378,15 @@ SELECT p.uri, coalesce(t.title, '') AS title, coalesce(s.country_code, '') AS co
 FROM pv p JOIN sess s ON s.sid = p.sid JOIN page_titles t ON t.uri = p.uri, clock
 WHERE p.viewed_at >= now_at - INTERVAL 300 SECOND ORDER BY p.viewed_at DESC, p.view_id DESC LIMIT 20
 """, "pv", "sess", "page_titles", "clock")
+_day = _live.replace("300 SECOND", "1 DAY")
+oracle("F18_active_visitors_day", f"SELECT count(DISTINCT visitor_id) AS active_visitors {_day}", "pv", "clock")
+oracle("F19_active_pages_day", f"""
+SELECT uri, coalesce(title, '') AS title, visitors FROM (SELECT uri, count(DISTINCT visitor_id) AS visitors {_day} GROUP BY 1) JOIN page_titles USING (uri)
+""", "pv", "clock", "page_titles")
+oracle("F20_recent_feed_day", f"""
+SELECT p.uri, coalesce(t.title, '') AS title, coalesce(s.country_code, '') AS country, coalesce(s.browser_name, '') AS browser, {T('p.viewed_at')} AS time
+FROM pv p JOIN sess s ON s.sid = p.sid JOIN page_titles t ON t.uri = p.uri, clock WHERE p.viewed_at >= now_at - INTERVAL 1 DAY
+""", "pv", "sess", "page_titles", "clock")
 _four = ", ".join(f"{SUM(m)} AS {m}" for m in ["visitors", "sessions", "views", "bounces"])
 for _n, _when in {
     "daily": "day = last_day - 1", "weekly": "day BETWEEN last_day - 7 AND last_day - 1",
@@ -389,6 +397,9 @@ oracle("F22_report_top_pages", f"""
 SELECT uri, {SUM('visitors')} AS visitors, {SUM('views')} AS views FROM page_days, clock WHERE day BETWEEN last_day - 7 AND last_day - 1
 GROUP BY 1 ORDER BY visitors DESC, uri LIMIT 10
 """, "page_days", "clock")
+oracle("F22_report_all_pages", f"""
+SELECT uri, {SUM('visitors')} AS visitors, {SUM('views')} AS views FROM page_days, clock WHERE day BETWEEN last_day - 7 AND last_day - 1 GROUP BY 1
+""", "page_days", "clock")
 _now = "day BETWEEN last_day - 6 AND last_day"
 _then = "day BETWEEN last_day - 13 AND last_day - 7"
 _ch = lambda a, b: f"CASE WHEN {b} = 0 THEN CASE WHEN {a} > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END ELSE CAST({a} - {b} AS DOUBLE) / {b} * 100 END"
@@ -407,8 +418,8 @@ FROM source_rows, (SELECT greatest(max(greatest(visitors, sessions)), 1) AS m FR
 oracle("G1_export_user", f"""
 SELECT v.visitor_id AS user_id, {T('v.started_at')} AS started_at, CASE WHEN total_views > 1 THEN {T('last_at')} ELSE 'Active' END AS ended, total_views,
   0 AS duration, p.pages
-FROM visits v JOIN (SELECT visitor_id, started_at, string_agg(uri, ', ' ORDER BY viewed_at, view_id) FILTER (WHERE rn <= 50) AS pages
-  FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY viewed_at, view_id) AS rn FROM pv) GROUP BY 1, 2) p
+FROM visits v JOIN (SELECT visitor_id, started_at, string_agg(uri, ', ' ORDER BY viewed_at, view_id) AS pages
+  FROM pv GROUP BY 1, 2) p
 ON p.visitor_id = v.visitor_id AND p.started_at = v.started_at
 """, "visits", "pv")
 oracle("G2_erase_user", f"""
@@ -503,30 +514,31 @@ SELECT page_id // 10 AS load_id, count(*) AS requests, floor(sum(length(html)) /
   floor(coalesce(sum(length(html)) FILTER (WHERE page_id % 4 = 0), 0) / 1024 * 10.0 + 0.5) / 10.0 AS tracker_kb FROM pages GROUP BY 1
 """)
 
-# --- I: what a finished stream must have emitted once its watermark passed ----------------------------
-_mark = "(SELECT max(ts) - INTERVAL 1 HOUR FROM hits)"
+# --- I: a finished stream gives what its batch twin gives -----------------------------------------------
 oracle("I1_stream_active_visitors", f"""
 SELECT {T('w')} AS window_start, {T('w + INTERVAL 5 MINUTE')} AS window_end, count(DISTINCT visitor_id) AS visitors, count(*) AS views
-FROM (SELECT visitor_id, date_trunc('minute', ts) - i * INTERVAL 1 MINUTE AS w FROM hits, range(5) r(i))
-WHERE w + INTERVAL 5 MINUTE <= {_mark} GROUP BY w
+FROM (SELECT visitor_id, date_trunc('minute', ts) - i * INTERVAL 1 MINUTE AS w FROM hits, range(5) r(i)) GROUP BY w
 """, "hits")
 oracle("I2_stream_daily_totals", f"""
 SELECT {T('CAST(ts AS DATE)')} AS date, count(DISTINCT visitor_id) AS visitors, count(*) AS views, {SUM('duration')} AS total_duration
-FROM hits WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= {_mark} GROUP BY 1
+FROM hits GROUP BY 1
 """, "hits")
 oracle("I4_stream_sessions_anchored", f"""
 SELECT visitor_id, {T('started_at')} AS started_at, {T('last_at')} AS ended_at, total_views AS hits FROM visits
-WHERE started_at + INTERVAL 1801 SECOND <= {_mark}
-""", "visits", "hits")
-oracle("I7_stream_rate_limit", f"""
-SELECT w.visitor_id AS key, {T('viewed_at')} AS second, count(*) AS hits, count(*) FILTER (WHERE NOT rate_limited) AS accepted
-FROM limit_walk w JOIN hits USING (view_id) WHERE viewed_at + INTERVAL 1 SECOND <= {_mark} GROUP BY w.visitor_id, viewed_at
+""", "visits")
+for _n, _key in (("I7_stream_rate_limit", "w.visitor_id"), ("I7_stream_rate_limit_text", "'u' || CAST(w.visitor_id AS VARCHAR)")):
+    oracle(_n, f"""
+SELECT {_key} AS key, {T('viewed_at')} AS second, count(*) AS hits, count(*) FILTER (WHERE NOT rate_limited) AS accepted
+FROM limit_walk w JOIN hits USING (view_id) GROUP BY w.visitor_id, viewed_at
 """, "limit_walk", "hits")
 oracle("I5_stream_dedup", "SELECT view_id, pvid FROM hits", "hits")
-oracle("I6_stream_engagement", "SELECT view_id, duration + 1 AS engagement_time, scroll_depth FROM hits WHERE view_id % 3 = 0", "hits")
-oracle("I3_stream_sessions_gap", f"SELECT visitor_id, {T('started_at')} AS started_at, {T('ended_at')} AS ended_at, hits FROM (" + f"""
-SELECT visitor_id, min(viewed_at) AS started_at, max(viewed_at) AS ended_at, count(*) AS hits FROM (
+oracle("I6_stream_engagement", """
+SELECT view_id, CASE WHEN view_id % 3 = 0 THEN duration + 1 END AS engagement_time, CASE WHEN view_id % 3 = 0 THEN scroll_depth END AS scroll_depth FROM hits
+""", "hits")
+oracle("I3_stream_sessions_gap", f"""
+SELECT visitor_id, {T('min(viewed_at)')} AS started_at, {T('max(viewed_at)')} AS ended_at, count(*) AS hits FROM (
   SELECT *, sum(opened) OVER (PARTITION BY visitor_id ORDER BY viewed_at, view_id) AS run FROM (
     SELECT *, CASE WHEN viewed_at <= lag(viewed_at) OVER (PARTITION BY visitor_id ORDER BY viewed_at, view_id) + INTERVAL 1800 SECOND THEN 0 ELSE 1 END AS opened FROM hits)
-) GROUP BY visitor_id, run) WHERE ended_at + INTERVAL 1800 SECOND <= (SELECT date_trunc('second', max(ts)) - INTERVAL 1 HOUR FROM hits)""", "hits")
+) GROUP BY visitor_id, run
+""", "hits")
 oracle("A11_stream_rollup", _site, "site_days")

@@ -230,8 +230,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Every seventh customer's /24 as the list."""
     c = F.col("c_custkey")
-    listed = d.table(spark, sf_dir, "customer").filter((c % 7 == 0) & (c < 65536)).select(
-        F.concat(F.concat_ws(".", F.lit("20"), F.floor(c / 256) % 256, c % 256), F.lit(".9/24")).alias("cidr")
+    listed = d.table(spark, sf_dir, "customer").filter(c % 7 == 0).select(
+        F.concat(F.concat_ws(".", 20 + F.floor(c / 65536) % 80, F.floor(c / 256) % 256, c % 256), F.lit(".9/24")).alias("cidr")
     )
     hits = enrich.with_client_ip(d.raw_events(spark, sf_dir))
     return admission.exclude_ips(hits, listed).select("view_id", "ip", "ip_excluded")
@@ -621,6 +621,13 @@ def _(t, first, last, _):
 @query("F3_top_pages")
 @with_range
 def _(t, first, last, _):
+    return reports.top_pages(t, first, last, last, limit=None)
+
+
+@query("F3_top_pages_second")
+@with_range
+def _(t, first, last, _):
+    """A page of the report: ranks 6 to 25."""
     return reports.top_pages(t, first, last, last, limit=20, offset=5)
 
 
@@ -652,7 +659,7 @@ def _(t, first, last, _):
 @with_range
 def _(t, first, last, _):
     """The nested sources are laid out one per row."""
-    nested = reports.sources_by_channel(t, first, last, 5)
+    nested = reports.sources_by_channel(t, first, last)
     flat = nested.select(
         "channel", F.col("visitors").alias("channel_visitors"), F.col("sessions").alias("channel_sessions"),
         F.col("views").alias("channel_views"), F.explode("sources").alias("s"),
@@ -677,14 +684,13 @@ def _(t, first, last, _):
 @query("F17_event_properties")
 @with_range
 def _(t, first, last, _):
-    """The report's own sample of the newest 1000 payloads and its top 50."""
     return reports.event_properties(t, "click_now", first, last)
 
 
 @query("F17_event_properties_all")
 @with_range
 def _(t, first, last, _):
-    return reports.event_properties(t, "view_now", first, last, sample=None, limit=None)
+    return reports.event_properties(t, "view_now", first, last)
 
 
 @query("F18_active_visitors")
@@ -705,6 +711,24 @@ def _(t, first, last, now):
     return reports.recent_feed(t, now)
 
 
+@query("F18_active_visitors_day")
+@with_range
+def _(t, first, last, now):
+    return reports.active_visitors(t, now, 86400)
+
+
+@query("F19_active_pages_day")
+@with_range
+def _(t, first, last, now):
+    return reports.active_pages(t, now, 86400, None)
+
+
+@query("F20_recent_feed_day")
+@with_range
+def _(t, first, last, now):
+    return reports.recent_feed(t, now, 86400, None)
+
+
 for _freq in ("daily", "weekly", "monthly"):
     query(f"F21_report_totals_{_freq}")(with_range(lambda t, first, last, _, q=_freq: reports.report_totals(t, q, _report_day(last, q))))
 
@@ -721,6 +745,12 @@ def _(t, first, last, _):
     return reports.report_top_pages(t, "weekly", last)
 
 
+@query("F22_report_all_pages")
+@with_range
+def _(t, first, last, _):
+    return reports.report_top_pages(t, "weekly", last, None)
+
+
 @query("F25_kpi_compare")
 @with_range
 def _(t, first, last, _):
@@ -788,7 +818,7 @@ def _(spark, sf_dir):
 @with_range
 def _(t, first, last, _):
     day = str(date.fromisoformat(last) + timedelta(days=18))
-    return lifecycle.table_stats(lifecycle.purge_all(t, "delete", 5, day))
+    return lifecycle.table_stats(lifecycle.purge_all(t, "delete", 30, day))
 
 
 @query("G5_archive_month")
@@ -956,22 +986,22 @@ def _stream(spark, sf_dir):
 
 @query("I1_stream_active_visitors")
 def _(spark, sf_dir):
-    return runner.run(jobs.stream_active_visitors(_stream(spark, sf_dir)), "active")
+    return runner.run(jobs.stream_active_visitors(runner.with_end(_stream(spark, sf_dir))), "active")
 
 
 @query("I2_stream_daily_totals")
 def _(spark, sf_dir):
-    return runner.run(jobs.stream_daily_totals(_stream(spark, sf_dir)), "daily")
+    return runner.run(jobs.stream_daily_totals(runner.with_end(_stream(spark, sf_dir))), "daily")
 
 
 @query("I3_stream_sessions_gap")
 def _(spark, sf_dir):
-    return runner.run(jobs.stream_sessions_gap(_stream(spark, sf_dir)), "gap")
+    return runner.run(jobs.stream_sessions_gap(runner.with_end(_stream(spark, sf_dir))), "gap")
 
 
 @query("I4_stream_sessions_anchored")
 def _(spark, sf_dir):
-    return runner.run(jobs.stream_sessions_anchored(_stream(spark, sf_dir)), "anchored")
+    return runner.run(jobs.stream_sessions_anchored(runner.with_end(_stream(spark, sf_dir))), "anchored")
 
 
 @query("I5_stream_dedup")
@@ -982,17 +1012,26 @@ def _(spark, sf_dir):
 
 @query("I6_stream_engagement")
 def _(spark, sf_dir):
+    """Every third view gets two beacons, of which the later one counts; the others have none."""
     hits = _stream(spark, sf_dir)
-    beacon = _stream(spark, sf_dir).filter("view_id % 3 = 0").select(
-        "pvid", (F.col("ts") + F.expr("INTERVAL 20 SECONDS")).alias("ts"), (F.col("duration") + 1).alias("engagement_time"), "scroll_depth"
+    sent = _stream(spark, sf_dir).filter("view_id % 3 = 0").withColumn("nth", F.explode(F.array(F.lit(2), F.lit(1))))
+    beacon = sent.select(
+        "pvid", (F.col("ts") + F.make_dt_interval(secs=F.col("nth") * 10)).alias("ts"),
+        (F.col("duration") + 3 - F.col("nth")).alias("engagement_time"), "scroll_depth",
     )
-    joined = runner.run(jobs.stream_engagement(hits, beacon), "engagement")
-    return joined.filter("engagement_time IS NOT NULL").select("view_id", "engagement_time", "scroll_depth")
+    return runner.run(jobs.stream_engagement(runner.with_end(hits), runner.with_end(beacon, pvid="end")), "engagement")
 
 
 @query("I7_stream_rate_limit")
 def _(spark, sf_dir):
-    return runner.run(jobs.stream_rate_limit(_stream(spark, sf_dir), "user_id", limit=3, ttl=14400), "rate")
+    return runner.run(jobs.stream_rate_limit(runner.with_end(_stream(spark, sf_dir)), "user_id", limit=3, ttl=14400), "rate")
+
+
+@query("I7_stream_rate_limit_text")
+def _(spark, sf_dir):
+    """Text keys, as addresses are."""
+    hits = _stream(spark, sf_dir).withColumn("address", F.concat(F.lit("u"), "user_id"))
+    return runner.run(jobs.stream_rate_limit(runner.with_end(hits), "address", limit=3, ttl=14400), "rate-text")
 
 
 @query("A11_stream_rollup")

@@ -35,8 +35,8 @@ def visitor_hash(salt: Column, anonymous_ip: Column, user_agent: Column, site: s
 
 
 def key_id(*key: Column) -> Column:
-    """Surrogate id of a natural key."""
-    return F.xxhash64(*key)
+    """Surrogate id of a natural key; NULL where all of the key is NULL."""
+    return F.when(F.coalesce(*[F.when(k.isNotNull(), True) for k in key], F.lit(False)), F.xxhash64(*key))
 
 
 def seal(payload: Column, key: bytes) -> Column:

@@ -38,18 +38,20 @@ def blank(c: Column) -> Column:
     return c.isNull() | c.isin("", "0")
 
 
-def clean_event_name(c: Column) -> Column:
-    """Letters, digits and underscores only, at most 100 characters; NULL when nothing is left."""
+def clean_event_name(c: Column, length: int | None = None) -> Column:
+    """Letters, digits and underscores only, at most ``length`` characters if given; NULL when nothing is left."""
     words = F.regexp_replace(F.trim(c), "(?i)[^a-z0-9_]+", "_")
-    name = F.substring(F.regexp_replace(words, "^_+|_+$", ""), 1, 100)
+    name = F.regexp_replace(words, "^_+|_+$", "")
+    if length is not None:
+        name = F.substring(name, 1, length)
     return F.when(~blank(name), name)
 
 
-def with_clean_props(df, props: str, out: str):
-    """Scalar properties among the first five named keys, as JSON text; NULL when none is left.
+def with_clean_props(df, props: str, out: str, max_keys: int | None = None):
+    """Scalar properties among all or the first ``max_keys`` named keys, as JSON text; NULL when none is left.
 
     Values are read as VARIANT, so a number stays a number and a string stays a string. Every named
-    key takes one of the five places even if its value is then dropped. The steps are separate
+    key takes a place even if its value is then dropped. The steps are separate
     columns, so each is evaluated once per row.
     """
     pairs = F.map_entries(F.from_json(F.col(props), "map<string,variant>"))
@@ -63,7 +65,7 @@ def with_clean_props(df, props: str, out: str):
         lambda e: ~blank(e["key"]),
     )
     scalar = lambda e: e["kind"].isin("STRING", "BIGINT", "DOUBLE", "FLOAT") | e["kind"].startswith("DECIMAL")
-    first = F.filter(F.slice(named, 1, 5), scalar)
+    first = F.filter(named if max_keys is None else F.slice(named, 1, max_keys), scalar)
     texts = F.transform(
         F.col("_kept"),
         lambda e: F.struct(
@@ -75,7 +77,7 @@ def with_clean_props(df, props: str, out: str):
     # cleaning can make two keys equal: the later one wins
     last = F.filter(
         F.col("_text"),
-        lambda e, i: ~F.exists(F.slice(F.col("_text"), i + 2, 5), lambda later: later["key"] == e["key"]),
+        lambda e, i: ~F.exists(F.slice(F.col("_text"), i + 2, F.size("_text")), lambda later: later["key"] == e["key"]),
     )
     plain = lambda c: ~c.rlike(r'["\\\x00-\x1f]')
     quoted = lambda c: F.when(plain(c), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(

@@ -119,7 +119,7 @@ def exclude_urls(hits: DataFrame, patterns: Sequence[str], uri: str = "uri") ->
 
 def exclusion_counts(excluded: DataFrame, ts: str = "ts", reason: str = "reason") -> DataFrame:
     return excluded.groupBy(
-        F.to_date(ts).alias("date"), F.substring(F.col(reason), 1, 50).alias("reason")
+        F.to_date(ts).alias("date"), F.col(reason).alias("reason")
     ).agg(F.count(F.lit(1)).alias("count"))
 
 

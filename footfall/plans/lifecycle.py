@@ -17,25 +17,22 @@ from footfall.schemas import METRICS
 PURGE_TIMES = {"events": "created_at", "views": "viewed_at", "sessions": "started_at"}
 
 
-def export_user(sessions: DataFrame, views: DataFrame, uris: DataFrame, user_id: int, pages: int = 50) -> DataFrame:
-    """A user's sessions, newest first, each with its first ``pages`` URLs."""
+def export_user(sessions: DataFrame, views: DataFrame, uris: DataFrame, user_id: int, pages: int | None = None) -> DataFrame:
+    """A user's sessions, newest first, each with its URLs, or the first ``pages`` of them."""
     return export_sessions(sessions.filter(F.col("user_id") == user_id), views, uris, pages)
 
 
-def export_sessions(sessions: DataFrame, views: DataFrame, uris: DataFrame, pages: int = 50) -> DataFrame:
-    """Session export rows for any set of sessions.
-
-    The row number keeps at most ``pages`` views per session (pruned before the exchange), so the
-    collected list is small however long the session is.
-    """
+def export_sessions(sessions: DataFrame, views: DataFrame, uris: DataFrame, pages: int | None = None) -> DataFrame:
+    """Session export rows for any set of sessions, with all their views unless ``pages`` limits them."""
     mine = sessions.select(F.col("id").alias("session_id"), "user_id", "started_at", "ended_at", "total_views", "duration")
     order = Window.partitionBy("session_id").orderBy("viewed_at", "id")
     first = (
         views.select("id", "session_id", "resource_uri_id", "viewed_at")
         .join(mine.select("session_id"), "session_id", "left_semi")
         .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= pages)
     )
+    if pages is not None:
+        first = first.filter(F.col("_rank") <= pages)
     named = first.join(uris.select(F.col("id").alias("resource_uri_id"), "uri"), "resource_uri_id")
     lists = named.groupBy("session_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_rank", "uri"))), lambda s: s["uri"]), ", ").alias("pages")
@@ -66,9 +63,11 @@ def erased_count(sessions: DataFrame, user_id: int) -> DataFrame:
     return sessions.filter(F.col("user_id") == user_id).agg(F.count(F.lit(1)).alias("erased"))
 
 
-def cutoff_day(days: int, as_of: str) -> str:
-    """First day that is kept; the retention is at least 30 days and at most ten years."""
-    return str(date.fromisoformat(as_of) - timedelta(days=max(30, min(days, 3650))))
+def cutoff_day(days: int, as_of: str, least: int = 30) -> str:
+    """First day that is kept. A retention below ``least`` days is refused rather than changed."""
+    if days < least:
+        raise ValueError(f"a retention of {days} days is below the least of {least}")
+    return str(date.fromisoformat(as_of) - timedelta(days=days))
 
 
 def purge(table: DataFrame, time: str, mode: str, days: int, as_of: str) -> DataFrame:

@@ -92,7 +92,7 @@ def top_pages(
         rows = rows.unionByName(live)
     pages = rows.groupBy("resource_uri_id").agg(*sums)
     named = named_pages(pages, t).select("uri", "title", *wanted)
-    return top(named, "visitors", limit if limit is None else min(limit, 100), "uri", "title", offset=offset)
+    return top(named, "visitors", limit, "uri", "title", offset=offset)
 
 
 def _end_pages(t: Tables, first: str, last: str, limit: int | None, pick) -> DataFrame:
@@ -156,8 +156,8 @@ def sources(t: Tables, first: str, last: str, limit: int | None = 100) -> DataFr
     return top(named, "visitors", limit, "channel", "name", "domain")
 
 
-def sources_by_channel(t: Tables, first: str, last: str, per_channel: int = 50) -> DataFrame:
-    """Channel totals with true distinct visitors, and each channel's leading sources nested in."""
+def sources_by_channel(t: Tables, first: str, last: str, per_channel: int | None = None) -> DataFrame:
+    """Channel totals with true distinct visitors, and each channel's sources, or the leading ones, nested in."""
     from pyspark.sql import Window
 
     grain = _by_referrer(t, first, last)
@@ -174,12 +174,10 @@ def sources_by_channel(t: Tables, first: str, last: str, per_channel: int = 50)
     )
     order = Window.partitionBy("channel").orderBy(F.desc("visitors"), "name", "domain")
     item = F.struct("rank", "name", "domain", "visitors", "sessions", "views")
-    leading = (
-        detail.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= min(per_channel, 50))
-        .groupBy("channel")
-        .agg(F.sort_array(F.collect_list(item)).alias("sources"))
-    )
+    ranked = detail.withColumn("rank", F.row_number().over(order))
+    if per_channel is not None:
+        ranked = ranked.filter(F.col("rank") <= per_channel)
+    leading = ranked.groupBy("channel").agg(F.sort_array(F.collect_list(item)).alias("sources"))
     return top(totals.join(leading, "channel", "left"), "visitors", None, "channel")
 
 
@@ -244,7 +242,7 @@ def events_list(t: Tables, first: str, last: str, limit: int | None = 100) -> Da
     counted = date_range(t["events"], "created_at", first, last).groupBy("event_name").agg(
         F.count(F.lit(1)).alias("total"), F.count_distinct("session_id").alias("sessions")
     )
-    return top(counted, "total", limit if limit is None else min(limit, 100), "event_name")
+    return top(counted, "total", limit, "event_name")
 
 
 def event_daily(t: Tables, name: str, first: str, last: str) -> DataFrame:
@@ -253,9 +251,9 @@ def event_daily(t: Tables, name: str, first: str, last: str) -> DataFrame:
 
 
 def event_properties(
-    t: Tables, name: str, first: str, last: str, sample: int | None = 1000, limit: int | None = 50
+    t: Tables, name: str, first: str, last: str, sample: int | None = None, limit: int | None = None
 ) -> DataFrame:
-    """``key=value`` counts over the newest ``sample`` payloads; ``sample=None`` reads all of them."""
+    """``key=value`` counts over all payloads, or the newest ``sample`` of them."""
     rows = date_range(t["events"], "created_at", first, last).filter(
         (F.col("event_name") == name) & F.col("event_data").isNotNull()
     )
@@ -288,22 +286,22 @@ def active_visitors(t: Tables, as_of_ts: str, window: int = 300) -> DataFrame:
     return live.agg(F.count_distinct("visitor_id").alias("active_visitors"))
 
 
-def active_pages(t: Tables, as_of_ts: str, window: int = 300, limit: int = 10) -> DataFrame:
+def active_pages(t: Tables, as_of_ts: str, window: int = 300, limit: int | None = 10) -> DataFrame:
     live = _live_views(t, as_of_ts, window, "visitor_id")
     counted = live.groupBy("resource_uri_id").agg(F.count_distinct("visitor_id").alias("visitors"))
     named = named_pages(counted, t).select("uri", F.coalesce("title", F.lit("")).alias("title"), "visitors")
     return top(named, "visitors", limit, "uri", "title")
 
 
-def recent_feed(t: Tables, as_of_ts: str, window: int = 300, limit: int = 20) -> DataFrame:
+def recent_feed(t: Tables, as_of_ts: str, window: int = 300, limit: int | None = 20) -> DataFrame:
     """Newest views of the window with title, country and browser."""
-    full = _live_views(t, as_of_ts, window, "country_id", "device_browser_id")
+    newest = _live_views(t, as_of_ts, window, "country_id", "device_browser_id").orderBy(F.desc("viewed_at"), F.desc("id"))
+    full = newest if limit is None else newest.limit(limit)
     countries = t["countries"].select(F.col("id").alias("country_id"), F.col("code").alias("country"))
     browsers = t["device_browsers"].select(F.col("id").alias("device_browser_id"), F.col("name").alias("browser"))
     named = named_pages(full, t).join(countries, "country_id", "left").join(browsers, "device_browser_id", "left")
     empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    newest = named.orderBy(F.desc("viewed_at"), F.desc("id")).limit(limit)
-    return newest.select("uri", empty("title"), empty("country"), empty("browser"), F.col("viewed_at").alias("time"))
+    return named.orderBy(F.desc("viewed_at"), F.desc("id")).select("uri", empty("title"), empty("country"), empty("browser"), F.col("viewed_at").alias("time"))
 
 
 # --- periodic report ---------------------------------------------------------------------------
@@ -327,7 +325,7 @@ def report_totals(t: Tables, frequency: str, as_of: str) -> DataFrame:
     return rows.agg(*[F.sum(c).alias(c) for c in ("visitors", "sessions", "views", "bounces")])
 
 
-def report_top_pages(t: Tables, frequency: str, as_of: str, limit: int = 10) -> DataFrame:
+def report_top_pages(t: Tables, frequency: str, as_of: str, limit: int | None = 10) -> DataFrame:
     first, last = report_period(frequency, as_of)
     rows = t["summary"].filter(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     pages = rows.groupBy("resource_uri_id").agg(F.sum("visitors").alias("visitors"), F.sum("views").alias("views"))

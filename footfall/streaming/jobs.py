@@ -124,13 +124,19 @@ def stream_dedup(hits: DataFrame, keys: list[str], watermark: str = WATERMARK) -
 
 
 def stream_engagement(hits: DataFrame, beacons: DataFrame, within: str = "30 minutes", watermark: str = WATERMARK) -> DataFrame:
-    """Views with the beacon that follows them; a view without one appears when its time is up."""
+    """Views with the latest beacon that follows them, once their time is up; NULLs where there is none.
+
+    The beacons of a view meet in one group again, dated by the view, so that each view is one row.
+    """
     left = hits.select("view_id", F.col("pvid").alias("_pvid"), F.col("ts").alias("_viewed")).withWatermark("_viewed", watermark)
     right = beacons.select("pvid", "ts", "engagement_time", "scroll_depth").withWatermark("ts", watermark)
     match = (F.col("_pvid") == F.col("pvid")) & (F.col("ts") >= F.col("_viewed")) & (
         F.col("ts") <= F.col("_viewed") + F.expr(f"INTERVAL {within}")
     )
-    return left.join(right, match, "leftOuter").select("view_id", "engagement_time", "scroll_depth")
+    beacon = F.struct(F.unix_micros("ts").alias("at"), "engagement_time", "scroll_depth")
+    joined = left.join(right, match, "leftOuter").select("view_id", "_viewed", F.when(F.col("ts").isNotNull(), beacon).alias("_beacon"))
+    latest = joined.groupBy("view_id", F.window("_viewed", "1 second").alias("w")).agg(F.max("_beacon").alias("_beacon"))
+    return latest.select("view_id", "_beacon.engagement_time", "_beacon.scroll_depth")
 
 
 class RateLimit(StatefulProcessor):
@@ -167,7 +173,8 @@ def stream_rate_limit(
     hits: DataFrame, key: str, limit: int = fv.RATE_LIMIT, ttl: int = fv.RATE_TTL_SECONDS, watermark: str = WATERMARK
 ) -> DataFrame:
     """(key, second, hits, accepted hits); the counter is dropped when its time to live is over."""
+    kind = hits.schema[key].dataType.simpleString()
     rows = _seconds(hits, key, watermark).groupBy("key").transformWithStateInPandas(
-        RateLimit(limit, ttl), "key long, sec long, hits long, accepted long", "Append", "EventTime"
+        RateLimit(limit, ttl), f"key {kind}, sec long, hits long, accepted long", "Append", "EventTime"
     )
     return rows.select("key", F.timestamp_seconds("sec").alias("second"), "hits", "accepted")

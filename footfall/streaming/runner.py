@@ -17,6 +17,19 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructTyp
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
+def with_end(stream: DataFrame, ts: str = "ts", **values: str) -> DataFrame:
+    """A finite stream with a row after its end.
+
+    The row is dated far ahead and NULL elsewhere but for ``values`` (a join drops NULL keys before they count), so the watermark passes all real rows and everything they open is emitted; the row's
+    own windows and timers stay open. It is not for outputs that emit rows at once. A stream that goes on needs no such row.
+    """
+    spark = stream.sparkSession
+    path = session.new_path(spark, "end")
+    end = {ts: F.lit("2900-01-01").cast("timestamp"), **{c: F.lit(v) for c, v in values.items()}}
+    spark.range(1).select(*[end.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema]).write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
+
+
 def run(stream: DataFrame, label: str) -> DataFrame:
     """Append-mode run to the end of the input; the sink is a Parquet folder, not the driver."""
     spark = stream.sparkSession

@@ -143,10 +143,12 @@ def test_purge_keeps_parameters_of_kept_sessions(spark):
     now = datetime(2024, 12, 31)
     sessions = spark.createDataFrame([(i, now - timedelta(days=a)) for i, a in ages.items()], "id long, started_at timestamp")
     params = spark.createDataFrame([(i,) for i in ages], "session_id long")
-    for days, left in ((30, 1), (90, 1), (365, 2), (1, 1)):
+    for days, left in ((30, 1), (90, 1), (365, 2), (5000, 3)):
         kept = lifecycle.purge_all({"sessions": sessions, "parameters": params}, "delete", days, "2024-12-31")
         assert kept["sessions"].count() == kept["parameters"].count() == left
     assert lifecycle.purge(sessions, "started_at", "forever", 30, "2024-12-31").count() == 3
+    with pytest.raises(ValueError):
+        lifecycle.purge(sessions, "started_at", "delete", 1, "2024-12-31")
 
 
 def test_erase_leaves_totals(spark):

@@ -149,13 +149,16 @@ def test_devices(spark):
 
 
 def test_event_names_and_props(spark):
-    assert column(spark, [" Sign Up! ", "__a--b__", "!!", "é" * 3, "x" * 150], text.clean_event_name) == ["Sign_Up", "a_b", None, None, "x" * 100]
+    assert column(spark, [" Sign Up! ", "__a--b__", "!!", "é" * 3, "x" * 150], lambda c: text.clean_event_name(c, 100)) == [
+        "Sign_Up", "a_b", None, None, "x" * 100,
+    ]
+    assert column(spark, ["x" * 150], text.clean_event_name) == ["x" * 150]
     props = [
         '{"a":1,"b":"<b>x</b> ","c":true,"d":null,"e":1.5,"f":"late"}', '{"":1,"b":{"x":1},"c":[1]}', "bad", None,
         '{"z":"1","a":2,"<i>z</i>":3}', '{"q":"say \\"hi\\"","n":12345678901234567890}',
     ]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(props)], "i int, p string")
-    got = [r.o for r in text.with_clean_props(df, "p", "o").orderBy("i").collect()]
+    got = [r.o for r in text.with_clean_props(df, "p", "o", 5).orderBy("i").collect()]
     assert got == ['{"a":1,"b":"x","e":1.5}', None, None, None, '{"a":2,"z":3}', '{"q":"say \\"hi\\"","n":12345678901234567890}']
 
 
@@ -168,6 +171,18 @@ def test_signatures_and_hashes(spark):
     assert column(spark, ["/a", "/ü"], source.uri_hash) == [zlib.crc32(b"/a"), zlib.crc32("/ü".encode())]
 
 
+def test_all_props_are_kept(spark):
+    df = spark.createDataFrame([('{"a":1,"b":2,"c":3,"d":4,"e":5,"f":6,"g":7,"h":8,"<i>a</i>":9}',)], "p string")
+    assert text.with_clean_props(df, "p", "o").first().o == '{"b":2,"c":3,"d":4,"e":5,"f":6,"g":7,"h":8,"a":9}'
+
+
+def test_null_keys_have_null_ids(spark):
+    df = spark.createDataFrame([(None, None), ("a", None), ("a", "b")], "x string, y string")
+    got = df.select(identity.key_id(F.col("x")).alias("one"), identity.key_id(F.col("x"), F.col("y")).alias("two")).collect()
+    assert got[0].one is None and got[0].two is None
+    assert got[1].one == got[2].one is not None and got[1].two != got[2].two
+
+
 def test_uri_checksums_of_given_tables(spark, small):
     from catalog.queries import QUERIES
 
