@@ -239,7 +239,8 @@ def find_copies(units: DataFrame) -> DataFrame:
                 yield rows_of(COPY, [(*h, doc, name, k) for k, (h, doc) in enumerate(zip(halves.tolist(), ids, strict=True))])
 
     texts_ = units.mapInArrow(run, COPY)
-    least = texts_.groupBy("high", "low").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1")
+    # settled, so that both sides of the join are plain shuffles, of which AQE splits a partition with a huge group of copies
+    least = settle(texts_.groupBy("high", "low").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1"))
     copies = texts_.join(least, ["high", "low"]).where("doc > least")
     return settle(copies.groupBy("unit").agg(F.collect_list("place").alias("copies")))
 
