@@ -48,15 +48,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about ``STEP_BYTES`` of the column's text at most (or one text)."""
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each holds about ``size`` bytes of the column's text at most (or one text)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
         at = 0
         while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP_BYTES, "right")) - 1)
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
 
@@ -94,13 +94,18 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
         return np.zeros(0, U)
     size = end - start
     ends = np.cumsum(size)
+    if ends[-1] > 2 * STEP_BYTES and len(start) > 1:  # a step of bytes at a time, as each byte needs several numbers
+        cut = np.unique(np.searchsorted(ends, np.arange(STEP_BYTES, ends[-1], STEP_BYTES)))
+        parts = zip(np.append(0, cut).tolist(), np.append(cut, len(start)).tolist(), strict=True)
+        return np.concatenate([span_hashes(data, start[a:b], end[a:b], lower) for a, b in parts])
     place = np.arange(ends[-1]) - np.repeat(ends - size, size)
     byte = data[np.repeat(start, size) + place]
     keyed = BYTE_KEYS[LOWER[byte] if lower else byte]
     far = int(size.max()) > POWER_SPAN
     keyed *= POWERS[place % POWER_SPAN if far else place]
-    if far:
-        keyed = mix(keyed + (place // POWER_SPAN).astype(U))
+    if far:  # only there, so that a span's hash doesn't depend on the others
+        beyond = np.flatnonzero(place >= POWER_SPAN)
+        keyed[beyond] = mix(keyed[beyond] + (place[beyond] // POWER_SPAN).astype(U))
     return mix(np.add.reduceat(keyed, ends - size) + size.astype(U))
 
 

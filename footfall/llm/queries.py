@@ -7,14 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from footfall.llm import (
     chunk_fingerprints,
+    fill_in_middle,
     license_join,
     minhash_dedup,
+    oracles,
     packing,
+    phrase_mining,
     prefix_tokens,
     quality_gbt,
     quality_rules,
     source_mix,
     suffix_dedup,
+    suffix_search,
     toxic_passages,
 )
 from footfall.llm.common import table, tokenizer_file
@@ -60,6 +64,18 @@ def op10_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_join.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents")).drop("n_chunks")
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents")).drop("doc_id")
+
+
+def op13_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_search.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -68,7 +84,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_chunk_fingerprints, op2_prefix_tokens, op3_suffix_dedup, op4_superminhash_dedup, op5_source_mix, op6_toxic_passages,
-        op7_histogram_packing, op8_quality_rules, op9_quality_gbt, op10_license_join, pipeline,
+        op7_histogram_packing, op8_quality_rules, op9_quality_gbt, op10_license_join, op11_fill_in_middle, op12_phrase_mining,
+        op13_suffix_decontamination, pipeline,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_fill_in_middle": oracles.FILL_IN_MIDDLE,
+    "op12_phrase_mining": oracles.COLLOCATIONS,
+    "op13_suffix_decontamination": oracles.DECONTAMINATION,
+}
