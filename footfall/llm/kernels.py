@@ -9,6 +9,7 @@ import pyarrow as pa
 
 # Bytes of text that one numpy step works on; a longer text makes a step of its own.
 STEP_BYTES = 2_000_000
+SLICE_BYTES = 200_000  # that are hashed at a time
 BLANKS = tuple([0x20, *range(0x09, 0x0E)])
 U = np.uint64
 
@@ -94,8 +95,8 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
         return np.zeros(0, U)
     size = end - start
     ends = np.cumsum(size)
-    if ends[-1] > 2 * STEP_BYTES and len(start) > 1:  # a step of bytes at a time, as each byte needs several numbers
-        cut = np.unique(np.searchsorted(ends, np.arange(STEP_BYTES, ends[-1], STEP_BYTES)))
+    if ends[-1] > 2 * SLICE_BYTES and len(start) > 1:  # as each byte needs several numbers, which should stay near the processor
+        cut = np.unique(np.searchsorted(ends, np.arange(SLICE_BYTES, ends[-1], SLICE_BYTES)))
         parts = zip(np.append(0, cut).tolist(), np.append(cut, len(start)).tolist(), strict=True)
         return np.concatenate([span_hashes(data, start[a:b], end[a:b], lower) for a, b in parts])
     place = np.arange(ends[-1]) - np.repeat(ends - size, size)

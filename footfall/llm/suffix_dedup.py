@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 
 from footfall.llm.common import partitions, settle, texts
 from footfall.llm.kernels import BYTE_KEYS, U, mix, span_hashes, steps, text_bytes
-from footfall.llm.suffixes import RepeatArray, maximal_repeats, union
+from footfall.llm.suffixes import RepeatArray, byte_packs, maximal_intervals, union
 
 LEAST = 50
 GRAM = 18
 REACH = LEAST - GRAM  # how far ahead of its anchor a string may start
 HOT_UNITS = 256
-SLICE_BYTES = 500_000
+SLICE_BYTES = 80_000
+BUCKET_BYTES = 8_000_000  # of text, whose anchors meet in one bucket on average
 SYMBOLS = 1_500_000
 LEVEL = 6  # of compression: units are on disk three times
 NOBODY = np.iinfo(np.int64).max
@@ -76,7 +77,8 @@ def pack_units(rows: DataFrame) -> DataFrame:
             blob = sink.getvalue().to_pybytes()
             data, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
             cut = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
-            digests = b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in cut)
+            ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(NOBODY).to_pylist()
+            digests = b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() + i.to_bytes(8, "little", signed=True) for (a, b), i in zip(cut, ids, strict=True))
             yield rows_of(UNIT, [(first + k, blob, digests)])
 
     return settle(rows.mapInArrow(run, UNIT))
@@ -233,12 +235,12 @@ def find_copies(units: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, blob, digests in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                ids = Unit(blob).ids.tolist()
-                yield rows_of(COPY, [(*h, doc, name, k) for k, (h, doc) in enumerate(zip(halves.tolist(), ids, strict=True))])
+            for name, digests in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = np.frombuffer(digests, np.int64).reshape(-1, 3)
+                columns = [*(pa.array(c) for c in rows.T.copy()), pa.array(np.full(len(rows), name)), pa.array(np.arange(len(rows), dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in COPY.split(", ")])
 
-    texts_ = units.mapInArrow(run, COPY)
+    texts_ = units.select("unit", "digests").mapInArrow(run, COPY)
     # settled, so that both sides of the join are plain shuffles, of which AQE splits a partition with a huge group of copies
     least = settle(texts_.groupBy("high", "low").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1"))
     copies = texts_.join(least, ["high", "low"]).where("doc > least")
@@ -285,7 +287,8 @@ def find_shared(names: list[int], payloads: list[bytes]) -> list[tuple]:
 
 
 def send_contexts(units: DataFrame, replies: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
-    """For each unit and bucket the distinct contexts: whether hot, place of the anchor, length, bytes, smallest and largest document.
+    """For each unit and bucket the distinct contexts: whether hot, place of the anchor, length, bytes, smallest and largest document,
+    and where they start, how often and each time.
 
     What the bucket can work out from the bytes isn't sent; documents count from the unit's smallest.
     """
@@ -296,8 +299,9 @@ def send_contexts(units: DataFrame, replies: DataFrame, copies: DataFrame, bucke
                 unit = Unit(blob)
                 shared = np.sort(np.concatenate([loosen(p, U)[0] for p in payloads]))
                 found = unit.contexts(shared, np.array(places or [], np.int64))
-                marks, first, inverse = np.unique(found.mark, return_index=True, return_inverse=True)
+                marks, first, inverse, times = np.unique(found.mark, return_index=True, return_inverse=True, return_counts=True)
                 doc = unit.ids[found.text]
+                by_mark, after = np.argsort(inverse, kind="stable"), np.cumsum(times)
                 least, most = np.full(len(marks), NOBODY), np.full(len(marks), np.iinfo(np.int64).min)
                 np.minimum.at(least, inverse, doc)
                 np.maximum.at(most, inverse, doc)
@@ -312,7 +316,10 @@ def send_contexts(units: DataFrame, replies: DataFrame, copies: DataFrame, bucke
                     inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(spots, size)
                     small = (found.hot[first[mine]], found.left[first[mine]].astype(np.uint8), size.astype(np.uint8))
                     docs = (np.array([base]), least[mine] - base, most[mine] - least[mine])
-                    rows.append((b, name, squeeze(*small, unit.data[inner], *docs)))
+                    n = times[mine]
+                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(after[mine] - n, n)
+                    places = (n.astype(np.int32), np.diff(found.start[by_mark[at]], prepend=0).astype(np.int32))
+                    rows.append((b, name, squeeze(*small, unit.data[inner], *docs, *places)))
                 yield rows_of(PIECE, rows)
 
     gathered = replies.groupBy("unit").agg(F.collect_list("payload").alias("payloads"))
@@ -334,26 +341,30 @@ def own_windows(data: np.ndarray, size: np.ndarray, least: np.ndarray) -> np.nda
     symbols[ends + np.arange(len(size))] = 256 + np.arange(len(size))
     holder = np.full(len(symbols), NOBODY)
     holder[place] = least[number]
-    array = RepeatArray(symbols, LEAST)
+    array = RepeatArray(symbols, LEAST, *byte_packs(symbols), 8)
     before = np.empty(len(symbols), np.int64)
     before[1:] = symbols[:-1]
     before[:1] = -1
     owner = holder.copy()
-    groups = maximal_repeats(array, before)
-    if groups:
-        count = np.array([len(at) for _, at in groups])
-        starts = np.concatenate([at for _, at in groups])
+    groups = maximal_intervals(array, before)
+    if len(groups):
+        wide, first, count = groups[:, 0] - LEAST + 1, groups[:, 1], groups[:, 2] - groups[:, 1] + 1
+        starts = array.order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)]
         lowest = np.minimum.reduceat(holder[starts], np.cumsum(count) - count)
-        wide = np.repeat(np.array([length for length, _ in groups]) - LEAST + 1, count)
         # every string of LEAST bytes inside an occurrence
+        wide, lowest = np.repeat(wide, count), np.repeat(lowest, count)
         reach = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide) + np.repeat(starts, wide)
-        np.minimum.at(owner, reach, np.repeat(np.repeat(lowest, count), wide))
+        np.minimum.at(owner, reach, np.repeat(lowest, wide))
     return owner[place]
 
 
 def find_owners(names: list[int], payloads: list[bytes]) -> list[tuple]:
-    """Tell each unit, for contexts in which a smaller document owns something, who owns the string at each place."""
-    parts = [loosen(p, bool, np.uint8, np.uint8, np.uint8, np.int64, np.int64, np.int64) for p in payloads]
+    """Tell each unit, for contexts in which a smaller document owns something, who owns the string at each place.
+
+    An anchor that has one context, in however many documents, needs no array: its smallest document owns all.
+    """
+    kinds = (bool, np.uint8, np.uint8, np.uint8, np.int64, np.int64, np.int64, np.int32, np.int32)
+    parts = [loosen(p, *kinds) for p in payloads]
     count = np.array([len(p[0]) for p in parts])
     hot, left, size, data = (np.concatenate([p[k] for p in parts]) for k in range(4))
     least = np.concatenate([p[4] + p[5] for p in parts])
@@ -361,40 +372,47 @@ def find_owners(names: list[int], payloads: list[bytes]) -> list[tuple]:
     size, left = size.astype(np.int64), left.astype(np.int64)
     begin = np.cumsum(size) - size
     key = short(gram_keys(data, begin + left)) | hot.astype(U)
-    mark = marks_of(data, begin, size, left)
-    _, index, inverse = np.unique(mark, return_index=True, return_inverse=True)
+    _, index, inverse = np.unique(marks_of(data, begin, size, left), return_index=True, return_inverse=True)
     lowest = np.full(len(index), NOBODY)
     np.minimum.at(lowest, inverse, least)
     # distinct contexts by anchor: those of one anchor go into one array, with others as long as there is room
-    index = index[np.argsort(key[index], kind="stable")]
-    back = np.empty(len(index), np.int64)
-    back[inverse[index]] = np.arange(len(index))
-    owners = np.full((len(index), REACH + 1), NOBODY)
-    room = size[index]
-    total = np.cumsum(room)
-    new_key = np.append(True, key[index][1:] != key[index][:-1])
+    by_key = np.argsort(key[index], kind="stable")
+    heads = np.flatnonzero(np.append(True, np.diff(key[index][by_key]) != 0))
+    several = np.repeat(np.diff(np.append(heads, len(index))) > 1, np.diff(np.append(heads, len(index))))
+    mixed = by_key[several]
+    row = np.full(len(index), -1)
+    row[mixed] = np.arange(len(mixed))
+    owners = np.full((len(mixed), REACH + 1), NOBODY)
+    total = np.cumsum(size[index[mixed]])
+    last = np.flatnonzero(np.append(np.diff(key[index[mixed]]) != 0, True)) + 1  # where arrays may end
     a = 0
-    while a < len(index):
-        b = max(a + 1, int(np.searchsorted(total, (total[a] - room[a]) + SYMBOLS, "right")))
-        while b < len(index) and not new_key[b]:
-            b += 1
-        chosen = index[a:b]
+    while a < len(mixed):
+        fit = np.searchsorted(total[last - 1], (total[a - 1] if a else 0) + SYMBOLS, "right")
+        b = int(last[max(np.searchsorted(last, a, "right"), fit - 1)])
+        chosen = index[mixed[a:b]]
         n = size[chosen]
-        heads = np.cumsum(n) - n
-        inner = np.arange(n.sum()) - np.repeat(heads, n) + np.repeat(begin[chosen], n)
-        owner = own_windows(data[inner], n, lowest[inverse[chosen]])
+        ahead = np.cumsum(n) - n
+        inner = np.arange(n.sum()) - np.repeat(ahead, n) + np.repeat(begin[chosen], n)
+        owner = own_windows(data[inner], n, lowest[mixed[a:b]])
         for k in range(REACH + 1):
             fit = np.flatnonzero(k + LEAST <= n)
-            owners[a + fit, k] = owner[heads[fit] + k]
+            owners[a + fit, k] = owner[ahead[fit] + k]
         a = b
-    mine = back[inverse]
-    gain = owners[mine].min(1) < most
+    first_owner = lowest.copy()
+    first_owner[mixed] = owners.min(1, initial=NOBODY)
+    gain = first_owner[inverse] < most
     rows, a = [], 0
-    for name, n in zip(names, count.tolist(), strict=True):
-        take = a + np.flatnonzero(gain[a : a + n])
-        a += n
+    for name, n, part in zip(names, count.tolist(), parts, strict=True):
+        take = np.flatnonzero(gain[a : a + n])
         if len(take):
-            rows.append((name, squeeze(key[take], mark[take], owners[mine[take]].T.reshape(-1))))
+            times, starts = part[7], np.cumsum(part[8])
+            n_taken = times[take]
+            at = np.arange(n_taken.sum()) - np.repeat(np.cumsum(n_taken) - n_taken, n_taken) + np.repeat((np.cumsum(times) - times)[take], n_taken)
+            which = inverse[a + take]
+            alone = row[which] < 0
+            table = owners[row[which[~alone]]].T.reshape(-1)
+            rows.append((name, squeeze(n_taken, starts[at].astype(np.int32), part[2][take], alone, lowest[which[alone]], table)))
+        a += n
     return rows
 
 
@@ -403,26 +421,31 @@ def covered(unit: Unit, payloads: list[bytes], copies: list[int]) -> np.ndarray:
     n = len(unit.data)
     whole = np.array(copies, np.int64)
     whole = whole[np.diff(unit.offsets)[whole] >= LEAST]
-    gone = union(unit.offsets[whole], np.diff(unit.offsets)[whole], n)
-    if not payloads:
-        return gone
-    parts = [loosen(p, U, U, np.int64) for p in payloads]
-    keys, marks = (np.concatenate([p[k] for p in parts]) for k in range(2))
-    owners = np.concatenate([p[2].reshape(REACH + 1, -1).T for p in parts])
-    order = np.argsort(marks)
-    marks, owners = marks[order], owners[order]
-    found = unit.contexts(np.unique(keys), whole)
-    at = np.minimum(np.searchsorted(marks, found.mark), len(marks) - 1)
-    hit = np.flatnonzero(marks[at] == found.mark)
-    which, step = np.nonzero(owners[at[hit]] < unit.ids[found.text[hit]][:, None])
-    starts = np.unique(found.start[hit[which]] + step)
-    return gone | union(starts, np.full(len(starts), LEAST), n)
+    starts, lengths = [unit.offsets[whole]], [np.diff(unit.offsets)[whole]]
+    for payload in payloads:
+        times, at, size, alone, owner, owners = loosen(payload, np.int32, np.int32, np.uint8, bool, np.int64, np.int64)
+        doc = unit.ids[unit.texts_of(at)]
+        context = np.repeat(np.arange(len(times)), times)
+        # one owner: the whole context
+        one = np.flatnonzero(alone[context])
+        mine = one[owner[(np.cumsum(alone) - 1)[context[one]]] < doc[one]]
+        starts.append(at[mine].astype(np.int64))
+        lengths.append(size[context[mine]].astype(np.int64))
+        # an owner for each string
+        own = np.flatnonzero(~alone[context])
+        table = owners.reshape(REACH + 1, -1).T
+        which, step = np.nonzero(table[(np.cumsum(~alone) - 1)[context[own]]] < doc[own][:, None])
+        found = np.unique(at[own[which]] + step)
+        starts.append(found)
+        lengths.append(np.full(len(found), LEAST))
+    return union(np.concatenate(starts), np.concatenate(lengths), n)
 
 
 def _owned(rows: DataFrame, answer: Callable, schema) -> DataFrame:
     """Run the four steps and answer every unit with the bytes to remove."""
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    buckets = max(2 * partitions(rows.sparkSession), size // BUCKET_BYTES)
     units = pack_units(rows)
-    buckets = 2 * partitions(rows.sparkSession)
     copies = find_copies(units)
     shared = per_bucket(send_anchors(units, buckets), find_shared)
     owners = per_bucket(send_contexts(units, shared, copies, buckets), find_owners)

@@ -13,17 +13,22 @@ class RepeatArray:
 
     ``order``: starts of suffixes, sorted; ``shared[i]``: length of the common prefix of order[i - 1] and order[i], 0
     where it is below ``least``.
+
+    With ``packs`` doubling begins with ``width`` symbols: one number for the symbols from each place on, and ``alone`` for places
+    that have an end among them.
     """
 
-    def __init__(self, symbols: np.ndarray, least: int):
+    def __init__(self, symbols: np.ndarray, least: int, packs: np.ndarray | None = None, alone: np.ndarray | None = None, width: int = 1):
         n = len(symbols)
         kind = np.int32 if n < 2**31 - 2 else np.int64
-        order = np.argsort(symbols, kind="stable")
-        start, twin = self._groups(symbols[order])
+        self.symbols, self.width = symbols, width
+        packs = symbols if packs is None else packs
+        order = np.argsort(packs, kind="stable")
+        start, twin = self._groups(packs[order], None if alone is None else alone[order])
         rank = np.empty(n + 1, np.int64)
         rank[order], rank[n] = start, -1
-        active, width, chosen = order[twin], 1, order[twin]
-        self.levels = [(1, rank.astype(kind))]
+        active, chosen = order[twin], order[twin]
+        self.levels = [(width, rank.astype(kind))]
         while len(active):
             key = rank[active] * np.int64(n + 2) + rank[np.minimum(active + width, n)] + 1
             by = np.argsort(key, kind="stable")
@@ -43,11 +48,14 @@ class RepeatArray:
             self.shared[self.shared < least] = 0
 
     @staticmethod
-    def _groups(ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _groups(ranked: np.ndarray, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For sorted keys: the place where each one's group of equals begins, and whether the group has more than one."""
         n = len(ranked)
         new = np.ones(n, bool)
         new[1:] = ranked[1:] != ranked[:-1]
+        if alone is not None:
+            new |= alone
+            new[1:] |= alone[:-1]
         heads = np.flatnonzero(new)
         size = np.diff(np.append(heads, n))
         return np.repeat(heads, size), np.repeat(size > 1, size)
@@ -59,6 +67,10 @@ class RepeatArray:
         for width, rank in reversed(self.levels):
             step = np.where((rank[np.minimum(a, n)] == rank[np.minimum(b, n)]) & (a < n) & (b < n), width, 0)
             a, b, length = a + step, b + step, length + step
+        for _ in range(self.width - 1):  # what is left is shorter than the first level
+            step = (a < n) & (b < n)
+            step &= self.symbols[np.minimum(a, n - 1)] == self.symbols[np.minimum(b, n - 1)]
+            a, b, length = a + step, b + step, length + step
         return length
 
 
@@ -95,8 +107,8 @@ def intervals(shared: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def maximal_repeats(array: RepeatArray, before: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Maximal repeats as (length, starts of all occurrences): the intervals whose members do not all follow the same symbol.
+def maximal_intervals(array: RepeatArray, before: np.ndarray) -> np.ndarray:
+    """Rows (length, first, last) of the intervals whose members do not all follow the same symbol.
 
     ``before[i]`` is the code of the symbol ahead of suffix i; ends need codes of their own, so that they differ from all.
     """
@@ -104,4 +116,20 @@ def maximal_repeats(array: RepeatArray, before: np.ndarray) -> list[tuple[int, n
     change = np.zeros(len(ahead), np.int64)
     change[1:] = ahead[1:] != ahead[:-1]
     changes = np.cumsum(change)
-    return [(size, array.order[a : b + 1]) for size, a, b in intervals(array.shared) if changes[a] != changes[b]]
+    found = np.array(intervals(array.shared), np.int64).reshape(-1, 3)
+    return found[changes[found[:, 1]] != changes[found[:, 2]]]
+
+
+def maximal_repeats(array: RepeatArray, before: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Maximal repeats as (length, starts of all occurrences)."""
+    return [(size, array.order[a : b + 1]) for size, a, b in maximal_intervals(array, before).tolist()]
+
+
+def byte_packs(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For codes of bytes, ends being 256 and above: the eight bytes from each place on as one number, and where an end is among them."""
+    pad = np.full(7, 256, symbols.dtype)
+    packs = np.concatenate([symbols, pad]).astype(np.uint64) & np.uint64(255)
+    ends = np.append(0, np.cumsum(np.concatenate([symbols, pad]) > 255))
+    for width in (1, 2, 4):
+        packs = packs[:-width] << np.uint64(8 * width) | packs[width:]
+    return packs, ends[8:] > ends[:-8]
