@@ -9,6 +9,7 @@ within their length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,11 @@ from footfall.llm.kernels import steps
 
 SIZE = 4096
 END_ID = 1
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
+TOGETHER = 500  # words of letters that the library gets at a time
+STEP_BYTES = 6_000_000
+# Small letters that no normal form changes, and that large ones turn into by any rule.
+LETTERS = re.compile("[a-zà-öø-ÿ]+").fullmatch
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 _loaded: dict[str, WordTokenizer] = {}
@@ -33,8 +39,9 @@ _loaded: dict[str, WordTokenizer] = {}
 class WordTokenizer:
     """Ids by the tokenizers library, word by word, for a tokenizer that drops white space and joins nothing across it.
 
-    The ids of a word between blanks or line ends do not depend on its neighbours, so each worker keeps those it has seen in a
-    bounded table. Words of letters only are given to the library many at a time; the ids that end a word tell them apart.
+    The ids of a word between blanks or line ends do not depend on its neighbours. So a step's words are told apart first, and each
+    worker keeps the ids of those it has seen in a bounded table. Words of Latin letters, which any rule turns into the same small
+    letters, are given to the library many at a time, and the ids that end a word tell them apart; any other word goes alone.
     """
 
     def __init__(self, path: str):
@@ -45,47 +52,58 @@ class WordTokenizer:
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.letters: dict[str, bytes] = {}
         self.table: dict[str, bytes] = {"": b""}
-        self.marks = {m: self._encode([m])[0].tobytes() for m in (".", ",")}
+        self.marks = {m: self._encode([m])[0] for m in (".", ",")}
 
-    def _encode(self, parts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _learn_letters(self, words: list[str]) -> None:
-        for a in range(0, len(words), 100):
-            some = words[a : a + 100]
-            ids = self._encode([" ".join(some)])[0]
-            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            if len(stops) == len(some) and 4 * len(ids) == stops[-1]:
-                raw = ids.tobytes()
-                self.letters.update(zip(some, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=True))
+        words = list(dict.fromkeys(words))
+        for a in range(0, len(words), TOGETHER):
+            some = words[a : a + TOGETHER]
+            raw = self._encode([" ".join(some)])[0]
+            stops = (4 * np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 4).tolist()
+            if len(stops) == len(some) and len(raw) == stops[-1]:
+                self.table.update(zip(some, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=True))
             else:
-                self.letters.update(zip(some, (p.tobytes() for p in self._encode(some)), strict=True))
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.letters) > REMEMBERED:
-            self.letters = {}
-        cores = [c[:-1] if c[-1] in ".," else c for c in " ".join(words).lower().split(" ")]
-        self._learn_letters([c for c in set(cores) - self.letters.keys() if c.isalpha() and c.islower()])
-        table, letters, marks, other = self.table, self.letters, self.marks, []
-        for word, core in zip(words, cores, strict=True):
-            ids = letters.get(core)
-            if ids is None:
-                other.append(word)
-            else:  # a word is its core, or has a mark behind it
-                table[word] = ids + marks[word[-1]] if word[-1] in ".," else ids
-        table.update(zip(other, (p.tobytes() for p in self._encode(other)), strict=True))
-
-    def encode(self, values: list[str]) -> list[np.ndarray]:
-        cut = [t.replace("\n", " ").split(" ") for t in values]
+                self.table.update(zip(some, self._encode(some), strict=True))
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of each word. A word that ends with a mark is what stands before it, and the mark."""
         if len(self.table) > REMEMBERED:
             self.table = {"": b""}
-        new = set().union(*cut) - self.table.keys()
-        if new:
-            self._learn(list(new))
-        get = self.table.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), "<u4") for ws in cut]
+        table, marks, other = self.table, self.marks, []
+        found = list(map(table.get, words))
+        new = [k for k, raw in enumerate(found) if raw is None]
+        cores = [words[k][:-1] if words[k][-1] in marks else words[k] for k in new]
+        low = " ".join(cores).lower().split(" ") if new else []
+        letters = list(map(LETTERS, low))
+        self._learn_letters([c for c, fit in zip(low, letters, strict=True) if fit and c not in table])
+        for k, core, small, fit in zip(new, cores, low, letters, strict=True):
+            word = words[k]
+            if fit or not core:
+                found[k] = table[word] = table[small] + marks[word[-1]] if len(word) > len(core) else table[small]
+            else:
+                other.append(k)
+        raw = self._encode([words[k] for k in other])
+        for k, ids in zip(other, raw, strict=True):
+            found[k] = table[words[k]] = ids
+        return found
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (one more than texts)."""
+        words = pc.split_pattern(pc.replace_substring(column.fill_null(""), "\n", " "), " ")
+        bounds = words.offsets.to_numpy()
+        each = words.flatten().dictionary_encode()
+        raw = self.ids_of(each.dictionary.to_pylist())
+        size = np.array(list(map(len, raw)), np.int64) // 4
+        first = np.cumsum(size) - size
+        which = each.indices.to_numpy()
+        wide = size[which]
+        ends = np.append(0, np.cumsum(wide))
+        at = np.arange(ends[-1], dtype=np.int32) + np.repeat((first[which] - ends[:-1]).astype(np.int32), wide)
+        return np.frombuffer(b"".join(raw), "<u4")[at], ends[bounds - bounds[0]]
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -100,10 +118,11 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(path)
         tail = np.array([end_id], "<u4")
-        for batch in steps(batches):
+        for batch in steps(batches, size=STEP_BYTES):
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist()), strict=True):
-                ids = np.concatenate([ids, tail])
+            every, bounds = words.encode(batch.column(1))
+            for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                ids = np.concatenate([every[a:b], tail])
                 rows += [(doc, k, a, len(p := ids[a : a + size]), zlib.crc32(p)) for k, a in enumerate(range(0, len(ids), size))]
             columns = list(zip(*rows, strict=True))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
