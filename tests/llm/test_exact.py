@@ -2,10 +2,14 @@
 
 import collections
 import hashlib
+import random
 import re
+import time
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from conftest_llm import PIECES, WORDS
@@ -65,11 +69,61 @@ def test_token_counts(docs, texts):
 @pytest.mark.parametrize("text", ["", " ", "  ", "\n", " \n ", "a  b", "a\n\nb", "▁", "a▁b", "日本 😀é", "x" * 100, "a\tb", "<s> </s> [INST]", "trail   ", "\r\n x"])
 def test_every_prefix(text):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    counter = prefix_tokens.PrefixCounter(PIECES)
-    found = counter.prefixes(counter.remember([text])[0], text).tolist()
+    found = prefix_tokens.counter(PIECES).of(pa.array([text])).prefixes(0).tolist()
     assert found == [len(library.encode(text[:k])) for k in range(1, len(text) + 1)]
 
 
+def odd_texts(n, seed):
+    """Random texts over all scripts, signs and blanks, mostly of common letters."""
+    rng = random.Random(seed)
+    signs = [chr(k) for k in range(1, 0x3000) if unicodedata.category(chr(k))[0] in "LMNPSZC"] + list("日本語한국어😀🏽İΣςſẞKǺ\u0308▁")
+    signs += list("aeiouAEIOUthnrs  .,'\n\t▁") * 80
+    return ["".join(rng.choices(signs, k=rng.randrange(1, 40))) for _ in range(n)]
+
+
+def test_every_prefix_of_odd_texts():
+    library, texts = sentencepiece.SentencePieceProcessor(model_file=PIECES), odd_texts(500, 1)
+    found = prefix_tokens.counter(PIECES).of(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert found.prefixes(k).tolist() == [len(library.encode(text[:j])) for j in range(1, len(text) + 1)]
+        assert found.totals()[k] == len(library.encode(text))
+
+
+def test_long_words_take_linear_time():
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(2)
+    word = "".join(rng.choices("abcdefgh01/+", k=1_000_000))
+    start = time.process_time()
+    assert prefix_tokens.counter(PIECES).of(pa.array([word])).totals().tolist() == [len(library.encode(word))]
+    assert time.process_time() - start < 10
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    texts = odd_texts(300, 3)
+    expected = prefix_tokens.PrefixCounter(PIECES).of(pa.array(texts)).totals().tolist()
+    monkeypatch.setattr(prefix_tokens, "REMEMBERED", 200)
+    monkeypatch.setattr(prefix_tokens, "PAIRS", 20)
+    counter = prefix_tokens.PrefixCounter(PIECES)
+    assert [n for k in range(0, 300, 50) for n in counter.of(pa.array(texts[k : k + 50])).totals().tolist()] == expected
+
+
+def test_counts_of_cut_texts(docs, texts):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = by_id(prefix_tokens.tokens_at(prefix_tokens.prefix_counts(docs, PIECES), 100))
+    assert {i: r["n_tokens"] for i, r in rows.items()} == {i: len(library.encode(t[:100])) for i, t in texts}
+
+
+def test_ids_of_odd_texts(monkeypatch):
+    """Each sign in and between words, final sigmas, composed and decomposed letters, special tokens, words with a mark behind them."""
+    texts = ["", " ", ".", ".,", "ΑΣ", "ΑΣ. x", "A'S 'll don't.", "x<|endoftext|>y.", "<|startoftext|>,", "é .", "İstanbul. ﬁne", "x,. 1,000."]
+    texts += ["Ab" + chr(k) + "cD. " + chr(k) + " x" + chr(k) + "," for k in range(0x3100) if not 0xD800 <= k < 0xE000] + odd_texts(2000, 4)
+    words = packing.WordTokenizer(WORDS)
+    monkeypatch.setattr(packing, "REMEMBERED", 5000)
+    for a in range(0, len(texts), 5000):
+        ids, bounds = words.encode(pa.array(texts[a : a + 5000]))
+        for text, i, j in zip(texts[a : a + 5000], bounds[:-1], bounds[1:], strict=True):
+            assert ids[i:j].tolist() == words.library.encode(text, add_special_tokens=False).ids
+
+
 def removed(texts, least=50):
     seen = {}
     for i, text in texts:
