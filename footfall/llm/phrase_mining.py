@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import groupby, pairwise
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,21 +27,28 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.llm.common import settle
+from footfall.llm.common import partitions, settle
 from footfall.llm.kernels import LOWER, U, Words, mix, steps, text_bytes
+from footfall.llm.suffix_dedup import loosen, squeeze
 
 LONGEST = 5
 LEAST = 100
 ABSORBED = 100  # percent of a phrase's occurrences that a longer one needs to replace it
 FIRST = 2000
 BITS = 1 << 27
-SHARD_BYTES = 8_000_000
-FLUSH = 3_000_000  # fingerprints that a task gathers before it counts them
-ROWS = 200_000
+SHARD_BYTES = 4_000_000
+FLUSH = 4_000_000  # fingerprints that a task gathers before it counts them
+ROWS = 300_000  # phrases that a task gathers before it sends them
+# What meets in one bucket: fingerprints of so much text, so many bits' phrases. The number of buckets follows from the data.
+BUCKET_BYTES = 16_000_000
+BUCKET_PHRASES = 20_000
 PARTS = 64
 MULTIPLIER = 0x5851F42D4C957F2D
 NOBODY = np.iinfo(np.int64).max
 FOUND = "lang string, size int, phrase string, f long, doc_id long"
+LISTED = "bucket int, lang array<string>, size array<int>, phrase array<string>, f array<long>, doc_id array<long>"
+NAMES = ["lang", "size", "phrase", "f", "doc_id"]
+ARROW = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64()), ("doc_id", pa.int64())])
 
 BREAK = np.zeros(256, bool)
 BREAK[[*map(ord, ".,;:!?"), *range(0x0A, 0x0E)]] = True
@@ -126,9 +135,30 @@ def with_language(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), lang)
 
 
-def frequent(rows: DataFrame, bitmap: Bitmap | None, sizes: tuple[int, ...], least: int) -> Bitmap:
-    """Count the fingerprints of all candidates of the given sizes, and add a bit for each that occurs ``least`` times."""
+def dealt(pieces: DataFrame, answer, schema: str) -> DataFrame:
+    """Deal rows out by their first column, a bucket, and give ``answer`` one bucket's batches at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((b, batch.slice(k, 1)) for batch in batches for k, b in enumerate(batch.column(0).to_pylist()))
+        for _, mine in groupby(rows, key=lambda r: r[0]):
+            yield answer(row for _, row in mine)
+
+    return pieces.repartition(partitions(pieces.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def frequent(rows: DataFrame, bitmap: Bitmap | None, sizes: tuple[int, ...], least: int, buckets: int) -> Bitmap:
+    """Count the fingerprints of all candidates of the given sizes, and add a bit for each that occurs ``least`` times.
+
+    Tasks send sorted fingerprints with their counts, packed, to buckets by the highest bits."""
     sent = rows.sparkSession.sparkContext.broadcast(bitmap)
+    heads = np.array([(k << 64) // buckets for k in range(1, buckets)], U)
+
+    def packed(gathered: list[np.ndarray]) -> pa.RecordBatch:
+        prints, n = np.unique(np.concatenate(gathered), return_counts=True)
+        cut = np.concatenate([[0], np.searchsorted(prints, heads), [len(prints)]]).tolist()
+        spans = [(k, a, b) for k, (a, b) in enumerate(pairwise(cut)) if a < b]
+        payloads = [squeeze(np.diff(prints[a:b], prepend=U(0)), n[a:b]) for _, a, b in spans]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in spans], pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, held = [], 0
@@ -138,25 +168,28 @@ def frequent(rows: DataFrame, bitmap: Bitmap | None, sizes: tuple[int, ...], lea
                 gathered.append(grams.prints(at, size))
                 held += len(at)
             if held > FLUSH:
-                yield counted(gathered)
+                yield packed(gathered)
                 gathered, held = [], 0
         if held:
-            yield counted(gathered)
-
-    counts = rows.mapInArrow(run, "print long, n long").groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    bit = F.col("print").bitwiseAND(BITS - 1)
-    cells = counts.groupBy(F.shiftright(bit, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(print & {BITS - 1} & 63 as int))")).alias("bits"))
+            yield packed(gathered)
+
+    def reach(mine: Iterator[pa.RecordBatch]) -> pa.RecordBatch:
+        parts = [loosen(row.column(1)[0].as_py(), U, np.int64) for row in mine]
+        prints = np.concatenate([np.cumsum(p[0], dtype=U) for p in parts])
+        order = np.argsort(prints, kind="stable")
+        prints, n = prints[order], np.concatenate([p[1] for p in parts])[order]
+        first = np.flatnonzero(np.append(True, prints[1:] != prints[:-1]))
+        bits = np.unique(prints[first[np.add.reduceat(n, first) >= least]] & U(BITS - 1))
+        return pa.RecordBatch.from_arrays([pa.array(bits.astype(np.int64))], ["bit"])
+
+    bits = dealt(rows.mapInArrow(run, "bucket int, payload binary"), reach, "bit long")
+    cells = bits.groupBy(F.shiftright("bit", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
     found = cells.toArrow()  # at most BITS / 64 rows
     out = np.zeros(BITS // 64, U) if bitmap is None else bitmap.cells.copy()
     out[found["cell"].to_numpy()] |= found["bits"].to_numpy().view(U)
     return Bitmap(out)
 
 
-def counted(gathered: list[np.ndarray]) -> pa.RecordBatch:
-    prints, n = np.unique(np.concatenate(gathered), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(n)], ["print", "n"])
-
-
 def spelled(grams: Grams, bitmap: Bitmap, ids: np.ndarray) -> Iterator[tuple]:
     """Language, size, phrase, count and smallest document of the step's frequent n-grams, compared with the text; and with size 0
     the words of each language."""
@@ -200,36 +233,50 @@ def phrases(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """All phrases of one to five words that occur ``least`` times in their language, counted by their text; with size 0 and an empty
     phrase the words of each language."""
     rows, bitmap = with_language(docs), None
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    few = partitions(rows.sparkSession)
     for sizes in ((1,), (2,), (3, 4, 5)):
-        bitmap = frequent(rows, bitmap, sizes, least)
+        bitmap = frequent(rows, bitmap, sizes, least, max(few, size // BUCKET_BYTES))
     sent = rows.sparkSession.sparkContext.broadcast(bitmap)
+    buckets = max(few, int(np.bitwise_count(bitmap.cells).sum()) // BUCKET_PHRASES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[tuple, list] = {}
+        table: dict[tuple, tuple] = {}
         for batch in steps(batches, size=SHARD_BYTES):
             ids = batch.column(0).fill_null(NOBODY).to_numpy()
-            for lang, size, phrase, n, doc in spelled(Grams(batch), sent.value, ids):
-                have = table.get((lang, size, phrase))
-                if have is None:
-                    table[lang, size, phrase] = [n, doc]
-                else:
-                    have[0] += n
-                    have[1] = doc if have[1] is None or doc is not None and doc < have[1] else have[1]
+            add(table, spelled(Grams(batch), sent.value, ids))
             if len(table) > ROWS:
-                yield written(table)
+                yield listed(table, buckets)
                 table = {}
         if table:
-            yield written(table)
+            yield listed(table, buckets)
+
+    def total(mine: Iterator[pa.RecordBatch]) -> pa.RecordBatch:
+        table: dict[tuple, tuple] = {}
+        for row in mine:
+            add(table, zip(*(c[0].as_py() for c in row.columns[1:]), strict=True))
+        return pa.RecordBatch.from_pylist([dict(zip(NAMES, (*k, *v), strict=True)) for k, v in table.items() if v[0] >= least or not k[1]], ARROW)
+
+    return dealt(rows.mapInArrow(run, LISTED), total, FOUND)
+
 
-    found = rows.mapInArrow(run, FOUND).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"), F.min("doc_id").alias("doc_id"))
-    return found.where((F.col("f") >= least) | (F.col("size") == 0))
+def add(table: dict[tuple, tuple], found) -> None:
+    for lang, size, phrase, n, doc in found:
+        have = table.get((lang, size, phrase))
+        if have is not None:
+            n, doc = n + have[0], have[1] if doc is None else doc if have[1] is None else min(doc, have[1])
+        table[lang, size, phrase] = n, doc
 
 
-def written(table: dict[tuple, list]) -> pa.RecordBatch:
-    langs, sizes, spelt = zip(*table, strict=True)
-    n, docs = zip(*table.values(), strict=True)
-    columns = [pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(spelt, pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FOUND.split(", ")])
+def listed(table: dict[tuple, tuple], buckets: int) -> pa.RecordBatch:
+    """Lists of what goes to each bucket, by the phrase's own hash."""
+    parts: dict[int, list[tuple]] = {}
+    for key, value in table.items():
+        parts.setdefault(crc32(repr(key).encode()) % buckets, []).append((*key, *value))
+    columns = list(zip(*(zip(*rows, strict=True) for rows in parts.values()), strict=True))
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+    lists = [pa.array(list(map(list, c)), pa.list_(k)) for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), *lists], ["bucket", *NAMES])
 
 
 def collocations(docs: DataFrame, least: int = LEAST, first: int | None = FIRST, absorbed: int = ABSORBED) -> DataFrame:
@@ -241,9 +288,9 @@ def collocations(docs: DataFrame, least: int = LEAST, first: int | None = FIRST,
     """
     known = settle(phrases(docs, least))
     words = known.where("size > 0").select("lang", "phrase", "f")
-    listed = known.where("size > 1").withColumn("words", F.split("phrase", " "))
+    long_ = known.where("size > 1").withColumn("words", F.split("phrase", " "))
     # the score of every cut
-    cuts = listed.withColumn("k", F.explode(F.expr("sequence(1, size - 1)")))
+    cuts = long_.withColumn("k", F.explode(F.expr("sequence(1, size - 1)")))
     cuts = cuts.select(
         "lang", "phrase", F.col("f").alias("a"), "doc_id", "k", F.expr("array_join(slice(words, 1, k), ' ')").alias("one"),
         F.expr("array_join(slice(words, k + 1, size - k), ' ')").alias("two"),
@@ -257,7 +304,7 @@ def collocations(docs: DataFrame, least: int = LEAST, first: int | None = FIRST,
     cuts = cuts.withColumn("score", F.expr("1000 * ({} * {}) div ({} * {})".format(*wide)).cast("long"))
     scored = cuts.groupBy("lang", "part", "phrase").agg(F.min(F.struct("score", "k", "l", "r", "a", "n", "doc_id")).alias("best")).select("lang", "part", "phrase", "best.*")
     # what stands inside a longer one
-    inner = listed.where("size > 2").withColumn("size_", F.explode(F.expr("sequence(2, size - 1)"))).withColumn("at", F.explode(F.expr("sequence(1, size - size_ + 1)")))
+    inner = long_.where("size > 2").withColumn("size_", F.explode(F.expr("sequence(2, size - 1)"))).withColumn("at", F.explode(F.expr("sequence(1, size - size_ + 1)")))
     inner = inner.groupBy("lang", F.expr("array_join(slice(words, at, size_), ' ')").alias("phrase")).agg(F.max("f").alias("around"))
     scored = scored.join(inner, ["lang", "phrase"], "left").where(F.col("around").isNull() | (F.lit(100) * F.col("around") < F.lit(absorbed) * F.col("a")))
     # the first of each part, then the first of those

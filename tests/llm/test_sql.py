@@ -88,8 +88,8 @@ def test_colliding_bits_change_nothing(docs, bits, monkeypatch):
     expected = sorted(map(tuple, phrase_mining.collocations(docs, 20).collect()))
     plain = phrase_mining.frequent
 
-    def full(rows, bitmap, sizes, least):
-        found = plain(rows, bitmap, sizes, least)
+    def full(*args):
+        found = plain(*args)
         return phrase_mining.Bitmap(found.cells | phrase_mining.U(0x5555555555555555 if bits > 64 else 2**64 - 1))
 
     monkeypatch.setattr(phrase_mining, "frequent", full)
@@ -109,6 +109,13 @@ def test_colliding_fingerprints_are_told_apart(monkeypatch):
     }
 
 
+def test_many_buckets(docs, monkeypatch):
+    expected = sorted(map(tuple, phrase_mining.collocations(docs, 5).collect()))
+    for name, value in (("BUCKET_BYTES", 5000), ("BUCKET_PHRASES", 40), ("FLUSH", 3000), ("ROWS", 100), ("SHARD_BYTES", 20_000)):
+        monkeypatch.setattr(phrase_mining, name, value)
+    assert sorted(map(tuple, phrase_mining.collocations(docs, 5).collect())) == expected
+
+
 def test_scores_beyond_64_bits(spark):
     """floor(1000 * a * n / (l * r)) with products above 2^64, and the floor of a quotient just below a whole number."""
     row = spark.sql("SELECT 1000 * (cast(a as decimal(19, 0)) * cast(n as decimal(19, 0))) div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0))) AS s FROM VALUES (3000000000000, 90000000000000000, 3000000000001, 5000000000000) AS t(a, n, l, r)").first()
