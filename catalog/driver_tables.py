@@ -12,6 +12,7 @@ from footfall import session
 from footfall.functions.identity import hmac_sha256
 from footfall.functions.text import literals
 from footfall.operators import enrich, rollups, sessionize, star
+from footfall.plans import ingest
 from footfall.sources import tables
 
 SITE_HOST = "shop.test"
@@ -297,3 +298,47 @@ def clock(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
         ).first()
         _clocks[key] = (low[:10], high[:10], high)
     return _clocks[key]
+
+
+# --- the ingest job: requests to a star of its own -----------------------------------------------------
+
+RULES = ingest.Rules("https://shop.test", SITE_HOST, SECRET, bots=True, urls=("/error/*",))
+
+
+def salts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One salt per day of the events, changed a quarter past midnight; the first one began the day before."""
+    days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day")).distinct()
+    first = days.agg(F.min("day").alias("day")).select(F.date_sub("day", 1).alias("day"))
+    return days.unionByName(first).select(
+        (F.col("day").cast("timestamp") + F.expr("INTERVAL 15 MINUTES")).alias("valid_from"),
+        F.concat(F.lit("salt-"), F.col("day").cast("string")).alias("salt"),
+    )
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as they arrive: none of the columns that the job has to find out."""
+    return request_bodies(raw_events(spark, sf_dir)).drop("visitor_id", "uri")
+
+
+_ingested: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The star that the ingest job makes of the requests; made once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ingested:
+        path = session.new_path(spark, "ingested")
+        _ingested[key] = ingest.ingest(requests(spark, sf_dir), path, RULES, salts(spark, sf_dir), geo_ranges(spark, sf_dir))
+    return _ingested[key]
+
+
+def ingested_in_two(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The same star from two loads, cut at noon of a day in the middle, the second one given twice."""
+    first, last, _ = clock(spark, sf_dir)
+    middle = F.to_timestamp(F.date_add(F.lit(first).cast("date"), F.floor(F.datediff(F.lit(last).cast("date"), F.lit(first).cast("date")) / 2).cast("int")))
+    early = F.col("ts") < middle + F.expr("INTERVAL 12 HOURS")
+    path, hits = session.new_path(spark, "loads"), requests(spark, sf_dir)
+    job = (path, RULES, salts(spark, sf_dir), geo_ranges(spark, sf_dir))
+    ingest.ingest(hits.where(early), *job)
+    ingest.load_more(hits.where(~early), *job)
+    return ingest.load_more(hits.where(~early), *job)

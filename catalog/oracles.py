@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from catalog import driver_tables as d
 from catalog.oracle_views import (
-    VIEWS, _list, _pick, channel_case, domain_of, medium_case, name_case, spam_test, with_views,
+    VIEWS, _list, _pick, channel_case, domain_of, medium_case, name_case, spam_test, view, with_views,
 )
 from footfall import fixed_values as fv
 
@@ -141,6 +141,50 @@ oracle("B12_date_range", """
 SELECT o_orderstatus, count(*) AS orders FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-03-01' AND DATE '1997-02-28' GROUP BY 1
 """)
 oracle("B13_search_pages", "SELECT uri, title, visitors FROM pages_total WHERE uri ILIKE '%purchase/1%' OR title ILIKE '%purchase/1%'", "pages_total")
+view("admitted", "salted", "sourced", "agents", "places")(f"""
+SELECT h.*, s.channel, s.source_domain, a.device_type, a.browser_name, a.browser_version, a.os_name, p.country_code, p.country_name, p.city_name,
+  row_number() OVER (PARTITION BY h.visitor_hash ORDER BY h.viewed_at, h.view_id) AS rn
+FROM (SELECT *, {_verdict} AS status FROM {_bots.replace("hits", "salted")}) h JOIN sourced s USING (view_id) JOIN agents a ON a.user_agent = h.user_agent
+  LEFT JOIN places p ON p.user_id = h.user_id AND h.user_id % 5 <> 0 AND h.user_id % 3 <> 1
+WHERE status IS NULL AND view_id % 31 <> 1 AND NOT gpc AND NOT dnt AND NOT is_bot AND resource_type <> 'error'
+""")
+view("steps", "admitted")("""
+SELECT visitor_hash, view_id, rn, viewed_at, viewed_at AS started_at FROM admitted WHERE rn = 1
+UNION ALL
+SELECT r.visitor_hash, r.view_id, r.rn, r.viewed_at, CASE WHEN r.viewed_at > w.started_at + INTERVAL 1800 SECOND THEN r.viewed_at ELSE w.started_at END
+FROM steps w JOIN admitted r ON r.visitor_hash = w.visitor_hash AND r.rn = w.rn + 1
+""")
+view("stays", "steps")("""
+SELECT visitor_hash, started_at, count(*) AS total_views, max(viewed_at) AS last_at, min_by(view_id, rn) AS first_view, max_by(view_id, rn) AS last_view
+FROM steps GROUP BY 1, 2
+""")
+view("seen", "steps", "stays", "admitted")("""
+SELECT a.view_id, a.uri, a.viewed_at, a.pvid, CAST(a.viewed_at AS DATE) AS day, CAST(t.started_at AS DATE) AS first_day, w.visitor_hash,
+  w.visitor_hash || '@' || CAST(w.started_at AS VARCHAR) AS sid, t.total_views
+FROM steps w JOIN admitted a USING (view_id) JOIN stays t ON t.visitor_hash = w.visitor_hash AND t.started_at = w.started_at
+""")
+_text = lambda table, *columns: f"SELECT '{table}' AS table_name, concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns) + ") AS row"
+_known = lambda c: f"nullif({c}, '')"
+oracle("A9_ingest_star", " UNION ALL ".join([
+    _text("visitors", "visitor_hash", "min(viewed_at)") + " FROM admitted GROUP BY visitor_hash",
+    _text(
+        "sessions", "t.visitor_hash", "t.started_at", "CASE WHEN total_views > 1 THEN last_at END", "total_views", "first_view", "last_view",
+        "country_code", "country_name", "city_name", _known("device_type"), _known("browser_name"), "CASE WHEN browser_name <> '' THEN nullif(browser_version, '') END",
+        _known("os_name"), "CASE WHEN screen_width > 0 THEN screen_width END", _known("language"), _known("timezone"), "channel", "CASE WHEN channel IS NOT NULL THEN source_domain END",
+    ) + " FROM stays t JOIN admitted a ON a.view_id = t.first_view",
+    _text("views", "view_id", "sid", "uri", "viewed_at", "pvid") + " FROM seen",
+    _text("parameters", "view_id", "uri", "param_key", "param_value") + " FROM tags JOIN admitted USING (view_id)",
+    _text("resource_uris", "uri", "arg_min(resource_id, (viewed_at, view_id))") + " FROM admitted GROUP BY uri",
+    _text("summary", "day", "uri", "count(DISTINCT visitor_hash)", "count(DISTINCT sid)", "count(*)", "count(*) FILTER (WHERE total_views = 1)") + " FROM seen GROUP BY day, uri",
+    _text("summary_totals", "day", "visitors", "sessions", "views", "bounces") + """ FROM (
+      SELECT first_day AS day, count(DISTINCT visitor_hash) AS visitors, count(DISTINCT sid) AS sessions, count(*) FILTER (WHERE day = first_day) AS views,
+        count(DISTINCT sid) FILTER (WHERE total_views = 1) AS bounces FROM seen GROUP BY 1)""",
+]), "salted", "admitted", "steps", "stays", "seen", "tags")
+ORACLES["A9_incremental_star"] = ORACLES["A9_ingest_star"]
+oracle("K_pipeline_extra", """
+SELECT device_type || ':' || split_part(uri, '/', 2) AS section, coalesce(country_code, 'ZZ') AS country_code, count(*) AS hits,
+  count(DISTINCT visitor_hash) AS visitors, 1 AS ids FROM admitted GROUP BY 1, 2
+""", "admitted")
 oracle("B_admit_hits", f"""
 SELECT coalesce(code, CASE WHEN view_id % 31 = 1 THEN 'invalid_signature' WHEN gpc THEN 'gpc' WHEN dnt THEN 'dnt'
     WHEN is_bot THEN 'bot:' || why WHEN {_cidr} THEN 'ip_range' WHEN user_id > 0 AND user_id % 4 = 0 THEN 'role'
@@ -196,10 +240,7 @@ oracle("C12_extract_utm", "SELECT h.view_id, " + ", ".join(
     f"max(param_value) FILTER (WHERE param_key = '{k}') AS {k}" for k in fv.UTM_KEYS
 ) + " FROM hits h LEFT JOIN tags t ON t.view_id = h.view_id GROUP BY 1", "hits", "tags")
 oracle("C13_attribute_source", "SELECT view_id, channel, source_name, source_domain FROM sourced", "sourced")
-oracle("C14_visitor_hash", """
-SELECT view_id, substr(sha256('salt-' || CAST(CAST(ts AS DATE) AS VARCHAR) || regexp_replace(ip, '[0-9]+$', '0') || user_agent || 'https://shop.test'), 1, 16) AS visitor_hash
-FROM hits
-""", "hits")
+oracle("C14_visitor_hash", "SELECT view_id, visitor_hash FROM salted", "salted")
 oracle("C15_salt_as_of", """
 SELECT view_id, 'salt-' || CAST(s.day AS VARCHAR) AS salt, 'salt-' || CAST(s.before AS VARCHAR) AS previous_salt
 FROM hits h ASOF LEFT JOIN (SELECT day, day + INTERVAL 15 MINUTE AS valid_from, lag(day) OVER (ORDER BY day) AS before

@@ -14,7 +14,7 @@ from footfall import fixed_values as fv
 from footfall import session
 from footfall.functions import device, identity, ip, source, text
 from footfall.operators import admission, enrich, rollups, sessionize, star
-from footfall.plans import lifecycle, reconcile, reports
+from footfall.plans import ingest, lifecycle, reconcile, reports
 from footfall.sources import daily, hits as logs, tables
 from footfall.streaming import jobs, runner
 
@@ -172,6 +172,68 @@ def _(spark, sf_dir):
     return lifecycle.table_stats({n: df for n, df in d.stored(spark, sf_dir).items()})
 
 
+def _named_star(t):
+    """Sessions of a star with the names their ids stand for, and views with their session's."""
+    visits = t["sessions"].join(t["visitors"].select(F.col("id").alias("visitor_id"), "hash"), "visitor_id")
+    for table, key, names in (
+        ("countries", "country_id", ["code", "name"]), ("cities", "city_id", ["city_name"]), ("device_types", "device_type_id", ["name"]),
+        ("device_browsers", "device_browser_id", ["name"]), ("device_browser_versions", "device_browser_version_id", ["version"]),
+        ("device_oss", "device_os_id", ["name"]), ("resolutions", "resolution_id", ["width"]), ("languages", "language_id", ["code"]),
+        ("timezones", "timezone_id", ["name"]), ("referrers", "referrer_id", ["channel", "domain"]),
+    ):
+        dim = t[table].select(F.col("id").alias(key), *[F.col(n).alias(f"{table}_{n}") for n in names])
+        visits = visits.join(dim, key, "left")
+    return visits
+
+
+@query("A9_ingest_star")
+def _(spark, sf_dir):
+    return _star_rows(d.ingested(spark, sf_dir))
+
+
+@query("A9_incremental_star")
+def _(spark, sf_dir):
+    return _star_rows(d.ingested_in_two(spark, sf_dir))
+
+
+@query("K_pipeline_extra")
+def _(spark, sf_dir):
+    """The ingest job with two stages of the site's own: one that adds a column, one that changes a value where a place is unknown."""
+    section = lambda hits: hits.withColumn("section", F.concat_ws(":", "device_type", F.split("uri", "/")[1]))
+    abroad = ingest.Stage("abroad", lambda hits: hits.withColumn("country_code", F.when(F.col("country_code") == "", "ZZ").otherwise(F.col("country_code"))), ("country_code",))
+    hits = ingest.pipeline(d.requests(spark, sf_dir), d.RULES, d.salts(spark, sf_dir), d.geo_ranges(spark, sf_dir), [section, abroad])
+    return hits.groupBy("section", "country_code").agg(F.count("*").alias("hits"), F.countDistinct("visitor_hash").alias("visitors"), F.countDistinct("country_id").alias("ids"))
+
+
+def _star_rows(t):
+    """Every row of a star, ids replaced by what they stand for."""
+    text = lambda table, *columns: F.struct(F.lit(table).alias("table_name"), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]).alias("row"))
+    visits = _named_star(t).withColumn("visitor", F.lower(F.hex("hash")))
+    at = F.concat_ws("@", "visitor", F.col("started_at").cast("string")).alias("session")
+    uris = t["resource_uris"].select(F.col("id").alias("resource_uri_id"), "uri")
+    views = t["views"].join(visits.select(F.col("id").alias("session_id"), at), "session_id").join(uris, "resource_uri_id")
+    parts = t["parameters"].join(uris, "resource_uri_id")
+    rows = [
+        t["visitors"].withColumn("visitor", F.lower(F.hex("hash"))).select(text("visitors", "visitor", "created_at").alias("r")),
+        visits.select(
+            text(
+                "sessions", "visitor", "started_at", "ended_at", "total_views", "initial_view_id", "last_view_id", "countries_code", "countries_name",
+                "cities_city_name", "device_types_name", "device_browsers_name", "device_browser_versions_version", "device_oss_name",
+                "resolutions_width", "languages_code", "timezones_name", "referrers_channel", "referrers_domain",
+            ).alias("r")
+        ),
+        views.select(text("views", "id", "session", "uri", "viewed_at", "pvid").alias("r")),
+        parts.select(text("parameters", "view_id", "uri", "param_key", "param_value").alias("r")),
+        t["resource_uris"].select(text("resource_uris", "uri", "resource_id").alias("r")),
+        t["summary"].join(uris, "resource_uri_id").select(text("summary", "date", "uri", "visitors", "sessions", "views", "bounces").alias("r")),
+        t["summary_totals"].select(text("summary_totals", "date", "visitors", "sessions", "views", "bounces").alias("r")),
+    ]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out.select("r.*")
+
+
 @query("A10_read_ground_truth")
 def _(spark, sf_dir):
     path = session.new_path(spark, "truth")
@@ -381,8 +443,8 @@ def _(spark, sf_dir):
 
 @query("C14_visitor_hash")
 def _(spark, sf_dir):
-    hits = d.raw_events(spark, sf_dir).withColumn("salt", F.concat(F.lit("salt-"), F.to_date("ts").cast("string")))
-    hashed = enrich.with_visitor(hits.withColumn("ip", F.col("remote_addr")), "https://shop.test")
+    hits = enrich.with_salt(d.raw_events(spark, sf_dir), d.salts(spark, sf_dir))
+    hashed = enrich.with_visitor(enrich.with_client_ip(hits), "https://shop.test")
     return hashed.select("view_id", "visitor_hash")
 
 
@@ -702,13 +764,13 @@ def _(t, first, last, now):
 @query("F19_active_pages")
 @with_range
 def _(t, first, last, now):
-    return reports.active_pages(t, now)
+    return reports.active_pages(t, now, limit=10)
 
 
 @query("F20_recent_feed")
 @with_range
 def _(t, first, last, now):
-    return reports.recent_feed(t, now)
+    return reports.recent_feed(t, now, limit=20)
 
 
 @query("F18_active_visitors_day")
@@ -742,7 +804,7 @@ def _report_day(last: str, frequency: str) -> str:
 @query("F22_report_top_pages")
 @with_range
 def _(t, first, last, _):
-    return reports.report_top_pages(t, "weekly", last)
+    return reports.report_top_pages(t, "weekly", last, 10)
 
 
 @query("F22_report_all_pages")

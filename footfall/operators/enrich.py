@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall import fixed_values as fv
 from footfall.functions import device, identity, ip, source
 from footfall.functions.text import let
-from footfall.session import broadcast_if_small
+from footfall.operators import intervals
 
 GEO_COLUMNS = ["country_code", "country_name", "city_name", "region_code", "continent_code", "continent"]
 
@@ -80,32 +80,40 @@ def with_source(
     )
 
 
-def salt_intervals(salts: DataFrame) -> DataFrame:
-    """One row per salt and day it serves, with its half-open validity and the salt before it.
+def _moment(at):
+    """Comparable text of a time."""
+    return F.lpad((F.unix_micros(at) + F.lit(1 << 62)).cast("string"), 20, "0")
 
-    Salts rotate once a day, so a day meets only a few of them and the day is a good join key.
-    """
-    order = Window.orderBy("valid_from")  # one row per rotation
-    spans = salts.select(
-        "valid_from",
-        "salt",
-        F.lead("valid_from").over(order).alias("valid_to"),
-        F.lag("salt").over(order).alias("previous_salt"),
-    )
-    last = F.coalesce(F.date_sub(F.col("valid_to").cast("date"), 0), F.date_add(F.col("valid_from").cast("date"), 3650))
-    return spans.withColumn("_day", F.explode(F.sequence(F.col("valid_from").cast("date"), last)))
+
+def salts_by_day(salts: DataFrame, days: DataFrame) -> DataFrame:
+    """(``_day``, ``_salts``) for each of ``days`` (column ``_day``): what was valid when it began and what began on it, in order,
+    each with the salt before it. The last salt has no end."""
+    spans = salts.where(F.col("valid_from").isNotNull()).groupBy("valid_from").agg(F.min("salt").alias("salt"))
+    spans = spans.withColumns({"_lo": _moment(F.col("valid_from")), "_hi": F.lit(None).cast("string")})
+    before = spans.select(_moment(F.col("valid_from") - F.expr("INTERVAL 1 MICROSECOND")).alias("_key"), "valid_from", "salt")
+    found = intervals.lookup(before, spans, ["salt"]).select("_key", F.col("_found.salt").alias("previous_salt"))
+    chained = before.join(found, "_key").select("valid_from", "salt", "previous_salt")
+    chained = intervals.stored(chained.withColumns({"_lo": _moment(F.col("valid_from")), "_hi": F.lit(None).cast("string")}), "salts")
+    entry = ["valid_from", "salt", "previous_salt"]
+    starts = days.select("_day", _moment(F.col("_day").cast("timestamp")).alias("_key"))
+    at_start = starts.join(intervals.lookup(starts, chained, entry), "_key").select("_day", "_found")
+    on_day = chained.select(F.col("valid_from").cast("date").alias("_day"), F.struct(*entry).alias("_found"))
+    both = at_start.unionByName(on_day).where(F.col("_found").isNotNull())
+    return both.groupBy("_day").agg(F.array_sort(F.collect_set("_found")).alias("_salts"))
 
 
 def with_salt(hits: DataFrame, salts: DataFrame, ts: str = "ts") -> DataFrame:
-    """As-of join: the salt valid at the hit's time and the one before it."""
-    spans = broadcast_if_small(salt_intervals(salts))
+    """As-of join: the salt valid at the hit's time and the one before it; NULL for a hit before the first salt.
+
+    Salts are looked up for distinct days, so hits move at most once, by an equality join on the day.
+    """
     at = F.col(ts)
-    match = (
-        (at.cast("date") == F.col("_day"))
-        & (at >= F.col("valid_from"))
-        & (F.col("valid_to").isNull() | (at < F.col("valid_to")))
-    )
-    return hits.join(spans, match, "left").drop("_day", "valid_from", "valid_to")
+    days = intervals.stored(hits.select(at.cast("date").alias("_day")).where("_day is not null").distinct(), "days")
+    joined = hits.withColumn("_day", at.cast("date")).join(salts_by_day(salts, days), "_day", "left")
+    valid = F.get(F.filter("_salts", lambda s: s["valid_from"] <= at), F.size(F.filter("_salts", lambda s: s["valid_from"] <= at)) - 1)
+    return joined.withColumn("_salt", valid).withColumns(
+        {"salt": F.col("_salt.salt"), "previous_salt": F.col("_salt.previous_salt")}
+    ).drop("_day", "_salts", "_salt")
 
 
 def with_visitor(
@@ -128,11 +136,6 @@ def address_key(c):
     return F.when(c.contains(":"), let(c, ip.ipv6_to_hex)).otherwise(v4)
 
 
-def _bucket(key):
-    """First 16 bits of an IPv4 key, first 24 bits of an IPv6 key."""
-    return F.conv(F.substring(key, 1, F.when(F.length(key) == 8, 4).otherwise(6)), 16, 10).cast("long")
-
-
 def range_keys(ranges: DataFrame, lo: str = "ip_from", hi: str = "ip_to") -> DataFrame:
     """Ranges of addresses as ranges of keys ``_lo`` to ``_hi``."""
     return ranges.withColumns({"_lo": address_key(F.col(lo)), "_hi": address_key(F.col(hi))}).drop(lo, hi)
@@ -164,22 +167,16 @@ def cidr_keys(cidrs: DataFrame) -> DataFrame:
 def match_ranges(hits: DataFrame, keys: DataFrame, ip_col: str, columns: Sequence[str] = ()) -> DataFrame:
     """(``_ip``, ``_found``) for every distinct address that lies in a range of ``keys``.
 
-    Distinct addresses are taken first (with map-side combining), so an address that sends a third
-    of all hits is matched once, and one IPv4 prefix holds at most 65,536 of them. Ranges are keyed
-    by each prefix they touch, which makes the lookup an equality join.
+    Distinct addresses are taken first (with map-side combining), so an address that sends a third of all hits is matched once.
+    Of ranges that overlap the one that starts last wins.
     """
     distinct = hits.select(F.col(ip_col).alias("_ip")).distinct()
-    keyed = distinct.withColumn("_key", address_key(F.col("_ip")))
-    keyed = keyed.withColumns({"_width": F.length("_key"), "_bucket": _bucket(F.col("_key"))})
-    spread = keys.filter(F.length("_lo") == F.length("_hi")).withColumns(
-        {"_width": F.length("_lo"), "_bucket": F.explode(F.sequence(_bucket(F.col("_lo")), _bucket(F.col("_hi"))))}
-    )
-    side = broadcast_if_small(spread.select("_lo", "_hi", "_width", "_bucket", *columns))
-    between = F.col("_key").between(F.col("_lo"), F.col("_hi"))
-    found = keyed.join(side, ["_width", "_bucket"]).filter(between)
-    # ranges of one table should not overlap; if they do, the one that starts last wins
-    value = F.struct(*columns) if columns else F.lit(True)
-    return found.groupBy("_ip").agg(F.max_by(value, F.col("_lo")).alias("_found"))
+    # the length of a key, 8 or 32, tells the families apart
+    family = lambda key: F.concat(F.when(F.length(key) == 8, F.lit("4")).otherwise(F.lit("6")), key)
+    keyed = intervals.stored(distinct.withColumn("_key", family(address_key(F.col("_ip")))), "addresses")
+    spans = keys.filter(F.length("_lo") == F.length("_hi")).withColumns({"_lo": family(F.col("_lo")), "_hi": family(F.col("_hi")), "_in": F.lit(True)})
+    found = intervals.lookup(keyed.select("_key").distinct(), spans, [*columns] or ["_in"]).where(F.col("_found").isNotNull())
+    return keyed.join(found, "_key").select("_ip", "_found")
 
 
 def geo_enrich(hits: DataFrame, geo_ranges: DataFrame, ip_col: str = "ip") -> DataFrame:

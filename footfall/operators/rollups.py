@@ -71,30 +71,35 @@ def rollup_range(views: DataFrame, sessions: DataFrame, first: str, last: str) -
     return days.join(totals, "date", "left").select("date", *[F.coalesce(c, F.lit(0)).alias(c) for c in METRICS])
 
 
-def backfill_window(as_of: str) -> tuple[str, str]:
+BACKFILL_DAYS = 30
+
+
+def backfill_window(as_of: str, back: int = BACKFILL_DAYS) -> tuple[str, str]:
     day = date.fromisoformat(as_of)
-    return str(day - timedelta(days=30)), str(day - timedelta(days=2))
+    return str(day - timedelta(days=back)), str(day - timedelta(days=2))
 
 
-def missing_days(totals: DataFrame, as_of: str) -> DataFrame:
-    """Days from 30 to 2 days before ``as_of`` that have no totals row."""
-    first, last = backfill_window(as_of)
+def missing_days(totals: DataFrame, as_of: str, back: int = BACKFILL_DAYS) -> DataFrame:
+    """Days from ``back`` to 2 days before ``as_of`` that have no totals row."""
+    first, last = backfill_window(as_of, back)
     return calendar(totals.sparkSession, first, last).join(totals.select("date").distinct(), "date", "left_anti")
 
 
-def refresh_days(totals: DataFrame, as_of: str) -> DataFrame:
+def refresh_days(totals: DataFrame, as_of: str, back: int = BACKFILL_DAYS) -> DataFrame:
     yesterday = str(date.fromisoformat(as_of) - timedelta(days=1))
-    return missing_days(totals, as_of).unionByName(calendar(totals.sparkSession, yesterday, yesterday))
+    return missing_days(totals, as_of, back).unionByName(calendar(totals.sparkSession, yesterday, yesterday))
 
 
-def refresh(views: DataFrame, sessions: DataFrame, totals: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
-    """(summary, summary_totals) rows of yesterday and the missing days.
+def refresh(
+    views: DataFrame, sessions: DataFrame, totals: DataFrame, as_of: str, back: int = BACKFILL_DAYS
+) -> tuple[DataFrame, DataFrame]:
+    """(summary, summary_totals) rows of yesterday and the missing days of the last ``back``.
 
-    At most 30 days are wanted, so the day set is broadcast onto facts already cut to the window.
+    At most ``back`` days are wanted, so the day set is broadcast onto facts already cut to the window.
     """
-    first, _ = backfill_window(as_of)
+    first, _ = backfill_window(as_of, back)
     last = str(date.fromisoformat(as_of) - timedelta(days=1))
-    days = F.broadcast(refresh_days(totals, as_of))
+    days = F.broadcast(refresh_days(totals, as_of, back))
     recent_views = date_range(views, "viewed_at", first, last)
     on_day = lambda df, ts: df.join(days, F.to_date(ts) == days["date"], "left_semi")
     # a view's session may have started the day before

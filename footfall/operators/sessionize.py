@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from footfall import fixed_values as fv
 
+SLICE = 4096  # of the hits' order, whose hits a hot second ranks in one task
+
 
 def to_second(ts: str):
     return F.date_trunc("second", F.col(ts))
@@ -93,10 +95,20 @@ def session_starts(
 
 
 def sessionize_anchored(
-    hits: DataFrame, visitor: str = "visitor_id", ts: str = "viewed_at", timeout: int = fv.SESSION_SECONDS
+    hits: DataFrame,
+    visitor: str = "visitor_id",
+    ts: str = "viewed_at",
+    timeout: int = fv.SESSION_SECONDS,
+    open_sessions: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds ``started_at`` and ``session_id`` to every hit; hits without a visitor are dropped."""
-    starts = session_starts(hits, visitor, ts, timeout)
+    """Adds ``started_at`` and ``session_id`` to every hit; hits without a visitor are dropped.
+
+    ``open_sessions`` (visitor and ``started_at``) are sessions of an earlier load that hits may still belong to.
+    """
+    seen = hits.select(visitor, ts)
+    if open_sessions is not None:
+        seen = seen.unionByName(open_sessions.select(visitor, F.col("started_at").alias(ts)))
+    starts = session_starts(seen, visitor, ts, timeout)
     joined = hits.withColumn("_second", to_second(ts)).join(starts, [visitor, "_second"]).drop("_second")
     return joined.withColumn("session_id", F.xxhash64(visitor, "started_at"))
 
@@ -199,3 +211,21 @@ def flag_rate_limited(
     joined = keyed.join(quotas, ["_key", "_sec"])
     rank = F.row_number().over(Window.partitionBy("_key", "_sec").orderBy(order))
     return joined.withColumn("rate_limited", rank > F.col("_quota")).drop("_key", "_sec", "_quota")
+
+
+def beyond_quota(hits: DataFrame, over: DataFrame, key: str = "ip", ts: str = "ts", order: str = "view_id") -> DataFrame:
+    """Hits of the seconds in ``over`` (``_key``, ``_sec``, ``_quota``) behind the first ``_quota`` by ``order``, a number.
+
+    A second may hold any share of all hits. Its hits are cut into slices of ``order``, which are counted; the slices' counts say in
+    which one the quota runs out, and only that slice's hits are ranked.
+    """
+    keyed = hits.withColumns({"_key": F.xxhash64(key), "_sec": F.unix_seconds(to_second(ts))}).join(over, ["_key", "_sec"])
+    keyed = keyed.withColumn("_slice", F.floor(F.col(order) / SLICE))
+    counts = keyed.groupBy("_key", "_sec", "_slice").agg(F.count("*").alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy("_key", "_sec").orderBy("_slice")) - F.col("_n")
+    placed = keyed.join(counts.withColumn("_ahead", ahead).drop("_n"), ["_key", "_sec", "_slice"])
+    names = hits.columns
+    late = placed.where(F.col("_ahead") >= F.col("_quota")).select(*names)
+    rank = F.col("_ahead") + F.row_number().over(Window.partitionBy("_key", "_sec", "_slice").orderBy(order))
+    edge = placed.where(F.col("_ahead") < F.col("_quota")).withColumn("_rank", rank).where(F.col("_rank") > F.col("_quota"))
+    return late.unionByName(edge.select(*names))

@@ -70,17 +70,17 @@ def cutoff_day(days: int, as_of: str, least: int = 30) -> str:
     return str(date.fromisoformat(as_of) - timedelta(days=days))
 
 
-def purge(table: DataFrame, time: str, mode: str, days: int, as_of: str) -> DataFrame:
+def purge(table: DataFrame, time: str, mode: str, days: int, as_of: str, least: int = 30) -> DataFrame:
     """Rows that stay. On a table partitioned by day the filter only reads the kept partitions."""
     if mode == "forever":
         return table
-    kept = F.to_timestamp(F.lit(cutoff_day(days, as_of)))
+    kept = F.to_timestamp(F.lit(cutoff_day(days, as_of, least)))
     return since(table, time, kept)
 
 
-def purge_all(tables: dict[str, DataFrame], mode: str, days: int, as_of: str) -> dict[str, DataFrame]:
+def purge_all(tables: dict[str, DataFrame], mode: str, days: int, as_of: str, least: int = 30) -> dict[str, DataFrame]:
     """Facts cut at the same day; campaign parameters follow the sessions that stay."""
-    out = {n: purge(tables[n], c, mode, days, as_of) for n, c in PURGE_TIMES.items() if n in tables}
+    out = {n: purge(tables[n], c, mode, days, as_of, least) for n, c in PURGE_TIMES.items() if n in tables}
     if "parameters" in tables and "sessions" in out:
         kept = out["sessions"].select(F.col("id").alias("session_id"))
         out["parameters"] = tables["parameters"].join(kept, "session_id", "left_semi")

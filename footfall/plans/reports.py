@@ -72,7 +72,7 @@ def live_pages(t: Tables, day: str) -> DataFrame:
 
 
 def top_pages(
-    t: Tables, first: str, last: str, as_of: str, limit: int | None = 100, offset: int = 0, merge: str = "sum"
+    t: Tables, first: str, last: str, as_of: str, limit: int | None = None, offset: int = 0, merge: str = "sum"
 ) -> DataFrame:
     """Pages by visitors. Today is read live and added to the stored days.
 
@@ -108,11 +108,11 @@ def _end_pages(t: Tables, first: str, last: str, limit: int | None, pick) -> Dat
     return top(named, "count", limit, "uri", "title")
 
 
-def entry_pages(t: Tables, first: str, last: str, limit: int | None = 100) -> DataFrame:
+def entry_pages(t: Tables, first: str, last: str, limit: int | None = None) -> DataFrame:
     return _end_pages(t, first, last, limit, F.min_by)
 
 
-def exit_pages(t: Tables, first: str, last: str, limit: int | None = 100) -> DataFrame:
+def exit_pages(t: Tables, first: str, last: str, limit: int | None = None) -> DataFrame:
     return _end_pages(t, first, last, limit, F.max_by)
 
 
@@ -149,7 +149,7 @@ def _counts() -> list[Column]:
     return [F.count("visitor_id").alias("visitors"), F.sum("sessions").alias("sessions"), F.sum("views").alias("views")]
 
 
-def sources(t: Tables, first: str, last: str, limit: int | None = 100) -> DataFrame:
+def sources(t: Tables, first: str, last: str, limit: int | None = None) -> DataFrame:
     """Channel, name and domain by visitors. Sessions are counted by id first, named after."""
     counted = _by_referrer(t, first, last).groupBy("id").agg(*_counts())
     named = counted.join(_labels(t), "id", "left").select(*_source_labels(), "visitors", "sessions", "views")
@@ -185,7 +185,7 @@ def sources_by_channel(t: Tables, first: str, last: str, per_channel: int | None
 
 
 def breakdown(
-    t: Tables, dim: str, key: str, labels: Sequence[Column], first: str, last: str, limit: int | None = 100
+    t: Tables, dim: str, key: str, labels: Sequence[Column], first: str, last: str, limit: int | None = None
 ) -> DataFrame:
     """Visitors and sessions per row of a dimension; sessions without a value are left out."""
     rows = date_range(t["sessions"], "started_at", first, last).filter(F.col(key).isNotNull())
@@ -196,18 +196,18 @@ def breakdown(
     return top(named, "visitors", limit, *[c for c in named.columns if c not in ("visitors", "sessions")])
 
 
-def dim_countries(t: Tables, first: str, last: str, limit: int | None = 100) -> DataFrame:
+def dim_countries(t: Tables, first: str, last: str, limit: int | None = None) -> DataFrame:
     return breakdown(t, "countries", "country_id", [F.col("code"), F.col("name"), F.col("continent_code")], first, last, limit)
 
 
-def dim_cities(t: Tables, first: str, last: str, limit: int | None = 100) -> DataFrame:
+def dim_cities(t: Tables, first: str, last: str, limit: int | None = None) -> DataFrame:
     countries = t["countries"].select(F.col("id").alias("country_id"), F.col("name").alias("country"))
     cities = t["cities"].join(countries, "country_id", "left")
     return breakdown({**t, "cities": cities}, "cities", "city_id", [F.col("city_name"), F.col("country")], first, last, limit)
 
 
 def _dim_named(dim: str, key: str, label: str = "name"):
-    def report(t: Tables, first: str, last: str, limit: int | None = 100) -> DataFrame:
+    def report(t: Tables, first: str, last: str, limit: int | None = None) -> DataFrame:
         return breakdown(t, dim, key, [F.col(label).alias("name")], first, last, limit)
 
     return report
@@ -223,7 +223,7 @@ dim_timezones = _dim_named("timezones", "timezone_id")
 # --- campaigns and events ----------------------------------------------------------------------
 
 
-def utm_campaigns(t: Tables, first: str, last: str, limit: int | None = 100) -> DataFrame:
+def utm_campaigns(t: Tables, first: str, last: str, limit: int | None = None) -> DataFrame:
     """Campaign, source and medium per session, then distinct visitors and sessions per tuple."""
     names = {"campaign": "utm_campaign", "source": "utm_source", "medium": "utm_medium"}
     per_session = (
@@ -238,7 +238,7 @@ def utm_campaigns(t: Tables, first: str, last: str, limit: int | None = 100) ->
     return top(counted, "visitors", limit, *names)
 
 
-def events_list(t: Tables, first: str, last: str, limit: int | None = 100) -> DataFrame:
+def events_list(t: Tables, first: str, last: str, limit: int | None = None) -> DataFrame:
     counted = date_range(t["events"], "created_at", first, last).groupBy("event_name").agg(
         F.count(F.lit(1)).alias("total"), F.count_distinct("session_id").alias("sessions")
     )
@@ -286,14 +286,14 @@ def active_visitors(t: Tables, as_of_ts: str, window: int = 300) -> DataFrame:
     return live.agg(F.count_distinct("visitor_id").alias("active_visitors"))
 
 
-def active_pages(t: Tables, as_of_ts: str, window: int = 300, limit: int | None = 10) -> DataFrame:
+def active_pages(t: Tables, as_of_ts: str, window: int = 300, limit: int | None = None) -> DataFrame:
     live = _live_views(t, as_of_ts, window, "visitor_id")
     counted = live.groupBy("resource_uri_id").agg(F.count_distinct("visitor_id").alias("visitors"))
     named = named_pages(counted, t).select("uri", F.coalesce("title", F.lit("")).alias("title"), "visitors")
     return top(named, "visitors", limit, "uri", "title")
 
 
-def recent_feed(t: Tables, as_of_ts: str, window: int = 300, limit: int | None = 20) -> DataFrame:
+def recent_feed(t: Tables, as_of_ts: str, window: int = 300, limit: int | None = None) -> DataFrame:
     """Newest views of the window with title, country and browser."""
     newest = _live_views(t, as_of_ts, window, "country_id", "device_browser_id").orderBy(F.desc("viewed_at"), F.desc("id"))
     full = newest if limit is None else newest.limit(limit)
@@ -325,7 +325,7 @@ def report_totals(t: Tables, frequency: str, as_of: str) -> DataFrame:
     return rows.agg(*[F.sum(c).alias(c) for c in ("visitors", "sessions", "views", "bounces")])
 
 
-def report_top_pages(t: Tables, frequency: str, as_of: str, limit: int | None = 10) -> DataFrame:
+def report_top_pages(t: Tables, frequency: str, as_of: str, limit: int | None = None) -> DataFrame:
     first, last = report_period(frequency, as_of)
     rows = t["summary"].filter(F.col("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     pages = rows.groupBy("resource_uri_id").agg(F.sum("visitors").alias("visitors"), F.sum("views").alias("views"))

@@ -43,6 +43,13 @@ def _write_table(name: str, df: DataFrame, path: str) -> None:
         df.hint("rebalance").write.mode("overwrite").parquet(target)
 
 
+def replace_days(name: str, df: DataFrame, path: str) -> None:
+    """Replace the days of a stored fact that are present in ``df``, which must not read from there, and leave all others alone."""
+    dated = df.withColumn("day", F.to_date(FACT_TIMES[name])).hint("rebalance", F.col("day")).sortWithinPartitions("day", FACT_ORDER[name])
+    target = f"{path.rstrip('/')}/{name}"
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(target)
+
+
 def write_star(tables: dict[str, DataFrame], path: str, at_once: int = 4) -> None:
     """Persist every table; facts are partitioned by day and sorted by session inside it.
 

@@ -125,17 +125,24 @@ def test_cidr_list_and_table_agree_with_the_standard_library(spark):
     assert {r.ip: r.ip_excluded for r in table.collect()} == expected
 
 
-def test_geo_without_broadcast_gives_the_same(spark, monkeypatch):
+def test_places_of_ranges_that_overlap(spark):
+    """Of ranges around an address the one that starts last counts; a range of all addresses and one that ends early don't hide others."""
     ranges = spark.createDataFrame(
-        [("20.0.0.0", "20.3.255.255", "AA"), ("2a00::", "2a00:ff::ffff", "BB"), ("10.0.0.0", "10.255.255.255", "ZZ")], "ip_from string, ip_to string, country_code string"
-    )
+        [
+            ("20.0.0.0", "20.3.255.255", "AA"), ("20.1.0.0", "20.1.255.255", "AB"), ("20.1.7.0", "20.1.7.9", "AC"), ("2a00::", "2a00:ff::ffff", "BB"),
+            ("10.0.0.0", "10.255.255.255", "ZZ"), ("0.0.0.0", "255.255.255.255", "YY"), ("20.0.0.0", "20.0.0.255", "AD"),
+        ],
+        "ip_from string, ip_to string, country_code string",
+    )
     for c in enrich.GEO_COLUMNS[1:]:
         ranges = ranges.withColumn(c, F.lit("x"))
-    hits = spark.createDataFrame([("20.2.9.9",), ("20.4.0.0",), ("2a00:1::5",), ("10.1.1.1",), ("2a00:ff:1::",), ("bad",)], "ip string")
-    expected = {"20.2.9.9": "AA", "20.4.0.0": "", "2a00:1::5": "BB", "10.1.1.1": "", "2a00:ff:1::": "", "bad": ""}
-    for limit in (500_000, 0):
-        monkeypatch.setattr(enrich, "broadcast_if_small", lambda df, limit=limit: F.broadcast(df) if limit else df.hint("merge"))
-        assert {r.ip: r.country_code for r in enrich.geo_enrich(hits, ranges).collect()} == expected
+    expected = {
+        "20.2.9.9": "AA", "20.4.0.0": "YY", "2a00:1::5": "BB", "10.1.1.1": "", "2a00:ff:1::": "", "bad": "", "20.1.7.5": "AC", "20.1.7.10": "AB", "20.2.0.0": "AA",
+        "20.0.0.9": "AD", "20.0.1.0": "AA", "1.1.1.1": "YY",
+    }
+    hits = spark.createDataFrame([(t,) for t in expected], "ip string")
+    found = enrich.geo_enrich(hits, ranges)
+    assert {r.ip: r.country_code for r in found.collect()} == expected
 
 
 def test_devices(spark):
