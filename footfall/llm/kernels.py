@@ -49,12 +49,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about ``size`` bytes of the column's text at most (or one text)."""
+def steps(batches: Iterator[pa.RecordBatch], *columns: str, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each holds about ``size`` bytes of text (of ``columns``, else of ``text``) at most, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
+        offsets = sum(text_bytes(batch.column(batch.schema.get_field_index(c)))[1] for c in columns or ("text",))
         at = 0
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
@@ -62,6 +62,11 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = S
             at = end
 
 
+def give_back() -> None:
+    """Return what Arrow has freed to the system: a Python worker outlives its task, and the next one may be another step's."""
+    pa.default_memory_pool().release_unused()
+
+
 class Words:
     """Words of a batch of texts: where each starts and ends in the bytes, and which text it belongs to."""
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from footfall.llm.common import settle, texts
 from footfall.llm.components import components
-from footfall.llm.kernels import U, Words, mix, steps, text_bytes
+from footfall.llm.kernels import U, Words, give_back, mix, steps, text_bytes
 from footfall.llm.superminhash import band_keys, shingles, signatures
 
 WIDTH = 5
@@ -38,6 +38,7 @@ def sketch(docs: DataFrame, threshold: int, width: int = WIDTH) -> DataFrame:
     rows, bands = BANDS[threshold]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in steps(batches):
             keys, owner = shingles(Words(*text_bytes(batch.column(1))), width)
             n = batch.num_rows
@@ -69,7 +70,8 @@ def differences(pairs: DataFrame, chosen: DataFrame, threshold: int, width: int
     more, less = 100 + threshold, 100 - threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        give_back()
+        for batch in steps(batches, "center_text", "text"):
             (a, own_a), (b, own_b) = (shingles(Words(*text_bytes(batch.column(k))), width) for k in (2, 3))
             n = batch.num_rows
             both = np.concatenate([a, b])

@@ -12,6 +12,7 @@ from footfall.llm.kernels import U, Words, mix, windows
 
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 LEVEL_STEP = U(0xD6E8FEB86659FD93)
+SLICE = 16_384  # shingles whose permutations are held at a time; a set is never divided
 
 
 def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,7 +37,22 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(keys: np.ndarray, owner: np.ndarray, n: int, size: int) -> np.ndarray:
-    """An (n, size) table of signatures; rows of empty sets hold ``EMPTY``."""
+    """An (n, size) table of signatures; rows of empty sets hold ``EMPTY``. ``owner`` ascends.
+
+    A few sets at a time, since each shingle of a set that is still open has a permutation of ``size`` numbers.
+    """
+    out = np.full((n, size), EMPTY, U)
+    ends = np.searchsorted(owner, np.arange(n), "right")
+    first = begin = 0
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(ends, begin + SLICE, "right")))
+        end = int(ends[last - 1])
+        out[first:last] = _signatures(keys[begin:end], owner[begin:end] - first, last - first, size)
+        first, begin = last, end
+    return out
+
+
+def _signatures(keys: np.ndarray, owner: np.ndarray, n: int, size: int) -> np.ndarray:
     out = np.full(n * size, EMPTY, U)
     order = None
     for level in range(size):

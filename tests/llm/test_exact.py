@@ -24,6 +24,7 @@ from footfall.llm import (
     quality_rules,
     source_mix,
     suffix_dedup,
+    superminhash,
 )
 from footfall.llm.suffixes import RepeatArray, intervals, maximal_repeats
 
@@ -189,6 +190,16 @@ def test_near_duplicates(docs, texts, threshold):
         assert (rows[i]["n_shingles"], rows[i]["component_id"], rows[i]["kept"]) == (len(sets[i]), find(i), find(i) == i)
 
 
+def test_signatures_do_not_depend_on_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = np.concatenate([[0], rng.integers(0, 90, 40), [3000, 0, 1]])
+    owner, keys = np.repeat(np.arange(len(sizes)), sizes), rng.integers(0, 2**63, sizes.sum()).astype(np.uint64)
+    whole = superminhash.signatures(keys, owner, len(sizes), 168)
+    monkeypatch.setattr(superminhash, "SLICE", 50)
+    assert (superminhash.signatures(keys, owner, len(sizes), 168) == whole).all()
+    assert (whole[sizes == 0] == superminhash.EMPTY).all() and (whole[sizes > 0] != superminhash.EMPTY).all()
+
+
 def test_links_beside_the_centre(spark):
     """Copies that are alike only to each other, in a bucket whose centre is alike to none of them."""
     rng = np.random.default_rng(3)
