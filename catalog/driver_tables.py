@@ -14,6 +14,7 @@ from footfall.functions.text import literals
 from footfall.operators import enrich, rollups, sessionize, star
 from footfall.plans import ingest
 from footfall.sources import tables
+from footfall.streaming import runner, sinks
 
 SITE_HOST = "shop.test"
 SECRET = b"not-a-real-secret"
@@ -342,3 +343,18 @@ def ingested_in_two(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     ingest.ingest(hits.where(early), *job)
     ingest.load_more(hits.where(~early), *job)
     return ingest.load_more(hits.where(~early), *job)
+
+
+def streamed(spark: SparkSession, sf_dir: str, loads: int = 2) -> dict[str, DataFrame]:
+    """The same star from a stream: requests arrive in ``loads`` parts of equal time, the last one is tried twice."""
+    path, hits = session.new_path(spark, "streamed"), requests(spark, sf_dir)
+    low, high = hits.agg(F.unix_seconds(F.min("ts")).alias("low"), F.unix_seconds(F.max("ts")).alias("high")).first()
+    part = F.least(F.floor((F.unix_seconds("ts") - low) * loads / max(high - low, 1)), F.lit(loads - 1))
+    lookups = lambda own: (salts(own, sf_dir), geo_ranges(own, sf_dir))
+    for k in range(loads):
+        hits.where(part == k).write.mode("append").parquet(f"{path}/arrived")
+        runner.run_star(spark.readStream.schema(hits.schema).parquet(f"{path}/arrived"), path, RULES, lookups)
+    again = sinks.star_batches(path, RULES, lookups)
+    again(hits.where(part == loads - 1), loads - 1)  # in the manifest: skipped
+    again(hits.where(part == loads - 1), loads)  # as if it had broken off before it got there
+    return ingest.read(spark, path)

@@ -583,3 +583,4 @@ SELECT visitor_id, {T('min(viewed_at)')} AS started_at, {T('max(viewed_at)')} AS
 ) GROUP BY visitor_id, run
 """, "hits")
 oracle("A11_stream_rollup", _site, "site_days")
+ORACLES["A11_stream_star"] = ORACLES["A9_ingest_star"]

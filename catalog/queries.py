@@ -1099,3 +1099,8 @@ def _(spark, sf_dir):
 @query("A11_stream_rollup")
 def _(spark, sf_dir):
     return runner.run_totals(_stream(spark, sf_dir)).select("date", "visitors", "sessions", "views", "total_duration", "bounces")
+
+
+@query("A11_stream_star")
+def _(spark, sf_dir):
+    return _star_rows(d.streamed(spark, sf_dir))

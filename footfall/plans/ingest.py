@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from datetime import timedelta
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall import fixed_values as fv
@@ -134,9 +134,12 @@ def star_tables(hits: DataFrame) -> dict[str, DataFrame]:
 
 
 def ingest(hits: DataFrame, path: str, rules: Rules, salts: DataFrame, ranges: DataFrame, extra: Sequence[Step | Stage] = ()) -> dict[str, DataFrame]:
-    """The whole job: requests to stored hits, star and daily rollups below ``path``. Each step reads the one before from files."""
+    """The whole job: requests to stored hits, star and daily rollups below ``path``. Each step reads the one before from files.
+    Without an admitted hit there is no star yet, and no tables are returned."""
     spark = hits.sparkSession
     pipeline(hits, rules, salts, ranges, extra).write.mode("overwrite").parquet(f"{path}/hits")
+    if spark.read.parquet(f"{path}/hits").isEmpty():
+        return {}
     made = star_tables(spark.read.parquet(f"{path}/hits"))
     tables.write_star(made, path)
     out = tables.read_star(spark, path, list(made))
@@ -151,19 +154,26 @@ def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out | {name: tables.read_rollup(spark, f"{path}/{name}", name) for name in ("summary", "summary_totals")}
 
 
-def load_more(hits: DataFrame, path: str, rules: Rules, salts: DataFrame, ranges: DataFrame, extra: Sequence[Step | Stage] = ()) -> dict[str, DataFrame]:
+def load_more(
+    hits: DataFrame, path: str, rules: Rules, salts: DataFrame, ranges: DataFrame, extra: Sequence[Step | Stage] = (), late: str | None = None
+) -> dict[str, DataFrame]:
     """Add requests to the star below ``path``. Loads come in the order of time: no hit is older than its visitor's stored ones.
+    With ``late`` such hits are written to that folder, replacing what it holds; without, they are the caller's to keep out.
 
     Sessions that were open go on. Only days that the load touches are read and written again, as wholes; rows of dimensions and
     visitors are added where their key is absent. So the same load twice changes nothing.
     """
     spark = hits.sparkSession
     fresh = intervals.stored(visits(hits, rules, salts, ranges, extra), "load")
+    old = read(spark, path)
+    if late is not None:
+        behind = intervals.stored(out_of_turn(fresh, old), "load-late")
+        behind.write.mode("overwrite").parquet(late)
+        fresh = fresh.join(behind.select("view_id"), "view_id", "left_anti")
     first = fresh.agg(F.min("viewed_at")).first()[0]
     if first is None:
-        return read(spark, path)
-    old = read(spark, path)
-    still = admission.since(old["sessions"], "started_at", F.lit(first) - F.expr(f"INTERVAL {fv.SESSION_SECONDS} SECONDS"))
+        return old
+    still = admission.since(old["sessions"], "started_at", session_before(first))
     hits = intervals.stored(compose(fresh, keyed(still.select("visitor_id", "started_at"))), "load-hits")
     made = star_tables(hits)
     touched = sorted(r["day"] for r in made["sessions"].select(F.to_date("started_at").alias("day")).union(hits.select(F.to_date("viewed_at"))).distinct().collect())
@@ -178,7 +188,9 @@ def load_more(hits: DataFrame, path: str, rules: Rules, salts: DataFrame, ranges
     for name in TABLES:
         if name not in tables.FACT_TIMES:
             absent = made[name].join(old[name].select("id"), "id", "left_anti").select(*old[name].columns)
-            intervals.stored(absent, f"load-{name}").write.mode("append").parquet(f"{path}/{name}")
+            absent = intervals.stored(absent, f"load-{name}")
+            if not absent.isEmpty():  # most loads bring no new countries or browsers: no file for nothing
+                absent.write.mode("append").parquet(f"{path}/{name}")
     now = tables.read_star(spark, path, ["views", "sessions"])
     days = now["views"].where(F.col("day").isin(touched))
     # a view's session began on its day or the one before
@@ -188,6 +200,22 @@ def load_more(hits: DataFrame, path: str, rules: Rules, salts: DataFrame, ranges
     return read(spark, path)
 
 
+def session_before(at: datetime) -> Column:
+    """The earliest start of a session that a hit at this time can belong to."""
+    return F.lit(at) - F.expr(f"INTERVAL {fv.SESSION_SECONDS} SECONDS")
+
+
+def out_of_turn(fresh: DataFrame, old: dict[str, DataFrame]) -> DataFrame:
+    """Hits that are older than a stored view of their visitor. Views of the load itself, stored when it was tried before, don't count."""
+    first = fresh.agg(F.min("viewed_at")).first()[0]
+    if first is None:
+        return fresh
+    views = admission.since(old["views"], "viewed_at", F.lit(first)).join(fresh.select(F.col("view_id").alias("id")), "id", "left_anti")
+    owners = admission.since(old["sessions"], "started_at", session_before(first)).select(F.col("id").alias("session_id"), "visitor_id")
+    newest = views.join(owners, "session_id").groupBy("visitor_id").agg(F.max("viewed_at").alias("_newest"))
+    return fresh.join(newest, "visitor_id").where("viewed_at < _newest").drop("_newest")
+
+
 def merged_sessions(stored: DataFrame, fresh: DataFrame, views: DataFrame) -> DataFrame:
     """Sessions of the touched days: a session that went on keeps its first view's values; counts and ends come from its views."""
     kept = stored.unionByName(fresh.join(stored.select("id"), "id", "left_anti"))

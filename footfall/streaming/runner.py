@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from footfall import session
+from footfall.plans import ingest
 from footfall.streaming import sinks
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -59,3 +60,14 @@ def run_totals(hits: DataFrame) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.parquet(f"{path}/totals").withColumn("date", F.col("date").cast("date"))
+
+
+def run_star(requests: DataFrame, path: str, rules: ingest.Rules, lookups: sinks.Lookups) -> None:
+    """Feed the requests that have arrived since the last run to the star below ``path``."""
+    query = (
+        requests.writeStream.foreachBatch(sinks.star_batches(path, rules, lookups))
+        .option("checkpointLocation", f"{path}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()

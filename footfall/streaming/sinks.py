@@ -1,15 +1,18 @@
-"""Streaming sink: keeps daily totals up to date from micro-batches of hits."""
+"""Streaming sinks: keep daily totals, or the whole star and its rollups, up to date from micro-batches."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.operators import rollups, sessionize
+from footfall.plans import ingest
 from footfall.sources.tables import write_rollup
 
+Lookups = Callable[[SparkSession], tuple[DataFrame, DataFrame]]
 HIT_COLUMNS = ["view_id", "visitor_id", "viewed_at", "duration"]
 
 
@@ -63,3 +66,28 @@ def refresh_totals(spark: SparkSession, path: str, first: date) -> None:
     write_rollup(sessions.select("visitor_id", "started_at", F.to_date("started_at").alias("date")), f"{path}/starts")
 
 
+def star_batches(path: str, rules: ingest.Rules, lookups: Lookups, extra: Sequence[ingest.Step | ingest.Stage] = ()):
+    """A ``foreachBatch`` function that takes requests through the ingest job into the star and its rollups below ``path``.
+
+    ``lookups`` gives salts and address ranges as they are when a batch begins. ``path/batches`` is the manifest: a batch enters it
+    when all its tables are written, and is skipped from then on. One that broke off is run again and gives the same rows, as facts
+    are replaced by day and dimensions added by key. Hits that are older than a stored view of their visitor are kept in
+    ``path/late``, by batch, and counted in the manifest, since they would change sessions that were already reported;
+    ``ingest`` over all requests has them in their place. The rate limit counts inside a batch.
+    """
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        entry = f"{path}/batches/batch={batch_id}"
+        if _read(spark, entry) is not None:
+            return
+        late = 0
+        if _read(spark, f"{path}/batches") is None:
+            if not ingest.ingest(batch, path, rules, *lookups(spark), extra):
+                return  # no star to add to yet
+        else:
+            ingest.load_more(batch, path, rules, *lookups(spark), extra, late=f"{path}/late/batch={batch_id}")
+            late = spark.read.parquet(f"{path}/late/batch={batch_id}").count()
+        spark.range(1).select(F.lit(late).cast("long").alias("late")).write.mode("overwrite").parquet(entry)
+
+    return process

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from catalog import driver_tables as d
 from footfall.operators import enrich, intervals, sessionize
 from footfall.plans import ingest
+from footfall.streaming import sinks
 
 
 @pytest.mark.parametrize(("n_points", "n_spans", "width"), [(400, 60, 40), (300, 1, 1000), (50, 200, 400), (0, 5, 5), (5, 0, 5)])
@@ -106,3 +107,26 @@ def test_an_empty_load_changes_nothing(spark, small):
     hits = d.requests(spark, small).where(F.to_date("ts") == F.lit(first).cast("date"))
     before = {n: df.count() for n, df in ingest.ingest(hits, *job).items()}
     assert {n: df.count() for n, df in ingest.load_more(hits.where("false"), *job).items()} == before
+
+
+def test_late_hits_are_set_aside_and_counted(spark, small):
+    """Hits older than their visitors' stored ones: the star stays, the hits lie in the late folder."""
+    path, hits = d.session.new_path(spark, "late"), d.requests(spark, small)
+    first, _, _ = d.clock(spark, small)
+    lookups = lambda own: (d.salts(own, small), d.geo_ranges(own, small))
+    process = sinks.star_batches(path, d.RULES, lookups)
+    process(hits.where("false"), 0)
+    assert sinks._read(spark, f"{path}/batches") is None
+    day = hits.where(F.to_date("ts") == F.lit(first).cast("date"))
+    process(day, 1)
+    stored = ingest.read(spark, path)
+    before = {name: df.count() for name, df in stored.items()}
+    # one visit a visitor, a second ahead of the first stored one, under ids of their own
+    views = stored["views"].join(stored["sessions"].select(F.col("id").alias("session_id"), "visitor_id"), "session_id")
+    starts = views.groupBy("visitor_id").agg(F.min_by("id", F.struct("viewed_at", "id")).alias("view_id")).select("view_id")
+    early = day.join(starts, "view_id").withColumn("ts", F.col("ts") - F.expr("INTERVAL 1 SECOND")).withColumn("viewed_at", F.date_trunc("second", "ts"))
+    early = early.where(F.to_date("ts") == F.lit(first).cast("date")).withColumn("view_id", F.col("view_id") + 10**9)
+    process(early, 2)
+    late = spark.read.parquet(f"{path}/late/batch=2").count()
+    assert late == spark.read.parquet(f"{path}/batches/batch=2").first()["late"] > 0
+    assert {name: df.count() for name, df in ingest.read(spark, path).items()} == before
