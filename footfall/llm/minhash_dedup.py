@@ -8,8 +8,9 @@ that only one of the two has. Whether x and y are alike then depends on how much
 
 With f(c) = -(100 - t) * |c|, x is linked to its centre when f(x) + f(c) <= 0. Members linked to the centre are one group already.
 Any other link needs D(x) and D(y) to overlap by a known amount, so the two must share one of the rarest tokens of either (prefix
-filter, with a filter by position); those candidates are checked in full. So all pairs of a bucket are decided, yet only pairs that
-share rare edits are ever made.
+filter, with a filter by position); those candidates are checked in full. Members that are linked to the same centre, be it that of
+another bucket, are one group already and make no candidate: a large family in the bucket of another, similar one is held together
+by its own centre. So all pairs of a bucket are decided, yet only pairs between families that share rare edits are ever made.
 """
 
 from __future__ import annotations
@@ -100,26 +101,41 @@ def _needed(a: Column, b: Column, threshold: int) -> Column:
     return F.greatest(F.ceil((a + b) / F.lit(2.0 * (100 + threshold))), F.lit(1))
 
 
-def other_links(edges: DataFrame, threshold: int) -> DataFrame:
-    """Links between members of a star of which at least one is not linked to the centre."""
+def hubs(edges: DataFrame) -> DataFrame:
+    """For each node linked to a centre the ``hub``, that of its centres with most linked nodes (ties: the smallest id); a centre may be its own."""
+    linked = edges.where("f + fc <= 0").select("center", "node")
+    linked = linked.union(linked.select("center", "center").distinct())
+    size = linked.groupBy("center").agg(F.count("*").alias("n"))
+    best = linked.join(size, "center").groupBy("node").agg(F.max(F.struct("n", (-F.col("center")).alias("least"))).alias("top"))
+    return best.select("node", (-F.col("top.least")).alias("hub"))
+
+
+def candidates(edges: DataFrame, threshold: int) -> DataFrame:
+    """``center, a, b``: members of a star, at least one not linked to its centre, that may be linked and have no hub in common."""
     open_ = F.col("f") + F.col("fc") > 0
-    edges = edges.withColumn("open", open_)
+    edges = edges.withColumn("open", open_).join(hubs(edges), "node", "left").withColumn("hub", F.coalesce("hub", "node"))
     bounds = edges.groupBy("center").agg(F.min("f").alias("low"), F.min(F.when(open_, F.col("f"))).alias("low_open"), F.count("*").alias("members"))
     wanted = edges.join(bounds.where("low_open is not null and members > 1"), "center")
     # a closed member can only gain from an open one, an open one from any
     need = _needed(F.col("f"), F.when(F.col("open"), F.col("low")).otherwise(F.col("low_open")), threshold)
     wanted = wanted.withColumn("prefix", F.col("size") - need + 1).where("prefix > 0")
-    tokens = wanted.select("center", "node", "f", "size", "open", "prefix", F.explode("tokens").alias("token"))
-    counts = tokens.groupBy("center", "token").agg(F.count("*").alias("n"))
+    tokens = wanted.select("center", "node", "hub", "f", "size", "open", "prefix", F.explode("tokens").alias("token"))
+    counts = tokens.groupBy("center", "token").agg(F.count("*").alias("n"), (F.min("hub") < F.max("hub")).alias("apart"))
     order = Window.partitionBy("center", "node").orderBy("n", "token")
     placed = tokens.join(counts.where("n > 1"), ["center", "token"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    placed = placed.withColumn("at", F.row_number().over(order)).where("at <= prefix and n > 1")
-    placed = settle(placed.select("center", "node", "f", "size", "open", "token", "at"))
+    placed = placed.withColumn("at", F.row_number().over(order)).where("at <= prefix and apart")
+    placed = settle(placed.select("center", "node", "hub", "f", "size", "open", "token", "at"))
     x, y = placed.where("open").alias("x"), placed.alias("y")
     left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) + 1
     meet = (F.col("x.center") == F.col("y.center")) & (F.col("x.token") == F.col("y.token"))
+    meet &= F.col("x.hub") != F.col("y.hub")
     meet &= (~F.col("y.open") | (F.col("x.node") < F.col("y.node"))) & (left >= _needed(F.col("x.f"), F.col("y.f"), threshold))
-    found = x.join(y, meet).select("x.center", F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return x.join(y, meet).select("x.center", F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def other_links(edges: DataFrame, threshold: int) -> DataFrame:
+    """Links between members of a star of which at least one is not linked to the centre, but for those with the same hub."""
+    found = candidates(edges, threshold)
     own = edges.select("center", "node", "f", "tokens")
     both = found.join(own.select("center", F.col("node").alias("a"), F.col("f").alias("fa"), F.col("tokens").alias("ta")), ["center", "a"])
     both = both.join(own.select("center", F.col("node").alias("b"), F.col("f").alias("fb"), F.col("tokens").alias("tb")), ["center", "b"])

@@ -225,6 +225,41 @@ def test_links_beside_the_centre(spark):
     assert [found[i]["component_id"] for i in range(len(rows))] == root
 
 
+@pytest.mark.parametrize("sizes", [(30, 25), (60, 50)])
+def test_similar_families_make_few_candidates(spark, monkeypatch, sizes):
+    """Two large families whose members share buckets, though none is linked to one of the other family."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for family, members in enumerate(sizes):
+        own = list(base)
+        for k in range(10 * family):
+            own[40 * k + 7] = f"f{family}x{k}"
+        for copy in range(members):
+            text = list(own)
+            for k in rng.choice(400, 3, replace=False):
+                text[k] = f"c{family}y{copy}z{k}"
+            rows.append((len(rows), " ".join(text)))
+    made = []
+    old = minhash_dedup.candidates
+
+    def counted(edges, threshold):
+        found = old(edges, threshold)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(minhash_dedup, "candidates", counted)
+    found = by_id(minhash_dedup.group(spark.createDataFrame(rows, "doc_id long, text string")))
+    sets = dict(shingle_sets(rows))
+    linked = [(a, b) for a in sets for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    assert [found[i]["component_id"] for i in range(len(rows))] == root
+    assert len(made) == 1 and made[0] <= len(linked)
+
+
 def test_mix(docs):
     rows = source_mix.plan(docs).collect()
     again = sorted(map(tuple, source_mix.plan(docs.repartition(5)).collect()))
