@@ -246,8 +246,14 @@ SELECT view_id, 'salt-' || CAST(s.day AS VARCHAR) AS salt, 'salt-' || CAST(s.bef
 FROM hits h ASOF LEFT JOIN (SELECT day, day + INTERVAL 15 MINUTE AS valid_from, lag(day) OVER (ORDER BY day) AS before
   FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)) s ON h.ts >= s.valid_from
 """, "hits")
-oracle("C16_resolve_uri", "SELECT uri, NULL AS uri_hash, count(*) AS hits FROM hits GROUP BY 1", "hits")
-del ORACLES["C16_resolve_uri"]  # no CRC-32 in SQL: checked by value in the tests
+# CRC-32 of a text's UTF-8 bytes, bit by bit (lowest first), from the reversed polynomial 0xEDB88320
+_bits = "list_transform(range(8), lambda k: (('0x' || substr(hex(encode({0})), 2 * i - 1, 2))::BIGINT >> k) & 1)"
+CRC32 = f"xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(range(1, strlen({{0}}) + 1), lambda i: {_bits})), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)".format
+oracle("C16_resolve_uri", f"""
+SELECT uri, {CRC32('uri')} AS uri_hash, hits FROM (
+  SELECT CASE WHEN view_id % 3 <> 0 THEN uri ELSE '/' || coalesce(resource_type, 'post') || '/' || CAST(coalesce(resource_id, 0) AS VARCHAR) END AS uri, count(*) AS hits
+  FROM hits GROUP BY 1)
+""", "hits")
 oracle("C17_clean_event_name", """
 SELECT name, count(*) AS events FROM (
   SELECT CASE WHEN c IN ('', '0') THEN NULL ELSE c END AS name FROM (
@@ -301,6 +307,10 @@ oracle("D9_view_paths", "SELECT view_id AS id, lead(view_id) OVER (PARTITION BY
 oracle("D9_conversation_paths", """
 SELECT conv_id AS session_id, turn AS id, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_view_id FROM conversations
 """)
+oracle("D10_resource_uris", f"""
+SELECT uri, {CRC32('uri')} AS uri_hash, resource_id
+FROM (SELECT uri, arg_min(coalesce(resource_id, 0), (viewed_at, view_id)) AS resource_id FROM hits GROUP BY 1)
+""", "hits")
 oracle("D10_resources", "SELECT DISTINCT resource_type, resource_id FROM hits WHERE resource_id > 0", "hits")
 oracle("D11_utm_parameters", "SELECT view_id, param_key, param_value FROM tags", "tags")
 oracle("D12_build_events", f"""
