@@ -14,17 +14,17 @@ class RepeatArray:
     ``order``: starts of suffixes, sorted; ``shared[i]``: length of the common prefix of order[i - 1] and order[i], 0
     where it is below ``least``.
 
-    With ``packs`` doubling begins with ``width`` symbols: one number for the symbols from each place on, and ``alone`` for places
-    that have an end among them.
+    With ``packs`` doubling begins with ``width`` symbols: one number for the symbols from each place on, and in ``ahead`` how many
+    of them stand before the first end. An end sorts below all symbols, or it would part suffixes that share more than it has.
     """
 
-    def __init__(self, symbols: np.ndarray, least: int, packs: np.ndarray | None = None, alone: np.ndarray | None = None, width: int = 1):
+    def __init__(self, symbols: np.ndarray, least: int, packs: np.ndarray | None = None, ahead: np.ndarray | None = None, width: int = 1):
         n = len(symbols)
         kind = np.int32 if n < 2**31 - 2 else np.int64
         self.symbols, self.width = symbols, width
         packs = symbols if packs is None else packs
-        order = np.argsort(packs, kind="stable")
-        start, twin = self._groups(packs[order], None if alone is None else alone[order])
+        order = np.argsort(packs, kind="stable") if ahead is None else np.lexsort((ahead, packs))
+        start, twin = self._groups(packs[order], None if ahead is None else ahead[order] < width)
         rank = np.empty(n + 1, np.int64)
         rank[order], rank[n] = start, -1
         active, chosen = order[twin], order[twin]
@@ -125,11 +125,19 @@ def maximal_repeats(array: RepeatArray, before: np.ndarray) -> list[tuple[int, n
     return [(size, array.order[a : b + 1]) for size, a, b in maximal_intervals(array, before).tolist()]
 
 
+# what is left of a pack whose first end stands after 0 to 8 bytes
+UP_TO = np.array([(1 << 64) - (1 << 64 - 8 * k) for k in range(9)], np.uint64)
+
+
 def byte_packs(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For codes of bytes, ends being 256 and above: the eight bytes from each place on as one number, and where an end is among them."""
-    pad = np.full(7, 256, symbols.dtype)
-    packs = np.concatenate([symbols, pad]).astype(np.uint64) & np.uint64(255)
-    ends = np.append(0, np.cumsum(np.concatenate([symbols, pad]) > 255))
+    """For codes of bytes, ends being 256 and above: the eight bytes from each place on as one number, with zeros from the first end
+    on, and how many bytes stand ahead of that end (8: all)."""
+    n = len(symbols)
+    padded = np.concatenate([symbols, np.full(7, 256, symbols.dtype)])
+    packs = padded.astype(np.uint64) & np.uint64(255)
     for width in (1, 2, 4):
         packs = packs[:-width] << np.uint64(8 * width) | packs[width:]
-    return packs, ends[8:] > ends[:-8]
+    place = np.arange(n + 7)
+    end = np.minimum.accumulate(np.where(padded > 255, place, n + 7)[::-1])[::-1]
+    ahead = np.minimum(end - place, 8)[:n].astype(np.uint8)
+    return packs & UP_TO[ahead], ahead

@@ -154,6 +154,25 @@ def test_repeated_bytes_of_uniform_texts(odd):
     assert rows[13]["n_removed"] == 0 and rows[14]["n_removed"] == 69_999 and rows[11]["n_removed"] == 0
 
 
+def test_ends_do_not_part_repeats():
+    """Contexts that end inside what others share, more than a byte can number: an end must not sort among bytes."""
+    rng = np.random.default_rng(2)
+    base = rng.choice(np.array([0, 1, 97, 255], np.uint8), 120)
+    cut = [(a, a + int(rng.integers(50, 83))) for a in rng.integers(0, 37, 3000).tolist()]
+    parts = [base[a:b].copy() for a, b in cut]
+    for part in parts[::3]:
+        part[rng.integers(len(part))] = rng.integers(256)
+    least = rng.permutation(len(parts))
+    first = {}
+    windows = [[p[k : k + 50].tobytes() if k + 50 <= len(p) else None for k in range(len(p))] for p in parts]
+    for own, doc in zip(windows, least.tolist(), strict=True):
+        for w in own:
+            first[w] = min(first.get(w, doc), doc)
+    owner = suffix_dedup.own_windows(np.concatenate(parts), np.array([len(p) for p in parts]), least)
+    wrong = [k for k, w in enumerate(w for own in windows for w in own) if w is not None and owner[k] != first[w]]
+    assert not wrong
+
+
 def test_intervals_and_maximal_repeats():
     text = "banana$"
     array = RepeatArray(np.frombuffer(text.encode(), np.uint8).astype(np.int64), 1)
