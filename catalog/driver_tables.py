@@ -246,6 +246,12 @@ STAR = [
     "countries", "cities", "device_types", "device_browsers", "device_browser_versions", "device_oss",
     "resolutions", "languages", "timezones", "referrers",
 ]
+# columns of a hit that a table of the star is made of; all others stay out of the stored hits and of the shuffles before them
+HIT_COLUMNS = list(dict.fromkeys([
+    "view_id", "visitor_id", "visitor_hash", "user_id", "session_id", "started_at", "viewed_at", "uri", "resource_type", "resource_id",
+    "duration", "scroll_depth", "pvid", "utm", *star.FOREIGN_KEYS.values(),
+    *[c for keys, others, _ in star.DIMENSIONS.values() for c in (*keys, *others)],
+]))
 _stored: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
@@ -267,7 +273,7 @@ def build_star(hits: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
 def write_stored(spark: SparkSession, sf_dir: str) -> str:
     """Write hits, star and rollups below the shared folder; each step reads the one before from files."""
     path = session.new_path(spark, "star")
-    sessionized_hits(spark, sf_dir).write.parquet(f"{path}/hits")
+    sessionized_hits(spark, sf_dir).select(*HIT_COLUMNS).write.parquet(f"{path}/hits")
     hits = spark.read.parquet(f"{path}/hits")
     tables.write_star(build_star(hits, custom_events(spark, sf_dir)), path)
     stored = tables.read_star(spark, path, ["views", "sessions"])

@@ -250,3 +250,19 @@ def test_bucketed_facts_join_in_place(spark):
         spark.sql("DROP TABLE IF EXISTS bucketed_views")
         spark.sql("DROP TABLE IF EXISTS bucketed_sessions")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_stored_hits_hold_what_the_star_needs(spark, small):
+    """The star of pruned hits equals the one of whole hits, and no address or header is stored or shuffled on the way."""
+    from catalog import driver_tables as d
+    from footfall.session import configure
+
+    configure(spark)
+    hits = spark.read.parquet(f"{d.write_stored(spark, small)}/hits")
+    assert not {"remote_addr", "x_forwarded_for", "cf_connecting_ip", "props", "user_agent", "referrer"} & set(hits.columns)
+    whole = d.sessionized_hits(spark, small)
+    events = d.custom_events(spark, small)
+    for name, made in d.build_star(hits, events).items():
+        expected = d.build_star(whole, events)[name]
+        assert made.columns == expected.columns
+        assert sorted(map(str, made.collect())) == sorted(map(str, expected.collect())), name
