@@ -20,8 +20,9 @@ def _url_part(url: Column, group: int) -> Column:
 
 def url_host(url: Column) -> Column:
     """Lower-case host; '' for relative or malformed URLs."""
-    port_ok = F.coalesce(_url_part(url, 3).try_cast("int"), F.lit(0)) <= 65535
-    return F.when(port_ok, F.lower(_url_part(url, 2))).otherwise(F.lit(""))
+    port = _url_part(url, 3)  # at most five digits, which compare as the numbers do; a failing cast would cost an exception a row
+    too_high = F.coalesce((F.length(port) == 5) & (port > "65535"), F.lit(False))
+    return F.when(~too_high, F.lower(_url_part(url, 2))).otherwise(F.lit(""))
 
 
 def referrer_domain(url: Column) -> Column:
@@ -123,8 +124,9 @@ def _decoded(c: Column) -> Column:
 def extract_utm(query: Column) -> Column:
     """map of the campaign keys in a query string: decoded, blanks dropped, last duplicate wins."""
     coded = query.rlike(r"(?:^|&)[^=&]*[%+. ]")
-    raws = lambda plain: F.array(*[F.regexp_extract(plain, f"^(?:.*&)?{key}=([^&]*)", 1) for key in fv.UTM_KEYS])
-    clean = lambda raw: let(_decoded(raw), lambda v: F.when(~blank(v), clean_text(v)))
+    found = lambda plain, key: F.when(plain.contains(f"{key}="), F.regexp_extract(plain, f"^(?:.*&)?{key}=([^&]*)", 1))
+    raws = lambda plain: F.array(*[found(plain, key) for key in fv.UTM_KEYS])
+    clean = lambda raw: F.when(~blank(raw), let(_decoded(raw), lambda v: F.when(~blank(v), clean_text(v))))
     values = F.transform(let(F.when(coded, _plain_keys(query)).otherwise(query), raws), clean)
     tagged = F.map_filter(F.map_from_arrays(literals(fv.UTM_KEYS), values), lambda _, v: F.coalesce(v, F.lit("")) != "")
     # most hits carry no tag: they skip all of the above

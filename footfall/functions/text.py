@@ -29,8 +29,9 @@ def let(value: Column, body) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """Drop tags, then outer white space."""
-    return F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", ""), r"^\s+|\s+$", "")
+    """Drop tags, then outer white space. Most texts have no tag and are spared the pattern."""
+    untagged = F.when(c.contains("<"), F.regexp_replace(c, r"<[^>]*>", "")).otherwise(c)
+    return F.btrim(untagged, F.lit(" \t\n\x0b\f\r"))
 
 
 def blank(c: Column) -> Column:

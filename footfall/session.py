@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,13 @@ from pyspark.sql import functions as F
 # A side may be broadcast only when it has at most this many rows; beyond it the same
 # join runs as a shuffle join.
 BROADCAST_MAX_ROWS = 500_000
+# Bytes a task reads of files and shuffles: compressed hits grow to many times this in the sorts of a task.
+TASK_BYTES = 16 << 20
+
+
+def one_machine(spark: SparkSession) -> bool:
+    """True for ``local`` and ``local[n]``; ``local-cluster[...]`` has executors of their own."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -21,7 +29,9 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     # the JVM never compiles methods above 8,000 bytes: let Spark split such stages instead
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-    if spark.sparkContext.master.startswith("local"):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(TASK_BYTES))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(TASK_BYTES))
+    if one_machine(spark):
         # one machine: no more shuffle partitions than threads (a cluster keeps its own setting)
         threads = spark.sparkContext.defaultParallelism
         now = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -57,7 +67,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not one_machine(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
