@@ -5,6 +5,10 @@ Each view below has a twin in ``catalog.oracle_views`` written in SQL.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,12 +62,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_hits(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return as_hits(timed_events(spark, sf_dir))
 
 
-def as_hits(events: DataFrame) -> DataFrame:
-    """Events as page hits; works on a batch and on a stream."""
+def as_hits(events: DataFrame, *more: str) -> DataFrame:
+    """Events as page hits, with ``more`` columns of theirs; works on a batch and on a stream."""
     user, event = F.col("user_id"), F.col("event_id")
     k = F.get_json_object("props", "$.k").cast("long")
     address = F.when(user % 5 == 0, F.concat_ws(".", F.lit("10.0"), user % 256, event % 250)).otherwise(
@@ -100,6 +108,7 @@ def as_hits(events: DataFrame) -> DataFrame:
         F.when(user % 4 == 0, F.array(F.lit("editor"), F.lit("author"))).otherwise(F.array(F.lit("reader"))).alias("user_roles"),
         "props",
         "value",
+        *more,
     )
 
 
@@ -147,21 +156,23 @@ def geo_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def enrich_hits(hits: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    located = hits.join(places(spark, sf_dir), "user_id", "left")
-    described = enrich.with_device(enrich.with_source(located, SITE_HOST))
+def described(located: DataFrame) -> DataFrame:
+    """Source, device, visitor and keys of hits whose place is known."""
+    staged = enrich.with_device(enrich.with_source(located, SITE_HOST))
     return star.resolve_fks(
-        described.withColumn("visitor_hash", F.substring(F.unhex(F.sha2(F.col("user_id").cast("string"), 256)), 1, 8))
+        staged.withColumn("visitor_hash", F.substring(F.unhex(F.sha2(F.col("user_id").cast("string"), 256)), 1, 8))
     )
 
 
 def enriched_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich_hits(raw_events(spark, sf_dir), spark, sf_dir)
+    return described(raw_events(spark, sf_dir).join(places(spark, sf_dir), "user_id", "left"))
 
 
 def sessionized_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions first, the rest after: so the join that assigns sessions moves only the raw columns."""
-    return enrich_hits(sessionize.sessionize_anchored(raw_events(spark, sf_dir)), spark, sf_dir)
+    """Sessions and places first, the rest after: so the joins move only the columns of the given table."""
+    owned = sessionize.sessionize_anchored(timed_events(spark, sf_dir), "user_id", "ts")
+    where = places(spark, sf_dir)
+    return described(as_hits(owned.join(where, "user_id", "left"), "started_at", "session_id", *where.drop("user_id").columns))
 
 
 def resources_of(hits: DataFrame) -> DataFrame:
@@ -239,7 +250,7 @@ def foreign_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# --- the stored star: written once per session and data folder, read by every report ---------------
+# --- the stored star: each table written once per session and data folder, read by every report --------
 
 STAR = [
     "visitors", "sessions", "views", "resources", "resource_uris", "parameters", "events",
@@ -252,44 +263,81 @@ HIT_COLUMNS = list(dict.fromkeys([
     "duration", "scroll_depth", "pvid", "utm", *star.FOREIGN_KEYS.values(),
     *[c for keys, others, _ in star.DIMENSIONS.values() for c in (*keys, *others)],
 ]))
-_stored: dict[tuple[str, str], dict[str, DataFrame]] = {}
+MAKERS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "visitors": star.build_visitors, "sessions": star.build_sessions, "views": star.build_views, "resources": resources_of,
+    "resource_uris": star.build_resource_uris, "parameters": star.utm_parameters,
+    **{name: lambda hits, name=name: star.dimension(hits, name) for name in star.DIMENSIONS},
+}
+ROLLUPS = {"summary": rollups.rollup_pages, "summary_totals": rollups.rollup_totals}
+
+
+def build_events(events: DataFrame, sessions: DataFrame) -> DataFrame:
+    return star.build_events(star.attach_sessions(events, sessions))
 
 
 def build_star(hits: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
     """All tables of the star from sessionized, enriched hits."""
-    out = {
-        "visitors": star.build_visitors(hits),
-        "sessions": star.build_sessions(hits),
-        "views": star.build_views(hits),
-        "resources": resources_of(hits),
-        "resource_uris": star.build_resource_uris(hits),
-        "parameters": star.utm_parameters(hits),
-    }
-    out.update({name: star.dimension(hits, name) for name in star.DIMENSIONS})
-    out["events"] = star.build_events(star.attach_sessions(events, out["sessions"]))
-    return out
+    out = {name: make(hits) for name, make in MAKERS.items()}
+    return out | {"events": build_events(events, out["sessions"])}
+
+
+class Stored(Mapping):
+    """The star in files below the shared folder. A table is written when it is first read, from the files of the hits and of the
+    tables it is made of, each once: a report waits for the tables it reads and for no others."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.path = session.new_path(spark, "star")
+        self._spark, self._sf_dir = spark, sf_dir
+        self._names = (*STAR, *ROLLUPS)
+        self._locks = {name: Lock() for name in ("hits", *self._names)}
+        self._found: dict[str, DataFrame] = {}
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._names)
+
+    def __len__(self) -> int:
+        return len(self._names)
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._names
+
+    def __getitem__(self, name: str) -> DataFrame:
+        with self._locks[name]:
+            if name not in self._found:
+                self._found[name] = self._made(name)
+            return self._found[name]
+
+    def _made(self, name: str) -> DataFrame:
+        if name == "hits":
+            sessionized_hits(self._spark, self._sf_dir).select(*HIT_COLUMNS).write.mode("overwrite").parquet(f"{self.path}/hits")
+            return self._spark.read.parquet(f"{self.path}/hits")
+        if name in ROLLUPS:
+            tables.write_rollup(ROLLUPS[name](self["views"], self["sessions"]), f"{self.path}/{name}")
+            return tables.read_rollup(self._spark, f"{self.path}/{name}", name)
+        made = build_events(custom_events(self._spark, self._sf_dir), self["sessions"]) if name == "events" else MAKERS[name](self["hits"])
+        tables.write_star({name: made}, self.path)
+        return tables.read_star(self._spark, self.path, [name])[name]
+
+    def write(self, at_once: int = 4) -> None:
+        """Write all tables. They are independent jobs but for the few that read others, so some are submitted together."""
+        with ThreadPoolExecutor(max_workers=at_once) as pool:
+            list(pool.map(self.__getitem__, ("sessions", "views", *self._names)))
 
 
 def write_stored(spark: SparkSession, sf_dir: str) -> str:
     """Write hits, star and rollups below the shared folder; each step reads the one before from files."""
-    path = session.new_path(spark, "star")
-    sessionized_hits(spark, sf_dir).select(*HIT_COLUMNS).write.parquet(f"{path}/hits")
-    hits = spark.read.parquet(f"{path}/hits")
-    tables.write_star(build_star(hits, custom_events(spark, sf_dir)), path)
-    stored = tables.read_star(spark, path, ["views", "sessions"])
-    tables.write_rollup(rollups.rollup_pages(stored["views"], stored["sessions"]), f"{path}/summary")
-    tables.write_rollup(rollups.rollup_totals(stored["views"], stored["sessions"]), f"{path}/summary_totals")
-    return path
+    star_files = Stored(spark, sf_dir)
+    star_files.write()
+    return star_files.path
+
+
+_stored: dict[tuple[str, str], Stored] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def stored(spark: SparkSession, sf_dir: str) -> Stored:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
-        path = write_stored(spark, sf_dir)
-        found = tables.read_star(spark, path, STAR)
-        for name in ("summary", "summary_totals"):
-            found[name] = tables.read_rollup(spark, f"{path}/{name}", name)
-        _stored[key] = found
+        _stored[key] = Stored(spark, sf_dir)
     return _stored[key]
 
 

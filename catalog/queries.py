@@ -169,7 +169,9 @@ def _(spark, sf_dir):
 
 @query("A9_write_star")
 def _(spark, sf_dir):
-    return lifecycle.table_stats({n: df for n, df in d.stored(spark, sf_dir).items()})
+    t = d.stored(spark, sf_dir)
+    t.write()
+    return lifecycle.table_stats(dict(t))
 
 
 def _named_star(t):

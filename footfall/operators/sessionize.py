@@ -108,7 +108,8 @@ def sessionize_anchored(
     seen = hits.select(visitor, ts)
     if open_sessions is not None:
         seen = seen.unionByName(open_sessions.select(visitor, F.col("started_at").alias(ts)))
-    starts = session_starts(seen, visitor, ts, timeout)
+    # nearly as many rows as hits: never one side that goes whole through the driver, however small its files make it look
+    starts = session_starts(seen, visitor, ts, timeout).hint("merge")
     joined = hits.withColumn("_second", to_second(ts)).join(starts, [visitor, "_second"]).drop("_second")
     return joined.withColumn("session_id", F.xxhash64(visitor, "started_at"))
 

@@ -214,7 +214,8 @@ def attach_sessions(events: DataFrame, sessions: DataFrame, visitor: str = "visi
     at = F.date_trunc("second", F.col(ts))
     age = F.unix_seconds(at) - F.unix_seconds("_from")
     match = (F.col(visitor) == F.col("_visitor")) & (slot(at) == F.col("_slot")) & age.between(0, width)
-    return events.drop("session_id").join(spans, match, "left").drop("_visitor", "_from", "_slot")
+    # sessions grow with the hits: they never go whole through the driver, however small their files make them look
+    return events.drop("session_id").join(spans.hint("merge"), match, "left").drop("_visitor", "_from", "_slot")
 
 
 def apply_engagement(views: DataFrame, beacons: DataFrame, resource_uris: DataFrame) -> DataFrame:

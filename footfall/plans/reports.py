@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import ChainMap
+from collections.abc import Mapping, Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from footfall.operators.admission import date_range, since
 from footfall.operators.rollups import rollup_pages, rollup_totals
 from footfall.schemas import METRICS
 
-Tables = dict[str, DataFrame]
+Tables = Mapping[str, DataFrame]
 
 
 def top(df: DataFrame, by: str, limit: int | None, *ties: str, offset: int = 0) -> DataFrame:
@@ -203,7 +204,7 @@ def dim_countries(t: Tables, first: str, last: str, limit: int | None = None) ->
 def dim_cities(t: Tables, first: str, last: str, limit: int | None = None) -> DataFrame:
     countries = t["countries"].select(F.col("id").alias("country_id"), F.col("name").alias("country"))
     cities = t["cities"].join(countries, "country_id", "left")
-    return breakdown({**t, "cities": cities}, "cities", "city_id", [F.col("city_name"), F.col("country")], first, last, limit)
+    return breakdown(ChainMap({"cities": cities}, t), "cities", "city_id", [F.col("city_name"), F.col("country")], first, last, limit)
 
 
 def _dim_named(dim: str, key: str, label: str = "name"):

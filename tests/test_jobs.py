@@ -266,3 +266,31 @@ def test_stored_hits_hold_what_the_star_needs(spark, small):
         expected = d.build_star(whole, events)[name]
         assert made.columns == expected.columns
         assert sorted(map(str, made.collect())) == sorted(map(str, expected.collect())), name
+
+
+def test_stored_star_writes_a_table_when_it_is_read(spark, small):
+    """A report doesn't wait for tables that it doesn't read; all of them are still there for the one that reads them."""
+    from pathlib import Path
+
+    from footfall.session import configure
+
+    t = d.Stored(configure(spark), small)
+    assert t["summary_totals"].count() > 0
+    made = lambda: {p.name for p in Path(t.path.removeprefix("file:")).iterdir()}
+    assert made() == {"hits", "views", "sessions", "summary_totals"}
+    t.write()
+    assert made() == {"hits", *t} and len(t) == len(d.STAR) + 2
+
+
+def test_sessions_never_go_whole_through_the_driver(spark, tmp_path):
+    """Files of sessions look small beside the broadcast limit long before their rows are."""
+    rows = [(v, 40 * s) for v in range(50) for s in range(50)]
+    hits(spark, rows).write.parquet(f"{tmp_path}/hits")
+    stored = spark.read.parquet(f"{tmp_path}/hits")
+    owned = sessionize.sessionize_anchored(stored)
+    assert "BroadcastHashJoin" not in plan(owned) and starts(owned) == walk(rows)
+    sessions = owned.groupBy(F.col("session_id").alias("id"), "visitor_id", "started_at").count()
+    joined = star.attach_sessions(stored.withColumnRenamed("viewed_at", "ts"), sessions)
+    text = plan(joined).split("== Physical Plan ==")[1]
+    assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
+    assert joined.where("session_id is null").count() == 0 and joined.count() == len(rows)
