@@ -190,9 +190,8 @@ def rate_limit_quotas(
     seconds = hits.groupBy(F.xxhash64(key).alias("_key"), F.unix_seconds(to_second(ts)).alias("_sec")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    return _ordered(seconds, "_key", "_sec").mapInArrow(
-        _quotas(limit, ttl), "_key long, _sec long, _quota long"
-    )
+    quotas = _ordered(seconds, "_key", "_sec").mapInArrow(_quotas(limit, ttl), "_key long, _sec long, _quota long")
+    return quotas.hint("merge")  # as many as there are seconds of keys: see sessionize_anchored
 
 
 def flag_rate_limited(

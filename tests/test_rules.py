@@ -219,3 +219,17 @@ def test_wildcards(spark):
 def test_dates_must_be_iso(spark):
     with pytest.raises(ValueError):
         admission.date_range(spark.range(1).select(F.current_timestamp().alias("t")), "t", "2024-1-1", "2024-01-02")
+
+
+def test_bot_fragments_in_any_case(spark):
+    """The plain search ahead of the pattern loses none of its matches and adds none."""
+    from footfall import fixed_values as fv
+    from footfall.functions import device
+
+    forms = lambda f: (f, f.upper(), f"x{f.title()}y", f"\u00e9{f.upper()}\u0130", f[:-1], f"{f[:2]} {f[2:]}", f.replace("k", "\u212a").replace("i", "\u0130"))
+    rows = [(v,) for f in fv.BOT_FRAGMENTS for v in forms(f)] + [(None,), ("",), ("0",), ("Cubot",)]
+    agents, u = spark.createDataFrame(rows, "u string"), F.col("u")
+    pattern = "(?i)" + "|".join(f.replace(".", "\\.") for f in fv.BOT_FRAGMENTS)
+    expected = u.isNull() | u.isin("", "0") | u.rlike(pattern)
+    assert agents.where(expected).count() > 3 * len(fv.BOT_FRAGMENTS)
+    assert agents.where(~expected.eqNullSafe(device.is_bot(u))).count() == 0
