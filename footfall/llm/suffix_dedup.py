@@ -3,16 +3,18 @@
 Every string of ``LEAST`` bytes contains an anchor: the 18-byte string in it whose hash is least. Equal strings have the same anchor
 at the same place, so all occurrences of a repeat meet where their anchor does:
 
-1. Texts are packed into units of about 2 MB, written once to the shared folder; a unit is the address results come back to.
-2. Hashes of each unit's anchors, each once, are dealt out by hash; those of several documents go back to their units. Digests of
-   whole texts tell which documents are copies of a smaller one: those are covered wholly and take no further part.
+1. Texts are packed into units of about 8 MB, written once to the shared folder; a unit is the address results come back to.
+2. Hashes of each unit's anchors, each once, are dealt out by ranges of the hash, one range a task; those of several documents go back
+   to their units. Digests of whole texts tell which documents are copies of a smaller one: those are covered wholly and take no further part.
 3. Units send the bytes of the strings that chose a shared anchor (each distinct context once, with the smallest document that has
-   it) to the anchor's bucket. There an enhanced suffix array over the contexts is scanned with a stack for common-prefix intervals;
-   those that differ in what stands ahead are the maximal repeats, with all their occurrences, and the smallest document owns each.
+   it) to the anchor's bucket. Contexts that share enough on one side of the anchor with another get an enhanced suffix array, which is
+   scanned with a stack for common-prefix intervals; those that differ in what stands ahead are the maximal repeats, with all their
+   occurrences, and the smallest document owns each.
 4. Units get the owners of their contexts, and bytes covered by a string that a smaller document owns are removed.
 
-An anchor that very many units share (``HOT_UNITS``) is not gathered in one bucket: there each string of ``LEAST`` bytes
-around it is a context of its own and goes by its own hash. Text crosses the network twice, packed.
+What a unit sends is one piece for each bucket, so pieces grow with the square of the input: units and buckets are large, and a piece
+costs a few slices. An anchor that stands very often (``HOT_UNITS``) is not gathered in one bucket: there each string of ``LEAST``
+bytes around it is a context of its own and goes by its own hash. Text crosses the network twice, packed.
 """
 
 from __future__ import annotations
@@ -28,24 +30,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.common import partitions, settle, texts
-from footfall.llm.kernels import BYTE_KEYS, U, mix, span_hashes, steps, text_bytes
-from footfall.llm.suffixes import RepeatArray, byte_packs, maximal_intervals, union
+from footfall.llm.kernels import BYTE_KEYS, U, mix, steps, text_bytes
+from footfall.llm.suffixes import StartArray, maximal_intervals
 
 LEAST = 50
 GRAM = 18
 REACH = LEAST - GRAM  # how far ahead of its anchor a string may start
-HOT_UNITS = 256
-SLICE_BYTES = 80_000
-BUCKET_BYTES = 8_000_000  # of text, whose anchors meet in one bucket on average
-SYMBOLS = 1_500_000
-LEVEL = 6  # of compression: units are on disk three times
+HALF = REACH // 2  # two contexts with a string in common share so much at least on one side of their anchor
+HOT_UNITS = 50_000  # that have an anchor; a unit where it stands 16, 64, 256, ... times counts as so many
+UNIT_BYTES = 8_000_000
+SLICE_BYTES = 40_000
+BUCKET_BYTES = 16_000_000  # of text, whose anchors meet in one bucket on average
+SYMBOLS = 200_000  # bytes that go into one array
+SPANS = 8192  # that are looked at together
+UNIT_LEVEL = 3  # of compression: units are on disk three times
+LEVEL = 6  # of payloads that are squeezed alone
+KEY_BITS = 48  # of an anchor's hash
+LOW = U((1 << 36) - 1)  # those that are sent, as the bucket tells the others
 NOBODY = np.iinfo(np.int64).max
 UNIT = "unit long, blob binary, digests binary"
 COPY = "high long, low long, doc long, unit long, place int"
 PIECE = "bucket int, unit long, payload binary"
 REPLY = "unit long, payload binary"
+CONTEXT = (bool, np.uint8, np.uint8, np.int64, np.int64, np.int32, np.int32, np.uint8, np.int64)
+OWNERS = (np.int32, np.uint8, bool, np.int32, np.int64, (np.int64, REACH + 1))
 COLUMNS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 MULTIPLIER = 0x5851F42D4C957F2D
+WIDE = -(-(LEAST + REACH) // 8) * 8  # bytes of the longest context, as whole words
+INSIDE = np.arange(WIDE) < np.arange(LEAST + REACH + 1)[:, None]  # by length
+MASKS = (INSIDE * np.uint8(255)).view(U)
+SEEDS = mix(np.arange(1, WIDE // 8 + 1, dtype=U) * U(MULTIPLIER))
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -64,14 +78,68 @@ def loosen(payload: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def pieces_of(*columns: tuple[np.ndarray, np.ndarray]) -> Iterator[bytes]:
+    """For each piece its part of all columns, first bytes of all numbers first, compressed. A column: values, and where pieces begin in it."""
+    compress = zstandard.ZstdCompressor(level=UNIT_LEVEL).compress
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize * (c.size // max(1, len(c)))).T) for c, _ in columns]
+    cuts = np.stack([cut for _, cut in columns], 1)
+    sizes = np.diff(cuts, axis=0).astype(np.int32)
+    for n, first, last in zip(sizes, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield compress(b"".join([n.tobytes(), *(p[:, a:b].tobytes() for p, a, b in zip(planes, first, last, strict=True))]))
+
+
+def columns_of(payloads: list[bytes], kinds: tuple) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of all pieces, one behind the other, and how much of each a piece has."""
+    expand = zstandard.ZstdDecompressor().decompress
+    kinds = [k if isinstance(k, tuple) else (k, 1) for k in kinds]
+    widths = [np.dtype(kind).itemsize * k for kind, k in kinds]
+    parts, sizes = [[np.zeros((w, 0), np.uint8)] for w in widths], []
+    for payload in payloads:
+        raw, at = np.frombuffer(expand(payload), np.uint8), 4 * len(kinds)
+        sizes.append(raw[:at].view(np.int32).tolist())
+        for part, w, n in zip(parts, widths, sizes[-1], strict=True):
+            part.append(raw[at : at + w * n].reshape(w, n))
+            at += w * n
+    values = [np.ascontiguousarray(np.concatenate(part, 1).T).view(kind) for part, (kind, _) in zip(parts, kinds, strict=True)]
+    return [v if k > 1 else v[:, 0] for v, (_, k) in zip(values, kinds, strict=True)], np.array(sizes, np.int64).reshape(-1, len(kinds))
+
+
+def put(numbers: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """Pieces of numbers below 2**40, five bytes each."""
+    raw = np.ascontiguousarray(numbers.astype(U).view(np.uint8).reshape(-1, 8)[:, :5])
+    return pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer((begin * 5).astype(np.int32)), pa.py_buffer(raw)])
+
+
+def taken(payloads: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all pieces, and how many each has."""
+    offsets = np.frombuffer(payloads.buffers()[1], np.int32)[payloads.offset : payloads.offset + len(payloads) + 1]
+    out = np.zeros(((offsets[-1] - offsets[0]) // 5, 8), np.uint8)
+    if len(out):
+        out[:, :5] = np.frombuffer(payloads.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, 5)
+    return out.view(U)[:, 0], np.diff(offsets) // 5
+
+
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` numbers from each of ``first`` on."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+
+
+def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by key, where each key's rows begin in it, and how many it has."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    heads = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])[: len(keys)])
+    return order, heads, np.diff(np.append(heads, len(keys)))
+
+
 def pack_units(rows: DataFrame) -> DataFrame:
-    """Runs of rows with all their columns, as compressed Arrow streams of about 2 MB of text, settled."""
+    """Runs of rows with all their columns, as compressed Arrow streams of about 8 MB of text, settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        for k, batch in enumerate(steps(batches)):
+        for k, batch in enumerate(steps(batches, size=UNIT_BYTES)):
             sink = pa.BufferOutputStream()
-            codec = pa.Codec("zstd", compression_level=LEVEL)
+            codec = pa.Codec("zstd", compression_level=UNIT_LEVEL)
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as out:
                 out.write_batch(batch)
             blob = sink.getvalue().to_pybytes()
@@ -109,20 +177,19 @@ class Unit:
         return np.searchsorted(self.offsets, at, "right") - 1
 
     def contexts(self, shared: np.ndarray, copies: np.ndarray) -> Contexts:
-        """Contexts of the anchors whose hash is in ``shared`` (sorted, lowest bit: hot), but for texts that are copies."""
+        """Contexts of the anchors that are in ``shared`` (sorted, lowest bit: hot), but for texts that are copies."""
         at, key, first, last = self.anchors()
         key = short(key)
-        hit = np.minimum(np.searchsorted(shared, key), max(len(shared) - 1, 0))
+        names, wanted = shared >> U(4), key & LOW
+        hit = np.minimum(np.searchsorted(names, wanted), max(len(names) - 1, 0))
         own = np.ones(len(self.ids), bool)
         own[copies] = False
-        # a hot hash sorts one above its plain form
-        wanted = (shared[hit] | U(1)) == (key | U(1)) if len(shared) else np.zeros(len(key), bool)
-        take = np.flatnonzero(wanted & own[self.texts_of(at)])
-        hot = (shared[hit[take]] & U(1)) == 1 if len(shared) else np.zeros(0, bool)
+        take = np.flatnonzero((names[hit] == wanted) & own[self.texts_of(at)]) if len(names) else np.zeros(0, np.int64)
+        hot = (shared[hit[take]] & U(1)) == 1 if len(names) else np.zeros(0, bool)
         at, first, last = at[take], first[take], last[take]
         # of a hot anchor each string of LEAST bytes stands alone
         size = np.where(hot, last - first + 1, 1)
-        start = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+        start = ranges(first, size)
         end = np.where(np.repeat(hot, size), start, np.repeat(last, size)) + LEAST
         return Contexts(self, start, end - start, np.repeat(at, size) - start, np.repeat(hot, size), np.repeat(key[take], size))
 
@@ -132,24 +199,40 @@ class Contexts:
 
     def __init__(self, unit: Unit, start, size, left, hot, key):
         self.start, self.size, self.left, self.hot, self.key = start, size, left, hot, key
-        self.text = unit.texts_of(start)
-        self.mark = marks_of(unit.data, start, size, left)
+        self.text, self.data = unit.texts_of(start), padded(unit.data)
+        self.mark = marks_of(self.data, start, size, left)
+
+
+def padded(data: np.ndarray) -> np.ndarray:
+    """With room for a span at any place."""
+    return np.concatenate([data, np.zeros(WIDE, np.uint8)])
 
 
-def marks_of(data: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """A hash of each context."""
-    return mix(span_hashes(data, start, start + size) + mix(left.astype(U)))
+def words_of(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The bytes of each span as a row of words, zeros behind them, some spans at a time: the first one, their words and lengths."""
+    rows = np.lib.stride_tricks.sliding_window_view(data, WIDE)
+    for a in range(0, len(start), SPANS):
+        n = size[a : a + SPANS]
+        yield a, rows[start[a : a + SPANS]].view(U) & MASKS[n], n
 
 
-def gram_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hashes of the strings of ``GRAM`` bytes that start at the given places, as ``anchors_of`` has them."""
-    powers = np.array([pow(MULTIPLIER, GRAM - 1 - k, 2**64) for k in range(GRAM)], U)
-    return mix((BYTE_KEYS[data[at[:, None] + np.arange(GRAM)]] * powers).sum(1, dtype=U))
+def marks_of(data: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray | int = 0) -> np.ndarray:
+    """A hash of each span of padded bytes, and of where in it the anchor stands."""
+    out = np.empty(len(start), U)
+    for a, words, n in words_of(data, start, size):
+        out[a : a + len(n)] = mix(words + SEEDS).sum(1, dtype=U) + n.astype(U)
+    return mix(out + mix(np.asarray(left).astype(U)))
+
+
+def bytes_of(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of spans, one behind the other."""
+    parts = [words.view(np.uint8)[INSIDE[n]] for _, words, n in words_of(data, start, size)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
 
 
 def short(key: np.ndarray) -> np.ndarray:
-    """48 bits of a hash, the lowest free for a mark."""
-    return (key >> U(16)) & ~U(1)
+    """The bits of a hash that buckets are ranges of."""
+    return key >> U(64 - KEY_BITS)
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -160,15 +243,17 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     # hashes of strings of 2, 4, 8, 16 bytes, then of GRAM = 16 + 2
     grown, width, power, kept = BYTE_KEYS[data], 1, MULTIPLIER, {}
     while width * 2 <= GRAM:
-        grown = grown[:-width] * U(power) + grown[width:]
-        power, width = power * power % 2**64, width * 2
+        longer = grown[:-width] * U(power)
+        longer += grown[width:]
+        power, width, grown = power * power % 2**64, width * 2, longer
         kept[width] = grown
     rest = GRAM - width
-    tail = kept[rest]
     m = n - GRAM + 1
-    key = mix(grown[:m] * U(pow(MULTIPLIER, rest, 2**64)) + tail[width : width + m])
+    key = grown[:m] * U(pow(MULTIPLIER, rest, 2**64))
+    key += kept[rest][width : width + m]
     # least hash among the REACH + 1 strings of each window; of equal ones the last
-    low = (key & ~U(0xFFFFFFFF)) | (U(0xFFFFFFFF) - np.arange(m, dtype=U))
+    low = key & ~U(0xFFFFFFFF)
+    low |= U(0xFFFFFFFF) - np.arange(m, dtype=U)
     span = 1
     while span * 2 <= REACH + 1:
         low = np.minimum(low[:-span], low[span:])
@@ -176,25 +261,20 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     if span < REACH + 1:
         rest = REACH + 1 - span
         low = np.minimum(low[:-rest], low[rest:])
+    chosen = low.astype(np.uint32)
     # without the strings that would run over the end of a text
-    ends = offsets[1:-1].clip(0, len(low))
-    begin = (offsets[1:-1] - LEAST + 1).clip(0, len(low))
-    edge = np.bincount(begin, minlength=len(low) + 1).astype(np.int64) - np.bincount(ends, minlength=len(low) + 1)
-    start = np.flatnonzero(np.cumsum(edge)[: len(low)] == 0)
-    chosen = (U(0xFFFFFFFF) - (low[start] & U(0xFFFFFFFF))).astype(np.int64)
-    new = np.ones(len(start), bool)
-    new[1:] = chosen[1:] != chosen[:-1]
-    heads = np.flatnonzero(new)
-    at = chosen[heads]
-    return at, key[at], start[heads], start[np.append(heads[1:], len(start))[: len(heads)] - 1]
-
-
-def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by bucket, the buckets present, and where each begins in the order."""
-    bucket = (mix(keys | U(1)) % U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    names, first = np.unique(bucket[order], return_index=True)
-    return order, names, np.append(first, len(order))
+    over = (offsets[1:-1, None] - np.arange(1, LEAST)).reshape(-1)
+    chosen[over[(over >= 0) & (over < len(chosen))]] = 0
+    change = chosen[1:] != chosen[:-1]
+    there = chosen > 0
+    first, last = np.flatnonzero(there & np.append(True, change)), np.flatnonzero(there & np.append(change, True))
+    at = 0xFFFFFFFF - chosen[first].astype(np.int64)
+    return at, mix(key[at]), first, last
+
+
+def limits(buckets: int) -> np.ndarray:
+    """Where in the range of short hashes each bucket begins."""
+    return np.array([k * 2**KEY_BITS // buckets for k in range(buckets + 1)], U)
 
 
 def rows_of(schema: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -205,27 +285,26 @@ def rows_of(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def send_anchors(units: DataFrame, buckets: int) -> DataFrame:
-    """For each unit and bucket the unit's anchor hashes, sorted, the lowest bit set if several of its documents have it."""
+    """For each unit and bucket the unit's anchor hashes, sorted: their lower bits, three for how often it stands there and one set if
+    several of its documents have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = limits(buckets)
         for batch in batches:
-            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                unit = Unit(blob)
+            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                unit = Unit(blob.as_buffer())
                 at, key, _, _ = unit.anchors()
                 key, text = short(key), unit.texts_of(at)
-                order = np.lexsort((text, key))
-                key, text = key[order], text[order]
-                new = np.ones(len(key), bool)
-                new[1:] = key[1:] != key[:-1]
-                heads = np.flatnonzero(new)
-                last = np.append(heads[1:], len(key)) - 1
-                several = text[heads] != text[last] if len(heads) else np.zeros(0, bool)
-                keys = key[heads] | several.astype(U)
-                order, names, first = by_bucket(keys, buckets)
-                rows = []
-                for k, b in enumerate(names.tolist()):
-                    rows.append((b, name, squeeze(keys[order[first[k] : first[k + 1]]])))
-                yield rows_of(PIECE, rows)
+                order, heads, count = groups(key)
+                if not len(heads):
+                    continue
+                key, text = key[order[heads]], text[order]
+                several = np.minimum.reduceat(text, heads) != np.maximum.reduceat(text, heads)
+                often = np.clip(np.log2(count).astype(np.int64) // 2 - 1, 0, 7)
+                begin = np.searchsorted(key, edges)
+                some = np.flatnonzero(np.diff(begin))
+                payloads = put((key & LOW) << U(4) | often.astype(U) << U(1) | several.astype(U), begin[np.append(some, buckets)])
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), name)), payloads], ["bucket", "unit", "payload"])
 
     return units.select("unit", "blob").mapInArrow(run, PIECE)
 
@@ -247,80 +326,72 @@ def find_copies(units: DataFrame) -> DataFrame:
     return settle(copies.groupBy("unit").agg(F.collect_list("place").alias("copies")))
 
 
-def per_bucket(pieces: DataFrame, answer: Callable[[list[int], list[bytes]], list[tuple]]) -> DataFrame:
-    """Deal the pieces out by bucket and answer each bucket's pieces together."""
-    dealt = pieces.repartition(partitions(pieces.sparkSession), "bucket").sortWithinPartitions("bucket")
+def per_bucket(pieces: DataFrame, buckets: int, answer: Callable[[pa.Array, pa.Array], pa.RecordBatch]) -> DataFrame:
+    """Deal the pieces out, a task for each bucket, and answer its pieces together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, names, payloads = None, [], []
-        for batch in batches:
-            for b, name, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != bucket and names:
-                    yield rows_of(REPLY, answer(names, payloads))
-                    names, payloads = [], []
-                bucket = b
-                names.append(name)
-                payloads.append(payload)
-        if names:
-            yield rows_of(REPLY, answer(names, payloads))
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            yield answer(*(pa.concat_arrays([b.column(k) for b in rows]) for k in (1, 2)))
 
-    return dealt.mapInArrow(run, REPLY)
+    return pieces.repartitionById(buckets, F.col("bucket")).mapInArrow(run, REPLY)
 
 
-def find_shared(names: list[int], payloads: list[bytes]) -> list[tuple]:
+def find_shared(names: pa.Array, payloads: pa.Array) -> pa.RecordBatch:
     """Tell each unit which of its anchors other documents have too; the lowest bit marks hot ones."""
-    parts = [loosen(p, U)[0] for p in payloads]
-    size = [len(p) for p in parts]
-    keys = np.concatenate(parts)
-    plain, inverse, count = np.unique(keys >> U(1), return_inverse=True, return_counts=True)
-    several = np.zeros(len(plain), bool)
-    several[inverse[(keys & U(1)) == 1]] = True
-    shared = ((count > 1) | several)[inverse]
-    out = ((plain << U(1)) | (count > HOT_UNITS).astype(U))[inverse]
-    rows, a = [], 0
-    for name, n in zip(names, size, strict=True):
-        mine = out[a : a + n][shared[a : a + n]]
-        a += n
-        if len(mine):
-            rows.append((name, squeeze(mine)))
-    return rows
+    numbers, size = taken(payloads)
+    order, heads, count = groups(numbers >> U(4))
+    codes = (numbers & U(15)).astype(np.int64)[order]
+    often = codes >> 1
+    weight = np.add.reduceat(np.where(often > 0, 4 << 2 * often, 1), heads)
+    shared = (count > 1) | (np.maximum.reduceat(codes & 1, heads) > 0)
+    keep, hot = np.empty(len(order), bool), np.empty(len(order), U)
+    keep[order], hot[order] = np.repeat(shared, count), np.repeat(weight > HOT_UNITS, count)
+    begin = np.append(0, np.cumsum(keep))[np.append(0, np.cumsum(size))]
+    some = np.flatnonzero(np.diff(begin))
+    kept = put((numbers[keep] >> U(4) << U(4)) | hot[keep], begin[np.append(some, len(size))])
+    return pa.RecordBatch.from_arrays([names.take(pa.array(some)), kept], ["unit", "payload"])
 
 
 def send_contexts(units: DataFrame, replies: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
-    """For each unit and bucket the distinct contexts: whether hot, place of the anchor, length, bytes, smallest and largest document,
-    and where they start, how often and each time.
+    """For each unit and bucket the distinct contexts: whether hot, place of the anchor, length, smallest and largest document, how
+    often, where each time, and bytes.
 
-    What the bucket can work out from the bytes isn't sent; documents count from the unit's smallest.
+    What the bucket can work out from the bytes isn't sent; documents count from the unit's smallest, the last column.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = limits(buckets)
         for batch in batches:
-            for name, blob, payloads, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                unit = Unit(blob)
-                shared = np.sort(np.concatenate([loosen(p, U)[0] for p in payloads]))
-                found = unit.contexts(shared, np.array(places or [], np.int64))
-                marks, first, inverse, times = np.unique(found.mark, return_index=True, return_inverse=True, return_counts=True)
-                doc = unit.ids[found.text]
-                by_mark, after = np.argsort(inverse, kind="stable"), np.cumsum(times)
-                least, most = np.full(len(marks), NOBODY), np.full(len(marks), np.iinfo(np.int64).min)
-                np.minimum.at(least, inverse, doc)
-                np.maximum.at(most, inverse, doc)
+            columns = (batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist())
+            for name, blob, payloads, places in zip(*columns, strict=True):
+                unit = Unit(blob.as_buffer())
+                found = unit.contexts(np.sort(taken(payloads.values)[0]), np.array(places or [], np.int64))
+                if not len(found.start):
+                    continue
+                by_mark, heads, times = groups(found.mark)
+                # the places of a context in ascending order
+                by_mark = by_mark[np.lexsort((found.start[by_mark], np.repeat(np.arange(len(heads)), times)))]
+                first, doc = by_mark[heads], unit.ids[found.text[by_mark]]
+                least, most = np.minimum.reduceat(doc, heads), np.maximum.reduceat(doc, heads)
                 # contexts of a plain anchor meet at the anchor, single strings of a hot one at their own hash
-                place = np.where(found.hot[first], mix(marks), found.key[first])
-                order, names, heads = by_bucket(place, buckets)
-                base, rows = unit.ids.min(initial=NOBODY), []
-                for k, b in enumerate(names.tolist()):
-                    mine = np.sort(order[heads[k] : heads[k + 1]])
-                    mine = mine[np.argsort(found.start[first[mine]], kind="stable")]
-                    spots, size = found.start[first[mine]], found.size[first[mine]]
-                    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(spots, size)
-                    small = (found.hot[first[mine]], found.left[first[mine]].astype(np.uint8), size.astype(np.uint8))
-                    docs = (np.array([base]), least[mine] - base, most[mine] - least[mine])
-                    n = times[mine]
-                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(after[mine] - n, n)
-                    places = (n.astype(np.int32), np.diff(found.start[by_mark[at]], prepend=0).astype(np.int32))
-                    rows.append((b, name, squeeze(*small, unit.data[inner], *docs, *places)))
-                yield rows_of(PIECE, rows)
+                place = np.where(found.hot[first], short(mix(found.mark[first])), found.key[first])
+                bucket = np.searchsorted(edges, place, "right") - 1
+                order = np.lexsort((found.start[first], bucket))
+                first, least, most, times, heads, bucket = (c[order] for c in (first, least, most, times, heads, bucket))
+                some, begin = np.unique(bucket, return_index=True)
+                cut = np.append(begin, len(first))
+                small = (found.hot[first], found.left[first].astype(np.uint8), found.size[first].astype(np.uint8))
+                spots, after = found.start[by_mark[ranges(heads, times)]], np.append(0, np.cumsum(times))
+                gaps = np.diff(spots, prepend=0)
+                gaps[after[begin]] = spots[after[begin]]
+                base = unit.ids.min(initial=NOBODY)
+                by_context = (*small, least - base, most - least, times.astype(np.int32))
+                parts = pieces_of(
+                    *((c, cut) for c in by_context), (gaps.astype(np.int32), after[cut]), (bytes_of(found.data, found.start[first], found.size[first]), np.append(0, np.cumsum(found.size[first]))[cut]),
+                    (np.full(len(some), base), np.arange(len(some) + 1)),
+                )
+                yield rows_of(PIECE, [(b, name, part) for b, part in zip(some.tolist(), parts, strict=True)])
 
     gathered = replies.groupBy("unit").agg(F.collect_list("payload").alias("payloads"))
     joined = units.join(gathered, "unit").join(copies, "unit", "left")
@@ -330,125 +401,148 @@ def send_contexts(units: DataFrame, replies: DataFrame, copies: DataFrame, bucke
 def own_windows(data: np.ndarray, size: np.ndarray, least: np.ndarray) -> np.ndarray:
     """For contexts laid one behind the other, the smallest document that has the ``LEAST`` bytes starting at each byte.
 
-    The contexts' bytes, each context closed by a code of its own, get an enhanced suffix array; its maximal repeats give all
-    occurrences of what they cover to the smallest document among them.
+    The contexts' suffixes of ``LEAST`` bytes and more get an enhanced suffix array; its maximal repeats give all occurrences of what
+    they cover to the smallest document among them.
     """
-    ends = np.cumsum(size)
+    first = np.cumsum(size) - size
     number = np.repeat(np.arange(len(size)), size)
-    symbols = np.zeros(len(data) + len(size), np.int64)
-    place = np.arange(len(data)) + number
-    symbols[place] = data
-    symbols[ends + np.arange(len(size))] = 256 + np.arange(len(size))
-    holder = np.full(len(symbols), NOBODY)
-    holder[place] = least[number]
-    array = RepeatArray(symbols, LEAST, *byte_packs(symbols), 8)
-    before = np.empty(len(symbols), np.int64)
-    before[1:] = symbols[:-1]
-    before[:1] = -1
-    owner = holder.copy()
+    starts = ranges(first, size - LEAST + 1)
+    lengths = (first + size)[number[starts]] - starts
+    words = [w for _, w, _ in words_of(padded(data), starts, lengths)]
+    array = StartArray(starts, np.concatenate(words).byteswap(), lengths, LEAST)
+    # what stands ahead; ends differ from all
+    before = np.append(0, data[:-1].astype(np.int64))
+    before[first] = 256 + np.arange(len(size))
+    owner = least[number]
     groups = maximal_intervals(array, before)
     if len(groups):
-        wide, first, count = groups[:, 0] - LEAST + 1, groups[:, 1], groups[:, 2] - groups[:, 1] + 1
-        starts = array.order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)]
-        lowest = np.minimum.reduceat(holder[starts], np.cumsum(count) - count)
+        wide, begin, count = groups[:, 0] - LEAST + 1, groups[:, 1], groups[:, 2] - groups[:, 1] + 1
+        found = array.order[ranges(begin, count)]
+        lowest = np.minimum.reduceat(least[number[found]], np.cumsum(count) - count)
         # every string of LEAST bytes inside an occurrence
         wide, lowest = np.repeat(wide, count), np.repeat(lowest, count)
-        reach = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide) + np.repeat(starts, wide)
-        np.minimum.at(owner, reach, np.repeat(lowest, wide))
-    return owner[place]
+        np.minimum.at(owner, ranges(found, wide), np.repeat(lowest, wide))
+    return owner
 
 
-def find_owners(names: list[int], payloads: list[bytes]) -> list[tuple]:
+def with_partner(data: np.ndarray, anchor: np.ndarray, left: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """True for contexts that share the anchor and ``HALF`` bytes on one side of it with another, as any do that share a string."""
+    found = np.zeros(len(anchor), bool)
+    for enough, shift in ((left >= HALF, HALF), (size - left - GRAM >= HALF, 0)):
+        some = np.flatnonzero(enough)
+        order, _, count = groups(marks_of(data, anchor[some] - shift, np.full(len(some), GRAM + HALF)))
+        found[some[order]] |= np.repeat(count > 1, count)
+    return found
+
+
+def owners_by_hash(data: np.ndarray, begin: np.ndarray, left: np.ndarray, size: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For contexts of one anchor that are too many for an array, the owner of each string, by the strings' hashes."""
+    owners = np.full((len(begin), REACH + 1), NOBODY)
+    for ahead in range(REACH + 1):
+        some = np.flatnonzero((left >= ahead) & (size - left + ahead >= LEAST))
+        order, heads, count = groups(marks_of(data, begin[some] + left[some] - ahead, np.full(len(some), LEAST)))
+        if len(heads):
+            some = some[order]
+            owners[some, left[some] - ahead] = np.repeat(np.minimum.reduceat(least[some], heads), count)
+    return owners
+
+
+def find_owners(names: pa.Array, payloads: pa.Array) -> pa.RecordBatch:
     """Tell each unit, for contexts in which a smaller document owns something, who owns the string at each place.
 
-    An anchor that has one context, in however many documents, needs no array: its smallest document owns all.
+    A context that shares no string with others of its anchor needs no array, in however many documents: its smallest one owns all.
     """
-    kinds = (bool, np.uint8, np.uint8, np.uint8, np.int64, np.int64, np.int64, np.int32, np.int32)
-    parts = [loosen(p, *kinds) for p in payloads]
-    count = np.array([len(p[0]) for p in parts])
-    hot, left, size, data = (np.concatenate([p[k] for p in parts]) for k in range(4))
-    least = np.concatenate([p[4] + p[5] for p in parts])
-    most = least + np.concatenate([p[6] for p in parts])
+    (hot, left, size, least, most, times, gaps, data, base), counts = columns_of(payloads.to_pylist(), CONTEXT)
+    count, spots = counts[:, 0], counts[:, 6]
+    least = least + np.repeat(base, count)
+    most = most + least
+    starts = np.cumsum(gaps.astype(np.int64))
+    starts -= np.repeat(np.append(0, starts)[np.cumsum(spots) - spots], spots)
     size, left = size.astype(np.int64), left.astype(np.int64)
-    begin = np.cumsum(size) - size
-    key = short(gram_keys(data, begin + left)) | hot.astype(U)
-    _, index, inverse = np.unique(marks_of(data, begin, size, left), return_index=True, return_inverse=True)
-    lowest = np.full(len(index), NOBODY)
-    np.minimum.at(lowest, inverse, least)
+    begin, data = np.cumsum(size) - size, padded(data)
+    order, heads, same = groups(marks_of(data, begin, size, left))
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.repeat(np.arange(len(heads)), same)
+    index, lowest = order[heads], np.minimum.reduceat(least[order], heads)
     # distinct contexts by anchor: those of one anchor go into one array, with others as long as there is room
-    by_key = np.argsort(key[index], kind="stable")
-    heads = np.flatnonzero(np.append(True, np.diff(key[index][by_key]) != 0))
-    several = np.repeat(np.diff(np.append(heads, len(index))) > 1, np.diff(np.append(heads, len(index))))
-    mixed = by_key[several]
+    plain = np.flatnonzero(~hot[index])
+    one = index[plain]
+    anchor = begin[one] + left[one]
+    chosen = np.flatnonzero(with_partner(data, anchor, left[one], size[one]))
+    by_key, heads, same = groups(marks_of(data, anchor[chosen], np.full(len(chosen), GRAM)))
+    mixed = plain[chosen[by_key]]
     row = np.full(len(index), -1)
     row[mixed] = np.arange(len(mixed))
     owners = np.full((len(mixed), REACH + 1), NOBODY)
     total = np.cumsum(size[index[mixed]])
-    last = np.flatnonzero(np.append(np.diff(key[index[mixed]]) != 0, True)) + 1  # where arrays may end
+    last = heads + same  # where arrays may end
     a = 0
     while a < len(mixed):
-        fit = np.searchsorted(total[last - 1], (total[a - 1] if a else 0) + SYMBOLS, "right")
+        done = total[a - 1] if a else 0
+        fit = np.searchsorted(total[last - 1], done + SYMBOLS, "right")
         b = int(last[max(np.searchsorted(last, a, "right"), fit - 1)])
         chosen = index[mixed[a:b]]
         n = size[chosen]
-        ahead = np.cumsum(n) - n
-        inner = np.arange(n.sum()) - np.repeat(ahead, n) + np.repeat(begin[chosen], n)
-        owner = own_windows(data[inner], n, lowest[mixed[a:b]])
-        for k in range(REACH + 1):
-            fit = np.flatnonzero(k + LEAST <= n)
-            owners[a + fit, k] = owner[ahead[fit] + k]
+        if total[b - 1] - done > SYMBOLS:
+            owners[a:b] = owners_by_hash(data, begin[chosen], left[chosen], n, lowest[mixed[a:b]])
+        else:
+            ahead = np.cumsum(n) - n
+            owner = own_windows(bytes_of(data, begin[chosen], n), n, lowest[mixed[a:b]])
+            for k in range(REACH + 1):
+                fit = np.flatnonzero(k + LEAST <= n)
+                owners[a + fit, k] = owner[ahead[fit] + k]
         a = b
     first_owner = lowest.copy()
     first_owner[mixed] = owners.min(1, initial=NOBODY)
-    gain = first_owner[inverse] < most
-    rows, a = [], 0
-    for name, n, part in zip(names, count.tolist(), parts, strict=True):
-        take = np.flatnonzero(gain[a : a + n])
-        if len(take):
-            times, starts = part[7], np.cumsum(part[8])
-            n_taken = times[take]
-            at = np.arange(n_taken.sum()) - np.repeat(np.cumsum(n_taken) - n_taken, n_taken) + np.repeat((np.cumsum(times) - times)[take], n_taken)
-            which = inverse[a + take]
-            alone = row[which] < 0
-            table = owners[row[which[~alone]]].T.reshape(-1)
-            rows.append((name, squeeze(n_taken, starts[at].astype(np.int32), part[2][take], alone, lowest[which[alone]], table)))
-        a += n
-    return rows
+    take = np.flatnonzero(first_owner[inverse] < most)
+    cut = np.searchsorted(take, np.append(0, np.cumsum(count)))
+    some = np.flatnonzero(np.diff(cut))
+    cut = cut[np.append(some, len(count))]
+    which, n = inverse[take], times[take]
+    alone = row[which] < 0
+    at = starts[ranges((np.cumsum(times) - times)[take], n)].astype(np.int32)
+    before, spent = np.append(0, np.cumsum(alone))[cut], np.append(0, np.cumsum(n))[cut]
+    parts = pieces_of(
+        (n, cut), (size[take].astype(np.uint8), cut), (alone, cut), (at, spent), (lowest[which[alone]], before), (owners[row[which[~alone]]], cut - before),
+    )
+    return pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.array(list(parts), pa.binary())], ["unit", "payload"])
 
 
 def covered(unit: Unit, payloads: list[bytes], copies: list[int]) -> np.ndarray:
     """True for every byte of the unit's texts inside a string that a smaller document owns."""
-    n = len(unit.data)
+    edge = np.zeros(len(unit.data) + 1, np.int32)
+
+    def cover(start: np.ndarray, length: np.ndarray | int) -> None:
+        np.add.at(edge, start, 1)
+        np.subtract.at(edge, start + length, 1)
+
     whole = np.array(copies, np.int64)
     whole = whole[np.diff(unit.offsets)[whole] >= LEAST]
-    starts, lengths = [unit.offsets[whole]], [np.diff(unit.offsets)[whole]]
-    for payload in payloads:
-        times, at, size, alone, owner, owners = loosen(payload, np.int32, np.int32, np.uint8, bool, np.int64, np.int64)
-        doc = unit.ids[unit.texts_of(at)]
-        context = np.repeat(np.arange(len(times)), times)
-        # one owner: the whole context
-        one = np.flatnonzero(alone[context])
-        mine = one[owner[(np.cumsum(alone) - 1)[context[one]]] < doc[one]]
-        starts.append(at[mine].astype(np.int64))
-        lengths.append(size[context[mine]].astype(np.int64))
-        # an owner for each string
-        own = np.flatnonzero(~alone[context])
-        table = owners.reshape(REACH + 1, -1).T
-        which, step = np.nonzero(table[(np.cumsum(~alone) - 1)[context[own]]] < doc[own][:, None])
-        found = np.unique(at[own[which]] + step)
-        starts.append(found)
-        lengths.append(np.full(len(found), LEAST))
-    return union(np.concatenate(starts), np.concatenate(lengths), n)
+    cover(unit.offsets[whole], np.diff(unit.offsets)[whole])
+    (times, size, alone, at, owner, owners), _ = columns_of(payloads, OWNERS)
+    at, doc = at.astype(np.int64), unit.ids[unit.texts_of(at)]
+    context = np.repeat(np.arange(len(times)), times)
+    # one owner: the whole context
+    one = np.flatnonzero(alone[context])
+    mine = one[owner[(np.cumsum(alone) - 1)[context[one]]] < doc[one]]
+    cover(at[mine], size[context[mine]].astype(np.int64))
+    # an owner for each string
+    own, row = np.flatnonzero(~alone[context]), np.cumsum(~alone) - 1
+    for a in range(0, len(own), SPANS):
+        some = own[a : a + SPANS]
+        which, step = np.nonzero(owners[row[context[some]]] < doc[some][:, None])
+        cover(at[some[which]] + step, LEAST)
+    return np.cumsum(edge, out=edge)[:-1] > 0
 
 
 def _owned(rows: DataFrame, answer: Callable, schema) -> DataFrame:
     """Run the four steps and answer every unit with the bytes to remove."""
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    buckets = max(2 * partitions(rows.sparkSession), size // BUCKET_BYTES)
+    buckets = max(partitions(rows.sparkSession), -(-size // BUCKET_BYTES))
     units = pack_units(rows)
     copies = find_copies(units)
-    shared = per_bucket(send_anchors(units, buckets), find_shared)
-    owners = per_bucket(send_contexts(units, shared, copies, buckets), find_owners)
+    shared = per_bucket(send_anchors(units, buckets), buckets, find_shared)
+    owners = per_bucket(send_contexts(units, shared, copies, buckets), buckets, find_owners)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -74,6 +74,52 @@ class RepeatArray:
         return length
 
 
+class StartArray:
+    """The same part of a suffix array, but of given suffixes only, none longer than a row of words.
+
+    ``rows``: the bytes from each of ``starts`` on, eight in a number, zeros behind the suffix's end; ``lengths``: its bytes, ``least`` or
+    more. Suffixes are sorted by one word after the other, as long as they have an equal, and then by length, so that an end sorts
+    below all bytes. ``order`` and ``shared`` as above.
+    """
+
+    def __init__(self, starts: np.ndarray, rows: np.ndarray, lengths: np.ndarray, least: int):
+        order = np.argsort(rows[:, 0])
+        start, twin = RepeatArray._groups(rows[order, 0])
+        slots = chosen = np.flatnonzero(twin)
+        for k in range(1, rows.shape[1] + 1):
+            if not len(slots):
+                break
+            active = order[slots]
+            word = rows[active, k] if k < rows.shape[1] else lengths[active]
+            by = np.argsort(word)
+            rank = np.empty(len(by), np.int64)
+            rank[by], _ = RepeatArray._groups(word[by])
+            key = start[slots] * np.int64(len(by) + 1) + rank
+            by = np.argsort(key)
+            order[slots] = active[by]
+            head, twin = RepeatArray._groups(key[by])
+            start[slots] = slots[head]
+            slots = slots[twin]
+            if 8 * (k + 1) <= least:
+                chosen = slots
+        chosen = order[chosen]
+        self.order = starts[chosen]
+        self.shared = np.zeros(len(chosen), np.int64)
+        if len(chosen) > 1:
+            self.shared[1:] = np.minimum(common_bytes(rows[chosen[:-1]], rows[chosen[1:]]), np.minimum(lengths[chosen[:-1]], lengths[chosen[1:]]))
+            self.shared[self.shared < least] = 0
+
+
+def common_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes rows of words have in common from their first on."""
+    apart = a ^ b
+    unlike = apart != 0
+    first = unlike.argmax(1)
+    word = apart[np.arange(len(apart)), first]
+    ahead = sum((word < np.uint64(1 << 8 * k)).astype(np.int64) for k in range(1, 8))
+    return np.where(unlike.any(1), 8 * first + ahead, 8 * a.shape[1])
+
+
 def longest_at(array: RepeatArray, n: int) -> np.ndarray:
     """For each symbol the length of the longest repeat that starts there, 0 for none."""
     longest = np.zeros(n, np.int64)
@@ -123,21 +169,3 @@ def maximal_intervals(array: RepeatArray, before: np.ndarray) -> np.ndarray:
 def maximal_repeats(array: RepeatArray, before: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """Maximal repeats as (length, starts of all occurrences)."""
     return [(size, array.order[a : b + 1]) for size, a, b in maximal_intervals(array, before).tolist()]
-
-
-# what is left of a pack whose first end stands after 0 to 8 bytes
-UP_TO = np.array([(1 << 64) - (1 << 64 - 8 * k) for k in range(9)], np.uint64)
-
-
-def byte_packs(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For codes of bytes, ends being 256 and above: the eight bytes from each place on as one number, with zeros from the first end
-    on, and how many bytes stand ahead of that end (8: all)."""
-    n = len(symbols)
-    padded = np.concatenate([symbols, np.full(7, 256, symbols.dtype)])
-    packs = padded.astype(np.uint64) & np.uint64(255)
-    for width in (1, 2, 4):
-        packs = packs[:-width] << np.uint64(8 * width) | packs[width:]
-    place = np.arange(n + 7)
-    end = np.minimum.accumulate(np.where(padded > 255, place, n + 7)[::-1])[::-1]
-    ahead = np.minimum(end - place, 8)[:n].astype(np.uint8)
-    return packs & UP_TO[ahead], ahead
