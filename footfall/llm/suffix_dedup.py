@@ -3,7 +3,7 @@
 Every string of ``LEAST`` bytes contains an anchor: the 18-byte string in it whose hash is least. Equal strings have the same anchor
 at the same place, so all occurrences of a repeat meet where their anchor does:
 
-1. Texts are packed into units of about 8 MB, written once to the shared folder; a unit is the address results come back to.
+1. Texts are packed into units of about 4 MB, written once to the shared folder; a unit is the address results come back to.
 2. Hashes of each unit's anchors, each once, are dealt out by ranges of the hash, one range a task; those of several documents go back
    to their units. Digests of whole texts tell which documents are copies of a smaller one: those are covered wholly and take no further part.
 3. Units send the bytes of the strings that chose a shared anchor (each distinct context once, with the smallest document that has
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm.common import partitions, settle, texts
-from footfall.llm.kernels import BYTE_KEYS, U, mix, steps, text_bytes
+from footfall.llm.kernels import BYTE_KEYS, U, give_back, mix, steps, text_bytes
 from footfall.llm.suffixes import StartArray, maximal_intervals
 
 LEAST = 50
@@ -38,7 +38,7 @@ GRAM = 18
 REACH = LEAST - GRAM  # how far ahead of its anchor a string may start
 HALF = REACH // 2  # two contexts with a string in common share so much at least on one side of their anchor
 HOT_UNITS = 50_000  # that have an anchor; a unit where it stands 16, 64, 256, ... times counts as so many
-UNIT_BYTES = 8_000_000
+UNIT_BYTES = 4_000_000
 SLICE_BYTES = 40_000
 BUCKET_BYTES = 16_000_000  # of text, whose anchors meet in one bucket on average
 SYMBOLS = 200_000  # bytes that go into one array
@@ -133,7 +133,7 @@ def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pack_units(rows: DataFrame) -> DataFrame:
-    """Runs of rows with all their columns, as compressed Arrow streams of about 8 MB of text, settled."""
+    """Runs of rows with all their columns, as compressed Arrow streams of about 4 MB of text, settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
@@ -148,6 +148,7 @@ def pack_units(rows: DataFrame) -> DataFrame:
             ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(NOBODY).to_pylist()
             digests = b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() + i.to_bytes(8, "little", signed=True) for (a, b), i in zip(cut, ids, strict=True))
             yield rows_of(UNIT, [(first + k, blob, digests)])
+        give_back()
 
     return settle(rows.mapInArrow(run, UNIT))
 
@@ -305,6 +306,7 @@ def send_anchors(units: DataFrame, buckets: int) -> DataFrame:
                 some = np.flatnonzero(np.diff(begin))
                 payloads = put((key & LOW) << U(4) | often.astype(U) << U(1) | several.astype(U), begin[np.append(some, buckets)])
                 yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), name)), payloads], ["bucket", "unit", "payload"])
+            give_back()
 
     return units.select("unit", "blob").mapInArrow(run, PIECE)
 
@@ -333,6 +335,7 @@ def per_bucket(pieces: DataFrame, buckets: int, answer: Callable[[pa.Array, pa.A
         rows = [b for b in batches if b.num_rows]
         if rows:
             yield answer(*(pa.concat_arrays([b.column(k) for b in rows]) for k in (1, 2)))
+        give_back()
 
     return pieces.repartitionById(buckets, F.col("bucket")).mapInArrow(run, REPLY)
 
@@ -392,6 +395,7 @@ def send_contexts(units: DataFrame, replies: DataFrame, copies: DataFrame, bucke
                     (np.full(len(some), base), np.arange(len(some) + 1)),
                 )
                 yield rows_of(PIECE, [(b, name, part) for b, part in zip(some.tolist(), parts, strict=True)])
+            give_back()
 
     gathered = replies.groupBy("unit").agg(F.collect_list("payload").alias("payloads"))
     joined = units.join(gathered, "unit").join(copies, "unit", "left")
@@ -549,6 +553,7 @@ def _owned(rows: DataFrame, answer: Callable, schema) -> DataFrame:
             for blob, payloads, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 unit = Unit(blob)
                 yield answer(unit, covered(unit, payloads or [], places or []))
+            give_back()
 
     gathered = owners.groupBy("unit").agg(F.collect_list("payload").alias("payloads"))
     joined = units.join(gathered, "unit", "left").join(copies, "unit", "left")
